@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from missivelake.llm import decontamination, quality, toxicity
+from missivelake.llm import decontamination, html, huffman, packing, quality, topk, toxicity
 from missivelake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +27,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_quality, op4_toxicity)}
-ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL}
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_decontamination, op3_quality, op4_toxicity, op7_topk, op8_html, op9_packing, op10_huffman)
+}
+ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
