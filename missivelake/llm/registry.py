@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missivelake.llm import decontamination, html, huffman, packing, quality, topk, toxicity
+from missivelake.llm import decontamination, html, huffman, ngram_join, packing, quality, topk, toxicity
 from missivelake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -44,6 +48,6 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op3_quality, op4_toxicity, op7_topk, op8_html, op9_packing, op10_huffman)
+    f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_quality, op4_toxicity, op7_topk, op8_html, op9_packing, op10_huffman)
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
