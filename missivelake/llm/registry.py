@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missivelake.llm import decontamination, html, huffman, line_dedup, ngram_join, packing, quality, topk, toxicity
+from missivelake.llm import decontamination, html, huffman, line_dedup, ngram_join, packing, pii, quality, topk, toxicity
 from missivelake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -52,6 +56,6 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_quality, op4_toxicity, op5_line_dedup, op7_topk, op8_html, op9_packing, op10_huffman)
+    f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_quality, op4_toxicity, op5_line_dedup, op6_pii, op7_topk, op8_html, op9_packing, op10_huffman)
 }
 ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
