@@ -22,10 +22,10 @@ def deduplicated(messages: DataFrame, delay: str | None = None) -> DataFrame:
 def live_sessions(messages: DataFrame, delay: str = "1 hour", cfg: Config = DEFAULT) -> DataFrame:
     """Conversations of a stream of contact messages: one row once the watermark has passed a conversation's end.
 
-    A conversation ends strictly after the timeout in the batch job, so the window is one millisecond longer here.
+    Windows that touch are merged, so a gap of exactly the timeout stays in the conversation as in the batch job.
     Messages later than the delay are dropped here and repaired by the batch job over stale contacts.
     """
-    gap = f"{cfg.conversation_timeout_ms + 1} milliseconds"
+    gap = f"{cfg.conversation_timeout_ms} milliseconds"
     rows = messages.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", delay)
     counts = rows.groupBy("contact_id", F.session_window("ts", gap).alias("w")).agg(
         F.min("timestamp_ms").alias("start_ms"),
