@@ -170,7 +170,7 @@ def classify(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, bands
     own = all_rows.groupBy("doc_id", "text_key", "set").agg(F.count("*").alias("rows"))
     worded = all_rows.where("set is not null")
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    sets = stored(worded.groupBy("set").agg(first, F.count("*").alias("copies"), F.any_value("grams").alias("grams"), F.any_value("bands").alias("bands")), "ngram-sets")
+    sets = stored(worded.groupBy("set").agg(first, F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("grams").alias("grams"), F.any_value("bands").alias("bands")), "ngram-sets")
 
     # Families: star edges from the smallest member of every bucket of two sets or more.
     banded = sets.select("set", F.posexplode("bands").alias("band", "hash"))
@@ -199,9 +199,9 @@ def classify(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, bands
     classes = components(found.where("parent is not null").select(F.col("set").alias("a"), F.col("parent").alias("b"))).withColumnsRenamed({"node": "set", "component": "class"})
 
     named = sets.join(classes, "set", "left").join(links, "set", "left")
-    named = named.select("set", "first", "copies", F.coalesce("class", "set").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.select("set", "first", "least_id", "copies", F.coalesce("class", "set").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     named = stored(named, "ngram-classes")
-    heads = named.groupBy("class").agg(F.min("first").alias("class_key"), F.min("first.doc_id").alias("class_id"))
+    heads = named.groupBy("class").agg(F.min("first").alias("class_key"), F.min("least_id").alias("class_id"))
     by_set = named.join(heads, "class").select("set", "class_key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     with_set = own.where("set is not null").join(by_set, "set").drop("set")
     alone = own.where("set is null").select("doc_id", "text_key", "rows", F.struct("doc_id", "text_key").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
