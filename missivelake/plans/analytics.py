@@ -18,6 +18,15 @@ class Analysis:
     def __init__(self, contact_messages: DataFrame, contacts: DataFrame, cfg: Config = DEFAULT):
         self.contact_messages, self.contacts, self.cfg = contact_messages, contacts, cfg
 
+    def materialised(self, folder: str) -> Analysis:
+        """The same analysis over its messages with flags and points written to a folder, which all tables then share."""
+        path = f"{folder}/messages"
+        self.points.write.mode("overwrite").parquet(path)
+        table = self.points.sparkSession.read.schema(self.points.schema).parquet(path)
+        out = Analysis(self.contact_messages, self.contacts, self.cfg)
+        out.points = out.enriched = table
+        return out
+
     @cached_property
     def enriched(self) -> DataFrame:
         return messages.enriched(self.contact_messages, self.cfg)
@@ -90,10 +99,11 @@ class Analysis:
         }
 
 
-def persist(analysis: Analysis, folder: str) -> DataFrame:
-    """Write every table, replacing the last run's; returns contact_id and had_data for all contacts."""
-    for name, table in analysis.tables().items():
-        table().write.mode("overwrite").parquet(f"{folder}/{name}")
+def persist(analysis: Analysis, folder: str, names: list[str] | None = None) -> DataFrame:
+    """Write every table (or those named), replacing the last run's; returns contact_id and had_data for all contacts."""
+    tables = analysis.materialised(folder).tables()
+    for name in names or tables:
+        tables[name]().write.mode("overwrite").parquet(f"{folder}/{name}")
     seen = analysis.contact_messages.select("contact_id").distinct().withColumn("had_data", F.lit(True))
     return analysis.contacts.select("contact_id").join(seen, "contact_id", "left").select("contact_id", F.coalesce("had_data", F.lit(False)).alias("had_data"))
 

@@ -38,10 +38,9 @@ def test_persist_replaces_and_refresh_equals_all(spark, sf_dir, tmp_path):
     raw, contacts, addresses = adapters.event_messages(spark, sf_dir), adapters.contacts(spark, sf_dir), adapters.contact_addresses(spark, sf_dir)
     m = messages.contact_messages(raw, addresses)
     everything = Analysis(m, contacts)
-    few = Analysis(m, contacts)
-    few.tables = lambda: {k: everything.tables()[k] for k in ("daily_activity", "contact_counts")}
     for _ in range(2):
-        done = persist(few, str(tmp_path / "out"))
+        done = persist(everything, str(tmp_path / "out"), ["daily_activity", "conversations"])
+    assert spark.read.parquet(str(tmp_path / "out/conversations")).count() == everything.conversations.count()
     assert done.where("had_data").count() == contacts.count()
     assert spark.read.parquet(str(tmp_path / "out/daily_activity")).count() == everything.daily.count()
     status = archive.computed(archive.stale_contacts(spark.createDataFrame([("c1", 1, 0)], "contact_id string, computed_at long, is_stale int"), addresses, raw, 0).where("contact_id <> 'c1'"), done.where("contact_id = 'c2'"), 5)
