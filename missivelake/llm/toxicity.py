@@ -1,12 +1,15 @@
 """Toxicity: a counterfactually regularised classifier.
 
-A sentence is scored by a logistic model over the words it holds. Words are chosen from the labelled documents by how
-strongly their presence depends on the label. In training, every labelled text has a counterfactual twin in which each
+A text is scored by a logistic model over the words it holds and over word beginnings that several of its words share
+(languages that build words from stems vary the rest). Both are chosen from the labelled documents by how strongly
+their presence depends on the label. In training, every labelled text has a counterfactual twin in which each
 identity term (IDENTITY, a parameter) is swapped for another of its row; texts without a term get one added. The loss
 holds, besides the log loss, ``penalty`` times the squared change of the score between twins, so that naming a group
 does not by itself raise a score. Identity terms are always among the model's words, so that the penalty can act.
 
-A document's logit is the sum over the distinct chosen words of its whole text; one insult suffices in any length.
+A document's logit is the sum over the distinct chosen features of its whole text. A word counts in any length of text;
+a beginning counts once, twice or thrice by its distinct words, beyond once only if one word in SHARE has it, so that
+chance does not add up in long texts.
 
 The model is fitted on at most ``max_train`` labelled documents (smallest id hash) and ``max_words`` words; both bounds
 are parameters. Defined results: a null or empty text scores as a text without chosen words; labels that are null or
@@ -15,6 +18,7 @@ belong to no document are ignored; with labels of fewer than two kinds every sco
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +34,8 @@ MAX_TRAIN = 8000
 MAX_WORDS = 2000
 MIN_CHI2 = 25.0
 PENALTY = 4.0
+#: Lengths in bytes of word beginnings, how many distinct words with one are told apart, and the least share beyond one.
+STEMS, LEVELS, SHARE = (4, 5, 6, 7, 8), 3, 400
 
 #: Neutral group names, each row a set of interchangeable terms (English, French, German, Spanish).
 IDENTITY = (
@@ -50,19 +56,44 @@ def swaps(identity: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
     return {row[i].encode(): row[(i + 1) % len(row)].encode() for row in identity for i in range(len(row)) if len(row) > 1}
 
 
+def stem_features(words: list[bytes], distinct: set[bytes], known: dict[int, set[bytes]] | None = None) -> set[bytes]:
+    """<beginning>k for every beginning of at least k distinct words, of the known ones by length if given."""
+    out = set()
+    for n in STEMS if known is None else known:
+        wanted = known[n] if known else None
+        found = Counter([x for w in distinct if (x := w[:n]) in wanted] if known else [w[:n] for w in distinct if len(w) >= n])
+        for x, c in found.items():
+            for k in range(1, min(c, LEVELS) + 1):
+                if k == 1 or c * SHARE >= len(words):
+                    out.add(b"<%b>%d" % (x, k))
+    return out
+
+
 @dataclass
 class WordModel:
     bias: float
     weights: dict[bytes, float]
 
+    def __post_init__(self) -> None:
+        self.words = {w for w in self.weights if not w.startswith(b"<")}
+        self.stems: dict[int, set[bytes]] = {}
+        for w in self.weights.keys() - self.words:
+            x = w[1 : w.rindex(b">")]
+            self.stems.setdefault(len(x), set()).add(x)
+
     def scores(self, rows: list[bytes | None]) -> list[float]:
-        known = self.weights
-        names = known.keys()
-        logits = [self.bias + sum(sorted(known[w] for w in names & set(words_of(x)))) for x in rows]
+        logits = []
+        for x in rows:
+            words = words_of(x)
+            distinct = set(words)
+            found = self.words & distinct
+            if self.stems:
+                found |= stem_features(words, distinct, self.stems) & self.weights.keys()
+            logits.append(self.bias + sum(sorted(self.weights[w] for w in found)))
         return (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
 
 
-def fit(rows: list[frozenset[bytes]], y: np.ndarray, words: list[bytes], identity: dict[bytes, bytes], *, penalty: float = PENALTY, steps: int = 400, rate: float = 0.1, decay: float = 3e-4) -> WordModel:
+def fit(rows: list[frozenset[bytes]], y: np.ndarray, words: list[bytes], identity: dict[bytes, bytes], *, penalty: float = PENALTY, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> WordModel:
     """Full-batch Adam on log loss + penalty * (score of the twin - score)^2 + decay * weights^2."""
     at = {w: i for i, w in enumerate(words)}
     terms = sorted(identity)
@@ -96,7 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...]
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                bags = [sorted(set(words_of(x))) for x in texts(part)]
+                bags = []
+                for x in texts(part):
+                    words = words_of(x)
+                    distinct = set(words)
+                    bags.append(sorted(distinct | stem_features(words, distinct)))
                 yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.binary())), part.column("y")], ["words", "y"])
 
     bags = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_train).mapInArrow(bag, "words array<binary>, y int"), "toxicity")
