@@ -5,12 +5,13 @@ the order of (doc_id, text hash, position), equals it or is within one edit of i
 whether a line goes does not depend on what else goes. Shorter lines are left alone. The edit bound is one.
 
 1. Equal lines become one by two 64-bit hashes, with their earliest place.
-2. Pigeonhole filter: one edit leaves the first or the last half of a line untouched. Lines of neighbouring lengths
-   that share no half with another cannot be near one, and go no further.
-3. The rest emit every variant with one character deleted, as a hash with the deleted place. Two lines of one length
-   that share a variant with the same place differ by one substitution; a line whose variant equals another whole line
-   is one insertion away from it. Both are equi-joins or windows on variant hashes: groups of equal (variant, place)
-   differ in one character only, so they are bounded, and rows grow in proportion to the variants.
+2. Pigeonhole filter: one edit touches one third of a line and leaves the other two as they are. Lines of neighbouring
+   lengths that share no two thirds with another cannot be near one, and go no further.
+3. The rest emit every variant with one character deleted, as a hash with the deleted place, and themselves whole. Two
+   lines of one length that share a variant with the same place differ by one substitution; a line whose variant equals
+   another whole line is one insertion away from it. Lines meet in one shuffle on the variant's hash; lines of equal
+   (variant, place) differ in one character only, so groups are bounded, and no pairs are listed: each line looks at the
+   earliest of its group and at the whole line.
 4. A pair found is verified with the edit distance of the lines themselves before the later line goes.
 5. Each document keeps, in place, its short lines and those that are the earliest of their kind.
 
@@ -43,13 +44,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "pos", F.btrim("raw", F.lit(BLANKS)).alias("line"))
 
 
-def _halves(line: Column, size: Column) -> Column:
-    """Hashes of the first and last halves for pairs whose longer line has this size, or one more."""
+def _thirds(line: Column, size: Column) -> Column:
+    """Hashes of what one edit in each third would leave, for pairs whose longer line has this size, or one more."""
     keys = []
     for longer in (size, size + 1):
-        first = F.floor((longer - 1) / 2).cast("int")
-        last = longer - 1 - first
-        keys += [F.xxhash64(longer, F.lit(0), F.substring(line, F.lit(1), first)), F.xxhash64(longer, F.lit(1), F.right(line, last))]
+        a, b = F.floor(longer / 3).cast("int"), F.floor(2 * longer / 3).cast("int")
+        left = lambda n: F.substring(line, F.lit(1), n)
+        keys += [
+            F.xxhash64(longer, F.lit(0), left(b)),
+            F.xxhash64(longer, F.lit(1), left(a), F.right(line, longer - b)),
+            F.xxhash64(longer, F.lit(2), F.right(line, longer - a)),
+        ]
     return F.array(*keys)
 
 
@@ -62,13 +67,13 @@ def kept_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     size = F.char_length("line")
     occurrences = _lines(docs).where(size >= min_chars)
     place = F.struct("doc_id", "text_key", "pos")
-    keyed = occurrences.select(place.alias("first"), *_line_hashes(F.col("line")), size.alias("size"), _halves(F.col("line"), size).alias("halves"))
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("size").alias("size"), F.any_value("halves").alias("halves"))
+    keyed = occurrences.select(place.alias("first"), *_line_hashes(F.col("line")), size.alias("size"), _thirds(F.col("line"), size).alias("thirds"))
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("size").alias("size"), F.any_value("thirds").alias("thirds"))
     distinct = stored(distinct, "lines")
 
-    halves = distinct.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    near = stored(halves.join(shared, "half").select("h1", "h2").distinct(), "lines-near")
+    thirds = distinct.select("h1", "h2", F.explode("thirds").alias("key"))
+    shared = thirds.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    near = stored(thirds.join(shared, "key").select("h1", "h2").distinct(), "lines-near")
     n = near.count()
     if n:
         gone = _dominated(docs, distinct, near, n)
@@ -87,14 +92,15 @@ def _dominated(docs: DataFrame, distinct: DataFrame, near: DataFrame, n: int) ->
     def variant(i: Column) -> Column:
         return F.struct(i.alias("place"), F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substr(F.col("line"), i + 1))).alias("variant"))
 
-    variants = lines.select("h1", "h2", "first", "size", F.explode(F.transform(F.sequence(F.lit(1), F.col("size")), variant)).alias("v"))
-    variants = variants.select("h1", "h2", "first", "size", "v.place", "v.variant")
-    whole = lines.select(F.col("h1").alias("variant"), (F.col("size") + 1).alias("size"), F.struct("first", "h1", "h2").alias("other"))
-    group = Window.partitionBy("size", "place", "variant")
     me = F.struct("first", "h1", "h2")
-    substituted = variants.select(me.alias("me"), F.min(me).over(group).alias("other"))
-    inserted = variants.join(whole, ["variant", "size"]).select(me.alias("me"), "other")
-    found = substituted.unionByName(inserted).where("me.first <> other.first")
+    whole = F.struct(F.lit(0).alias("place"), F.col("h1").alias("variant"))
+    variants = F.concat(F.array(whole), F.transform(F.sequence(F.lit(1), F.col("size")), variant))
+    rows = lines.select(me.alias("me"), "size", F.explode(variants).alias("v")).select("me", "v.place", "v.variant", (F.col("size") + (F.col("v.place") == 0).cast("int")).alias("size"))
+    group = Window.partitionBy("variant", "size")
+    earliest = F.min("me").over(Window.partitionBy("variant", "size", "place"))
+    full = F.min(F.when(F.col("place") == 0, F.col("me"))).over(group)
+    rows = rows.withColumns({"_earliest": earliest, "_full": full}).where("place > 0")
+    found = rows.select("me", F.explode(F.array("_earliest", "_full")).alias("other")).where("me.first <> other.first")
     later, earlier = F.greatest("me", "other"), F.least("me", "other")
     found = found.select(later.alias("later"), earlier.alias("earlier")).distinct()
     a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
@@ -105,36 +111,35 @@ def _dominated(docs: DataFrame, distinct: DataFrame, near: DataFrame, n: int) ->
 
 
 def _cleaned(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs with _lines, the lines of the text, and _stay, the positions of those that stay."""
+    """docs with _left, the lines of the text that stay, in place; null for a null text."""
     kept = kept_lines(docs, min_chars).withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "kept": "_kept"})
     text = F.col("text").cast("string")
-    key = F.xxhash64(text)
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    lines = F.split(text, "\n")
-    short = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.char_length(F.btrim(F.get(lines, i), F.lit(BLANKS))) < min_chars)
-    stay = F.array_sort(F.concat(short, F.coalesce("_kept", F.array().cast("array<int>"))))
-    return joined.withColumns({"_lines": lines, "_stay": stay}).drop("_id", "_key", "_kept")
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
 
+    def stays(line: Column, i: Column) -> Column:
+        short = F.char_length(F.btrim(line, F.lit(BLANKS))) < min_chars
+        return short | F.coalesce(F.array_contains("_kept", i), F.lit(False))
 
-def _joined(lines: str = "_lines", stay: str = "_stay") -> Column:
-    return F.when(F.col(lines).isNotNull(), F.array_join(F.transform(F.col(stay), lambda i: F.get(F.col(lines), i)), "\n"))
+    return joined.withColumn("_left", F.filter(F.split(text, "\n"), stays)).drop("_id", "_key", "_kept")
+
+
+def _line_count(text: Column) -> Column:
+    return (F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))).cast("long")
 
 
 def report(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, for every row of docs."""
-    rows = _cleaned(docs.select("doc_id", "text"), min_chars)
-    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    n = F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise(n)
-    removed = F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise((F.size("_lines") - F.size("_stay")).cast("long"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_lines"), removed.alias("n_removed"), _joined().alias("text"))
+    rows = _cleaned(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_chars)
+    n = _line_count(F.col("text"))
+    left = F.when(F.col("_left").isNull(), 0).otherwise(F.size("_left")).cast("long")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_lines"), (n - left).alias("n_removed"), F.array_join("_left", "\n").alias("text"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text that is left and all other columns; documents of which repeated lines leave nothing are gone."""
-    rows = _cleaned(docs, min_chars)
-    text = _joined()
-    emptied = F.col("_lines").isNotNull() & (F.size("_stay") < F.size("_lines")) & (F.btrim(text, F.lit(BLANKS + "\n")) == "")
-    rows = rows.where(~emptied).withColumn("text", text)
+    rows = _cleaned(docs, min_chars).withColumns({"_n": _line_count(F.col("text").cast("string")), "text": F.array_join("_left", "\n")})
+    emptied = (F.size("_left") < F.col("_n")) & (F.btrim("text", F.lit(BLANKS + "\n")) == "")
+    rows = rows.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
