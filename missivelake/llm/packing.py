@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, w
 def place(cut: DataFrame, *, size: int = SIZE, buckets: int | None = None) -> DataFrame:
     """Every row of a stored table of pieces, with its sequence_id and its offset there."""
     spark = cut.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [c for c in cut.columns if c != "ids"]
     cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int"))
     counts = stored(cut.groupBy("length", "_bucket").agg(F.count("*").alias("n")), "packing-counts")
