@@ -8,8 +8,8 @@ holds, besides the log loss, ``penalty`` times the squared change of the score b
 does not by itself raise a score. Identity terms are always among the model's words, so that the penalty can act.
 
 A document's logit is the sum over the distinct chosen features of its whole text. A word counts in any length of text;
-a beginning counts once, twice or thrice by its distinct words, beyond once only if one word in SHARE has it, so that
-chance does not add up in long texts.
+a beginning counts by its distinct words, two or three at least, and only if one word in SHARE has it, so that chance
+does not add up in long texts.
 
 The model is fitted on at most ``max_train`` labelled documents (smallest id hash) and ``max_words`` words; both bounds
 are parameters. Defined results: a null or empty text scores as a text without chosen words; labels that are null or
@@ -34,8 +34,8 @@ MAX_TRAIN = 8000
 MAX_WORDS = 2000
 MIN_CHI2 = 25.0
 PENALTY = 4.0
-#: Lengths in bytes of word beginnings, how many distinct words with one are told apart, and the least share beyond one.
-STEMS, LEVELS, SHARE = (4, 5, 6, 7, 8), 3, 400
+#: Lengths in bytes of word beginnings, how many distinct words make one count, and the least share of a text's words.
+STEMS, LEVELS, SHARE = (4, 5, 6, 7, 8), (2, 3), 400
 
 #: Neutral group names, each row a set of interchangeable terms (English, French, German, Spanish).
 IDENTITY = (
@@ -57,15 +57,14 @@ def swaps(identity: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
 
 
 def stem_features(words: list[bytes], distinct: set[bytes], known: dict[int, set[bytes]] | None = None) -> set[bytes]:
-    """<beginning>k for every beginning of at least k distinct words, of the known ones by length if given."""
+    """<beginning>k for every beginning of k distinct words or more (k of LEVELS), of the known ones by length if given."""
     out = set()
     for n in STEMS if known is None else known:
         wanted = known[n] if known else None
         found = Counter([x for w in distinct if (x := w[:n]) in wanted] if known else [w[:n] for w in distinct if len(w) >= n])
         for x, c in found.items():
-            for k in range(1, min(c, LEVELS) + 1):
-                if k == 1 or c * SHARE >= len(words):
-                    out.add(b"<%b>%d" % (x, k))
+            if c * SHARE >= len(words):
+                out.update(b"<%b>%d" % (x, k) for k in LEVELS if c >= k)
     return out
 
 
@@ -123,6 +122,11 @@ def fit(rows: list[frozenset[bytes]], y: np.ndarray, words: list[bytes], identit
     return WordModel(float(b), {k: float(u) for k, u in zip(words, w, strict=True)})
 
 
+def _name(feature: bytes) -> str:
+    """A feature as a string column's value, a character for each byte, since a beginning may end within a character."""
+    return feature.decode("latin-1")
+
+
 def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...], ...] = IDENTITY, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> WordModel | None:
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,10 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...]
                 for x in texts(part):
                     words = words_of(x)
                     distinct = set(words)
-                    bags.append(sorted(distinct | stem_features(words, distinct)))
-                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.binary())), part.column("y")], ["words", "y"])
+                    bags.append([_name(w) for w in sorted(distinct | stem_features(words, distinct))])
+                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.string())), part.column("y")], ["words", "y"])
 
-    bags = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_train).mapInArrow(bag, "words array<binary>, y int"), "toxicity")
+    bags = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_train).mapInArrow(bag, "words array<string>, y int"), "toxicity")
     kinds = {r.y: r.n for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return None
@@ -145,10 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...]
     counts = bags.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("a"))
     chosen = counts.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
     known = swaps(identity)
-    words = {bytes(r.word) for r in chosen.orderBy(F.desc("chi2"), "word").limit(max_words).collect()} | known.keys()
-    wanted = F.array(*[F.lit(bytearray(w)) for w in sorted(words)])
+    words = {r.word.encode("latin-1") for r in chosen.orderBy(F.desc("chi2"), "word").limit(max_words).collect()} | known.keys()
+    wanted = F.array(*[F.lit(_name(w)) for w in sorted(words)])
     rows = bags.select(F.array_intersect("words", wanted).alias("words"), "y").collect()
-    rows = sorted((sorted(bytes(w) for w in r.words), r.y) for r in rows)
+    rows = sorted((sorted(w.encode("latin-1") for w in r.words), r.y) for r in rows)
     return fit([frozenset(ws) for ws, _ in rows], np.array([y for _, y in rows], float), sorted(words), known)
 
 
