@@ -97,25 +97,26 @@ def fit(rows: list[frozenset[bytes]], y: np.ndarray, words: list[bytes], identit
     at = {w: i for i, w in enumerate(words)}
     terms = sorted(identity)
 
-    def matrix(bags: list[list[bytes]]) -> np.ndarray:
-        x = np.zeros((len(bags), len(words)), np.float32)
-        for i, bag in enumerate(bags):
-            x[i, [at[w] for w in bag if w in at]] = 1
-        return x
+    def entries(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and word numbers of the ones in the texts' 0/1 matrix, of which each row has few."""
+        pairs = [(i, at[w]) for i, bag in enumerate(bags) for w in bag if w in at]
+        row, word = zip(*pairs, strict=True) if pairs else ((), ())
+        return np.array(row, np.int64), np.array(word, np.int64)
 
     twins = []
     for i, row in enumerate(rows):
         swapped = {identity.get(w, w) for w in row}
         twins.append(sorted(swapped if swapped != row else row | {terms[i % len(terms)]} if terms else row))
-    x, other = matrix([sorted(r) for r in rows]), matrix(twins)
+    x, other = entries([sorted(r) for r in rows]), entries(twins)
     w, b = np.zeros(len(words)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     m = np.zeros(len(words) + 1)
     v = np.zeros(len(words) + 1)
     for k in range(1, steps + 1):
-        p, q = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) for z in (x, other))
+        p, q = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[word], len(y)) + b, -30, 30))) for row, word in (x, other))
         gap = 2 * penalty * (q - p) / len(y)
         gx, go = (p - y) / len(y) - gap * p * (1 - p), gap * q * (1 - q)
-        grad = np.append(x.T @ gx + other.T @ go + decay * w, gx.sum() + go.sum())
+        up = sum(np.bincount(word, g[row], len(words)) for (row, word), g in ((x, gx), (other, go)))
+        grad = np.append(up + decay * w, gx.sum() + go.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
