@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -122,13 +123,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of whole numbers, so that a pair exactly on it is told without rounding."""
+    return Fraction(threshold).limit_denominator(1_000_000).as_integer_ratio()
+
+
 def _verifier(threshold: float):
     """Link counts and spanning edges of one pair of blocks of a family."""
+    over, under = _ratio(threshold)
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "set"], kind="stable")
         sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        sizes = np.array([len(s) for s in sets])
+        sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
         column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]
@@ -142,7 +149,9 @@ def _verifier(threshold: float):
             dense = np.zeros((n, min(step, width - low)), np.float32)
             dense[row[own], column[own] - low] = 1
             common += dense @ dense.T
-        linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+        linked = np.empty((n, n), bool)
+        for k in range(0, n, 256):  # common / (a + b - common) >= over / under, a few rows of whole numbers at a time
+            linked[k : k + 256] = common[k : k + 256].astype(np.int64) * (over + under) >= over * (sizes[k : k + 256, None] + sizes)
         side = group["side"].to_numpy()
         two = side.max() > side.min()
         linked &= (side[:, None] != side[None, :]) if two else ~np.eye(n, dtype=bool)
@@ -187,7 +196,8 @@ def classify(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, bands
     ordered = stored(ordered.select("set", "family", "first", "copies", "grams", "block"), "ngram-blocks")
     spans = ordered.groupBy("family", "block").agg(F.min("grams").alias("low"), F.max("grams").alias("high"))
     after = spans.select("family", F.col("block").alias("other"), F.col("low").alias("other_low"))
-    pairs = spans.join(after, "family").where((F.col("other") >= F.col("block")) & (F.col("high") >= F.lit(threshold) * F.col("other_low")))
+    over, under = (F.lit(x).cast("long") for x in _ratio(threshold))
+    pairs = spans.join(after, "family").where((F.col("other") >= F.col("block")) & (F.col("high") * under >= F.col("other_low") * over))
     jobs = pairs.select("family", F.col("block").alias("i"), F.col("other").alias("j"))
     jobs = jobs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 

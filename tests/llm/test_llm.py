@@ -131,6 +131,16 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert 2003 in kept and 2004 in kept and len([k for k in kept if k is not None and k < 1000]) == len({r[1] for r in brute_links(rows) if r[1] is not None and r[1] < 1000})
 
 
+def test_links_on_the_threshold(spark):
+    rows, ties = [], [1, 2, 3, 5, 8, 13, 21, 34, 55]
+    for i, k in enumerate(ties):  # 12k and 15k grams that share 12k are at 0.8, and with one gram more below it
+        for j, words in enumerate((12 * k + 4, 15 * k + 4, 15 * k + 5)):
+            rows.append((10 * i + j, " ".join(f"t{i}x{w}" for w in range(words))))
+    got = sorted(map(tuple, ngram_join.join(docs(spark, rows)).collect()), key=repr)
+    assert got == brute_links(rows)
+    assert [n for d, _, n in sorted(got) if d % 10 == 0] == [1] * len(ties)
+
+
 def test_banding_recall():
     assert ngram_join.recall(0.8) > 0.999 and ngram_join.recall(0.3) < 0.02
 
