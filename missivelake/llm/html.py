@@ -55,6 +55,8 @@ CHROME_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "toast", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "aside", "related", "recommended", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pagination", "pager", "footer", "masthead", "topbar", "toolbar", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "widget", "copyright", "search", "form",
 }
 MAIN_TAGS = {"article", "main"}
+#: Whole class names and ids that mark an advert inside an article too; other words may be an article's own sections.
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored"}
 
 
 def host_of(url: str | None) -> str:
@@ -65,7 +67,9 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "path", "chrome", "main")
+    """An element. What a tag or role says of it holds for all below; what a class word says may be withdrawn by the page."""
+
+    __slots__ = ("tag", "path", "parent", "own_main", "main", "strong", "weak")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
@@ -73,20 +77,56 @@ class Node:
         words = {w.lower() for n in named for w in _PART.findall(n)}
         role = found.get("role", "").lower()
         inside = bool(parent and parent.main)
-        self.tag = tag
+        self.tag, self.parent = tag, parent
         own = tag + "".join("." + re.sub(r"\d+", "9", n) for n in sorted(named))
         self.path = f"{parent.path}>{own}" if parent else own
-        self.main = inside or tag in MAIN_TAGS or role in ("main", "article")
-        self.chrome = bool(
-            (parent and parent.chrome)
+        self.own_main = tag in MAIN_TAGS or role in ("main", "article")
+        self.main = inside or self.own_main
+        self.strong = bool(
+            (parent and parent.strong)
             or tag in CHROME_TAGS
             or role in CHROME_ROLES
-            or words & CHROME_WORDS
-            or ((tag == "header" or "header" in words) and not inside)
+            or (tag == "header" and not inside)
             or found.get("aria-hidden", "").lower() == "true"
             or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs)
             or re.search(r"display\s*:\s*none", found.get("style", ""))
         )
+        if inside:
+            self.weak = any(n.lower() in ADVERTS for n in named) and not self.own_main
+        else:
+            self.weak = bool(words & CHROME_WORDS or "header" in words) and not (self.own_main or tag in ("html", "body"))
+
+    def above(self) -> Iterator[Node]:
+        """The element and those that hold it, innermost first."""
+        node: Node | None = self
+        while node:
+            yield node
+            node = node.parent
+
+    @property
+    def chrome(self) -> bool:
+        return self.strong or any(n.weak for n in self.above())
+
+
+def _withdraw(blocks: list[tuple[Node, str]]) -> None:
+    """Take class words back from elements that hold the page's main text.
+
+    A page with text in an article or main element outside chrome keeps its marks. Else marks go from what holds such an
+    element, or else from what holds half of the page's text or more.
+    """
+    said = [(node, len(block)) for node, block in blocks if block and not node.strong]
+    if not any(n.weak for node, _ in said for n in node.above()) or any(node.main and not node.chrome for node, _ in said):
+        return
+    holders = {id(n): n for node, _ in said if node.main for n in node.above() if not n.main}
+    if not holders:
+        held: dict[int, int] = {}
+        for node, size in said:
+            for n in node.above():
+                held[id(n)] = held.get(id(n), 0) + size
+        half = sum(size for _, size in said) / 2
+        holders = {id(n): n for node, _ in said for n in node.above() if held[id(n)] >= half}
+    for n in holders.values():
+        n.weak = False
 
 
 def parse(html: str) -> list[tuple[Node, str]]:
@@ -94,7 +134,6 @@ def parse(html: str) -> list[tuple[Node, str]]:
     root = Node("", "", None)
     stack, blocks, text = [root], [], []
 
-
     def flush() -> None:
         block = " ".join("".join(text).split())
         text.clear()
@@ -117,8 +156,12 @@ def parse(html: str) -> list[tuple[Node, str]]:
         if tag in RAW:
             if tag != "noscript":
                 flush()
+            if tag == "svg" and (m["attrs"] or "").endswith("/"):
+                continue
             if not m["end"]:
                 close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+                if not close and tag == "svg":
+                    continue
                 if not close:
                     break
                 at = html.find(">", close.start())
@@ -141,6 +184,7 @@ def parse(html: str) -> list[tuple[Node, str]]:
             stack.append(Node(tag, m["attrs"] or "", stack[-1]))
             blocks.append((stack[-1], ""))  # an element counts even without text
     flush()
+    _withdraw(blocks)
     return blocks
 
 

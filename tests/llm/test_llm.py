@@ -319,6 +319,24 @@ def test_html(spark):
     assert [got[10 + i].text for i in range(6)] == [f"Story {i} begins here\nand goes on <{i}>" for i in range(6)]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body class='has-sidebar'><article><p>Text</article></body>", "Text"),
+        ("<body class='has-sidebar'><p>Text</body>", "Text"),
+        ("<div class='search-results-page'><article><p>Text</article></div><p>Skip", "Text"),
+        ("<p>Go</p><div class='search-results-page'><p>Found text</div>", "Go\nFound text"),
+        ("<article class='cookie-recipes'><p>Bake</article>", "Bake"),
+        ("<article><p>One<section id='related-work'><p>Two</section><section id='discussion'><p>Three</section><div class='ad'>Buy</div></article>", "One\nTwo\nThree"),
+        ("<article><svg width='1'/><p>One</p><svg><text>no</text></svg><p>Two</article>", "One\nTwo"),
+        ("<article><svg width='1'><p>One</article>", "One"),
+        ("<main><p>Text</main><div id='comments'><article>First!</article></div>", "Text"),
+    ],
+)
+def test_class_words_leave_main_text(page, want):
+    assert html.extract(page, set()) == want
+
+
 # --- 9, 10 ---
 
 TEXTS = ["", " ", "  a", "a  b ", "a \n b\n\n  c", "'s don't 've", "\x1c a \x1c", "<|endoftext|> b", "a" * 500 + " b", "　 x  y", "日本 語 \t\t z", None, "word " * 3000]
