@@ -3,18 +3,21 @@
 A token is an element's path of container tags with their classes and ids (digits masked). For every host, and for all
 hosts together ('*'), one aggregation yields each token's occurrence vector over the pages as a fingerprint: how many
 pages hold it, how often, and two sums of page hashes times counts. Tokens of a host with equal vectors form an
-equivalence class; a class is valid if its tokens stand once on each of their pages and on at least SUPPORT of the
-host's pages. Valid classes nest by support: the class of all pages is the template's frame, smaller ones are optional
-parts within it. The slots of the template are its tokens' own texts; a slot whose text never changes is template text,
-slots of navigation, notices, adverts, forms or comments are chrome, and the page's main text is what remains: the
-slots of article or main elements, or else the varying slots that hold most of the host's text.
+equivalence class; a class is valid if its tokens stand once on each of their pages, and on at least SUPPORT of the
+host's pages and MIN_PAGES. Valid classes, ordered by support and position, nest into the template: a class lies in the
+class of the nearest token that holds its first one, so the class of all pages is the frame and smaller ones are optional
+parts within it. The template's slots are its tokens' own texts. A slot whose text never changes, in a class that has or
+lies in one with a changing slot, is template text, inside articles too; if nothing around it changes, the pages are
+copies and it stays. All else is data: changing slots, and repeated or rare elements between template tokens, whatever
+their share. Of a page's data, tags and class names only tell chrome (navigation, notices, adverts, forms, comments) from
+the rest, and article or main elements, if a page has text in any, from what is around them.
 
 Vectors are aggregated as sums, so a host with any share of all pages is never gathered in one task; what is kept per
 host is bounded by the tokens of a few pages (1/SUPPORT times a page's). Hosts of fewer than MIN_PAGES pages use the
 template of all hosts.
 
-Defined results: a null or empty html, or a page without text in the main slots' and no other non-chrome text, gives an
-empty text; a null or odd url counts as host ''; repeated rows are extracted each.
+Defined results: a null or empty html, or a page of chrome alone, gives an empty text; a page that has nothing but
+template text keeps it; a null or odd url counts as host ''; repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -200,7 +203,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds = {"": 0}
                 for node, block in parse(html or ""):
                     row = own.setdefault(node.path, [0, 0, []])
-                    kinds[node.path] = 0 if node.chrome else 2 if node.main else 1
+                    kinds[node.path] = 0 if node.chrome else 2 if node.own_main else 1
                     if block:
                         row[1] += len(block)
                         row[2].append(block)
@@ -225,50 +228,47 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in STATS.split(", ")])
 
 
-def _main_slots(classes: pd.Series) -> pd.Series:
-    """From a host's valid classes (tokens with kind, mean text and whether the text varies): the tokens of the main slots."""
+def _template_text(classes: list[dict]) -> list[str]:
+    """From a host's valid classes (pages, and tokens with kind, chars, and whether the text varies): the tokens of template text."""
+    ordered = sorted(classes, key=lambda c: (-c["pages"], min((t["token"].count(">"), t["token"]) for t in c["tokens"])))
+    home = {t["token"]: k for k, c in enumerate(ordered) for t in c["tokens"]}
+    changing: list[bool] = []
+    out = []
+    for k, c in enumerate(ordered):
+        path = min((t["token"] for t in c["tokens"]), key=lambda x: (x.count(">"), x))
+        while path and home.get(path, k) >= k:  # the class that this one lies in has more support or comes before
+            path = path.rpartition(">")[0]
+        changing.append(any(t["varies"] and t["kind"] for t in c["tokens"]) or bool(path) and changing[home[path]])
+        if changing[k]:
+            out += [t["token"] for t in c["tokens"] if t["chars"] and not t["varies"] and t["kind"] != 2]
+    return sorted(out)
 
-    def choose(rows) -> list[str]:
-        rows = [r for r in rows if r["kind"]]
-        named = [r["token"] for r in rows if r["kind"] == 2]
-        if named:
-            return sorted(named)
-        varying = [r for r in rows if r["varies"]]
-        most = max((r["chars"] for r in varying), default=0)
-        return sorted(r["token"] for r in varying if r["chars"] * 4 >= most > 0)
 
-    return classes.map(choose)
+def _template_texts(classes: pd.Series) -> pd.Series:
+    return classes.map(_template_text)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and the tokens of its template's main slots; host '*' stands for all hosts together."""
+    """host and the tokens of its template text; host '*' stands for all hosts together."""
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "f1", "f2", "chars")]
     stats = pages.select("page_id", "url", "html").mapInArrow(_statistics, STATS)
     tokens = stored(stats.groupBy("host", "token").agg(F.max("kind").alias("kind"), *sums, F.min("least").alias("least"), F.max("most").alias("most")), "html-tokens")
     total = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"))
     own = tokens.where("token <> ''").join(total, "host")
-    # A class: tokens of equal occurrence vectors. Valid: once on each of its pages, on SUPPORT of the host's pages.
-    vector = ["host", "all_pages", "pages", "times", "f1", "f2"]
-    valid = own.where((F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.col("times") == F.col("pages")))
-    token = F.struct("token", "kind", (F.col("chars") / F.col("pages")).alias("chars"), (F.col("least") != F.col("most")).alias("varies"))
+    # A class: tokens of equal occurrence vectors. Valid: once on each of its pages, on SUPPORT of the host's pages and MIN_PAGES.
+    vector = ["host", "pages", "times", "f1", "f2"]
+    valid = own.where((F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("all_pages"))) & (F.col("times") == F.col("pages")))
+    token = F.struct("token", "kind", "chars", (F.col("least") != F.col("most")).alias("varies"))
     classes = valid.groupBy(*vector).agg(F.collect_list(token).alias("tokens"))
-    template = classes.where((F.col("host") == ANY) | (F.col("all_pages") >= MIN_PAGES)).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("classes"))
-    return template.select("host", F.pandas_udf(_main_slots, "array<string>")("classes").alias("main")).where(F.size("main") > 0)
-
+    template = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "tokens")).alias("classes"))
+    return template.select("host", F.pandas_udf(_template_texts, "array<string>")("classes").alias("template"))
 
-def extract(html: str | None, main: set[str]) -> str:
-    """The blocks in the main slots and below them, without chrome; all blocks but chrome if the page has no such slot."""
-    blocks = parse(html or "")
-
-    def within(path: str) -> bool:
-        while path:
-            if path in main:
-                return True
-            path = path.rpartition(">")[0]
-        return False
 
-    kept = [block for node, block in blocks if block and not node.chrome and (node.main or within(node.path))]
-    return "\n".join(kept or [block for node, block in blocks if block and not node.chrome])
+def extract(html: str | None, template: set[str]) -> str:
+    """The page's blocks but chrome and template text: those of its article or main elements if there are any, or else all."""
+    blocks = [(node, block) for node, block in parse(html or "") if block and not node.chrome]
+    scope = [(node, block) for node, block in blocks if node.main] or blocks
+    return "\n".join([block for node, block in scope if node.path not in template] or [block for _, block in scope])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -276,17 +276,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = stored(templates(pages), "html-templates")
-    common = [r.main for r in found.where(F.col("host") == ANY).collect()]
+    common = [r.template for r in found.where(F.col("host") == ANY).collect()]
     shared = spark.sparkContext.broadcast(frozenset(common[0]) if common else frozenset())
     own = found.where(F.col("host") != ANY).withColumnRenamed("host", "_host")
     own = F.broadcast(own) if own.count() <= BROADCAST_HOSTS else own
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    joined = pages.join(own, host == F.col("_host"), "left").select("page_id", "url", "html", "main")
+    joined = pages.join(own, host == F.col("_host"), "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
-                slots = part.column("main").to_pylist()
+                slots = part.column("template").to_pylist()
                 out = [extract(h, shared.value if m is None else set(m)) for h, m in zip(part.column("html").to_pylist(), slots, strict=True)]
                 cols = [part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])

@@ -337,6 +337,20 @@ def test_class_words_leave_main_text(page, want):
     assert html.extract(page, set()) == want
 
 
+def test_template_text_is_deduced(spark):
+    """Constant text goes, inside articles too; rare, repeated and short slots stay; copies of a page stay whole."""
+    article = "<body><div class='top'>Welcome</div><article><p>Story {i}<div class='box'>All rights</div></article>"
+    loose = "<body><div class='top'>Welcome</div><div class='post'>{long}</div><div class='note'>n{i}</div><ul><li>a{i}<li>b{i}</ul><ul><li>c{i}</ul>{rare}"
+    rows = [(i, f"http://a.com/{i}", article.format(i=i)) for i in range(8)]
+    rows += [(20 + i, f"http://b.com/{i}", loose.format(i=i, long=f"long {i} " * 30, rare="<section>Rare</section>" * (i == 3))) for i in range(8)]
+    rows += [(40 + i, f"http://c.com/{i}", article.format(i=0)) for i in range(4)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Story {i}"
+        assert got[20 + i] == "\n".join([(f"long {i} " * 30).strip(), f"n{i}", f"a{i}", f"b{i}", f"c{i}", *["Rare"] * (i == 3)])
+    assert all(got[40 + i] == "Story 0\nAll rights" for i in range(4))
+
+
 # --- 9, 10 ---
 
 TEXTS = ["", " ", "  a", "a  b ", "a \n b\n\n  c", "'s don't 've", "\x1c a \x1c", "<|endoftext|> b", "a" * 500 + " b", "　 x  y", "日本 語 \t\t z", None, "word " * 3000]
