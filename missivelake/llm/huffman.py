@@ -141,7 +141,7 @@ def documents_of(data: bytes, book: Codebook) -> list[tuple[int | None, np.ndarr
     return [(None if z else int(k), ids[e - c : e]) for k, z, c, e in zip(keys, nulls, counts, ends, strict=True)]
 
 
-def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
+def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, added_tokens: bool = False, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode docs (doc_id, text) into an archive at folder."""
     spark = docs.sparkSession
 
@@ -168,7 +168,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, block_t
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
 
-    ids = stored(mapped(docs, keep, "doc_id long, ids binary", tokenizer), "huffman-ids")
+    ids = stored(mapped(docs, keep, "doc_id long, ids binary", tokenizer, added_tokens), "huffman-ids")
     counts = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     lengths = code_lengths({r.id: r.n for r in counts})
     spark.createDataFrame([(k, b) for k, b in sorted(lengths.items())], "id int, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
@@ -227,9 +227,9 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("file", "first", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, *, tokenizer: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Write an archive of docs to the shared folder and read it back."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/huffman-{uuid.uuid4().hex}"
-    write(docs, folder, tokenizer=tokenizer)
+    write(docs, folder, tokenizer=tokenizer, added_tokens=added_tokens)
     return read_back(spark, folder)

@@ -142,7 +142,7 @@ def layout(bins: Counter[Bin]) -> dict[int, tuple[np.ndarray, np.ndarray, np.nda
 # --- Spark jobs --------------------------------------------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, added_tokens: bool = False, with_ids: bool = False) -> DataFrame:
     """The pieces of every document's ids (PIECES, and with_ids the ids themselves as little-endian 32-bit bytes)."""
 
     def cut(part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, w
         keep = 6 if with_ids else 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:keep], types, strict=False)], names[:keep])
 
-    return mapped(docs, cut, PIECES + ", ids binary" * with_ids, tokenizer)
+    return mapped(docs, cut, PIECES + ", ids binary" * with_ids, tokenizer, added_tokens)
 
 
 def place(cut: DataFrame, *, size: int = SIZE, buckets: int | None = None) -> DataFrame:
@@ -193,9 +193,9 @@ def place(cut: DataFrame, *, size: int = SIZE, buckets: int | None = None) -> Da
     return placed.select(*cut.columns[:-1], "_put.sequence_id", "_put.offset")
 
 
-def pack(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, added_tokens: bool = False, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places; with_ids also their ids, so that sorting by (sequence_id, offset) gives the sequences."""
-    return place(stored(pieces(docs, size=size, tokenizer=tokenizer, with_ids=with_ids), "packing-pieces"), size=size)
+    return place(stored(pieces(docs, size=size, tokenizer=tokenizer, added_tokens=added_tokens, with_ids=with_ids), "packing-pieces"), size=size)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -48,11 +48,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(read(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.round_trip(read(spark, sf_dir, "documents"))
+    return huffman.round_trip(read(spark, sf_dir, "documents"), added_tokens=True)
 
 
 QUERIES: dict[str, Query] = {

@@ -5,6 +5,10 @@ space-separated pieces in turn. Each distinct piece goes through the tokenizer o
 keeps its ids; pieces are told apart and looked up many at a time, by two 64-bit hashes of their bytes. This gives the
 ids of the plain ``encode`` call (tests compare them) at a fraction of its time. Texts that the cut doesn't fit (a space
 before white space, pieces or texts beyond the limits below) go through the plain call.
+
+An added token's own text within a text, such as ``<|endoftext|>``, is that token's id in the plain call, and with
+``added_tokens=True`` here, as the queries and the pipeline have it; such texts go through the plain call too. Without
+it, it is read as any other text.
 """
 
 from __future__ import annotations
@@ -118,12 +122,15 @@ class PieceTable:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, the end id last."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        #: Texts of added tokens, which the cut into pieces could miss or split: always for those that aren't special.
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (added_tokens or not t.special)]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         #: Bytes that each id stands for, or None if the tokenizer isn't byte-level.
         byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         size = self.tokenizer.get_vocab_size()
@@ -225,7 +232,7 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(docs)
         apart, group, size = [], [], 0
         for k, x in enumerate(docs):
-            if self.bytes_of is None or not x or len(x) >= TOGETHER or _ODD_SPACE.search(x):
+            if self.bytes_of is None or not x or len(x) >= TOGETHER or _ODD_SPACE.search(x) or self.added and self.added.search(x):
                 apart.append(k)
                 continue
             if size + len(x) + 1 > TOGETHER:
@@ -243,17 +250,17 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """The worker's encoder, whose table serves all of its tasks."""
-    return Encoder(path)
+    return Encoder(path, added_tokens)
 
 
-def mapped(docs: DataFrame, build: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, tokenizer: str | None = None) -> DataFrame:
+def mapped(docs: DataFrame, build: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, tokenizer: str | None = None, added_tokens: bool = False) -> DataFrame:
     """build(rows of (doc_id, text), their ids) for all of docs, part by part."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added_tokens)
         for batch in batches:
             for part in chunks(batch):
                 yield build(part, encode(texts(part)))

@@ -373,6 +373,26 @@ def test_encoder_equals_plain_encoding(ids):
         assert encode(TEXTS + mixed) == [ids(x).tobytes() for x in TEXTS + mixed]
 
 
+def test_queries_equal_the_untouched_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    said = ["end <|endoftext|> next", "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "<|endoftext |> c", "plain text", "d  <|endoftext|>\n", ""]
+    whole = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for x in said]
+    assert whole[0].tolist() == [437, 220, 50256, 1306, 2]
+    assert Encoder(public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)(said) == [x.tobytes() for x in whole]
+    frame = docs(spark, list(enumerate(said)))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(whole)]
+    for packed in (registry.op9_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, frame, str(tmp_path))):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in packed.collect()) == want
+    starts = np.cumsum([0, *map(len, whole)]).tolist()
+    coded = sorted(map(tuple, registry.op10_huffman(spark, str(tmp_path)).collect()))
+    assert coded == [(i, start, n, crc) for start, (i, n, crc) in zip(starts, want, strict=False)]
+
+
 def test_packing(spark, ids):
     rows = [(i, x) for i, x in enumerate(TEXTS)] + [(200 + i, "lorem ipsum " * (20 + i)) for i in range(80)] + [(300, "same"), (300, "same")]
     got = packing.pack(docs(spark, rows), with_ids=True).collect()
