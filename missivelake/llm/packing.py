@@ -3,7 +3,8 @@
 Only lengths decide how well pieces fit, and there are at most SIZE different ones, so the plan is made on the global
 histogram of lengths (one aggregated row for each length, whatever the corpus): best fit by decreasing length fills
 bins, held as bin contents with a multiplicity; then local search exchanges pieces one for one and two for one, and
-moves pieces, between underfull bins, always raising the sum of squared fills, until the smallest bins are empty.
+moves pieces, between underfull bins, always raising the sum of squared fills, until no exchange is left or ROUNDS are spent, which
+is logged: the packing is valid then, but more exchanges might empty further bins.
 
 The corpus itself never leaves the executors: every piece learns its rank among the pieces of its length (ranks within
 hash buckets of each length, plus the counts of the buckets before, so that a length held by a third of all rows is
@@ -15,6 +16,7 @@ apart (by partition and row); a text of more than SIZE tokens is cut into SIZE-t
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -30,6 +32,8 @@ from missivelake.llm.common import stored
 from missivelake.llm.tokens import mapped
 
 SIZE = 1024
+#: Rounds of local search, each an exchange or a source found without one.
+ROUNDS = 4000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,7 +92,7 @@ def _moves(a: Bin, b: Bin, size: int) -> tuple[Bin, Bin] | None:
     return order(ca), order(cb)
 
 
-def local_search(bins: Counter[Bin], size: int, rounds: int = 4000) -> Counter[Bin]:
+def local_search(bins: Counter[Bin], size: int, rounds: int = ROUNDS) -> Counter[Bin]:
     """Fill underfull bins from the emptiest one until no exchange raises the squared fill, or rounds are spent."""
     full = Counter({b: n for b, n in bins.items() if sum(b) == size})
     under = Counter({b: n for b, n in bins.items() if 0 < sum(b) < size})
@@ -117,6 +121,8 @@ def local_search(bins: Counter[Bin], size: int, rounds: int = 4000) -> Counter[B
                 break
         else:
             stuck.add(source)
+    else:
+        logging.getLogger(__name__).warning("local search stopped after %d rounds with %d underfull bins; more exchanges may be left", rounds, sum(under.values()))
     return full + under
 
 

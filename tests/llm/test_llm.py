@@ -444,6 +444,14 @@ def test_local_search_beats_best_fit():
         assert used == counts and sum(after.values()) <= sum(before.values())
 
 
+def test_spent_rounds_are_logged(caplog):
+    bins = packing.best_fit(Counter({6: 1, 5: 1, 4: 3, 3: 1, 2: 1}), 12)
+    packing.local_search(bins, 12)
+    assert not caplog.records
+    packing.local_search(bins, 12, rounds=1)
+    assert "stopped after 1 rounds" in caplog.text
+
+
 def test_huffman_round_trip(spark, ids):
     rows = [(i, x) for i, x in enumerate(TEXTS)] + [(None, "null id"), (3, "again"), (-5, "negative")]
     got = huffman.round_trip(docs(spark, rows)).collect()
