@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at one time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 # Maps A-Z to a-z, keeps digits, letters and every byte of a non-ASCII character, and makes the rest spaces.
 _WORD_BYTES = bytes(

@@ -6,11 +6,13 @@ repetitive it is (compressed size, share of distinct words). A learned layer enc
 (tanh and sigmoid branches) weighs the codes within the document, and a logistic layer scores the weighted sum.
 Only the document's label is known in training; passages have none.
 
-The model is fitted on at most ``max_train`` labelled documents (those of smallest id hash), of which passages beyond
-``max_train_passages`` are left out at even steps; both bounds are parameters. Scores use every passage of every text.
+The model is fitted on labelled documents, those of smallest id hash: ``max_train`` of them at most, and as many as
+bring no more than ``max_passages`` passages together; both bounds are parameters. A document is taken with all of its
+passages or not at all. Scores use every passage of every text.
 
 Defined results: a null or empty text is one passage without bytes and has a score; labels that are null or belong to
-no document are ignored; with labels of fewer than two kinds every score is 0.5; repeated rows score alike.
+no document are ignored; with labels of fewer than two kinds every score is 0.5; repeated rows score alike and are each
+returned; columns other than doc_id and text are ignored, whatever their names, and ``keep_good`` carries them.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missivelake.llm.common import chunks, fold, texts
+from missivelake.llm.common import chunks, fold, stored, texts
 
 PASSAGE_BYTES = 1200
 MAX_TRAIN = 6000
-MAX_TRAIN_PASSAGES = 48
+MAX_PASSAGES = 60_000
+#: Passages whose byte pairs are counted at one time.
+TOGETHER = 256
 CODE, GATE = 24, 12
 CLASSES = 16
 START = 15
@@ -53,18 +57,25 @@ def passages(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in rows], np.int64)
     counts = np.maximum(1, -(-lengths // PASSAGE_BYTES))
     first = np.cumsum(counts) - counts
+    pairs = CLASSES * CLASSES
     out = np.zeros((int(counts.sum()), FEATURES), np.float32)
     text = np.frombuffer(b"".join(rows), np.uint8)
-    kind = LUT[text].astype(np.int64)
-    before = np.empty_like(kind)
-    before[1:] = kind[:-1]
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    before[starts] = START
-    within = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.repeat(first, lengths) + within // PASSAGE_BYTES
-    pairs = CLASSES * CLASSES
-    n = np.bincount(at * pairs + before * CLASSES + kind, minlength=len(out) * pairs).reshape(len(out), pairs)
-    out[:, :pairs] = np.sqrt(n / np.maximum(1, n.sum(1, keepdims=True)))
+    within = (np.arange(len(out)) - np.repeat(first, counts)) * PASSAGE_BYTES
+    starts = np.repeat(np.cumsum(lengths) - lengths, counts) + within
+    ends = starts + np.minimum(PASSAGE_BYTES, np.repeat(lengths, counts) - within)
+    for p in range(0, len(out), TOGETHER):
+        q = min(p + TOGETHER, len(out))
+        low, high = starts[p], ends[q - 1]
+        kind = LUT[text[low:high]]
+        before = np.empty_like(kind)
+        before[1:] = kind[:-1]
+        if high > low:
+            before[0] = LUT[text[low - 1]] if within[p] else START
+            heads = starts[p:q][(within[p:q] == 0) & (ends[p:q] > starts[p:q])]
+            before[heads - low] = START
+        at = np.repeat(np.arange(q - p, dtype=np.int32), ends[p:q] - starts[p:q])
+        n = np.bincount(at * pairs + (before * np.uint8(CLASSES) + kind), minlength=(q - p) * pairs).reshape(q - p, pairs)
+        out[p:q, :pairs] = np.sqrt(n / np.maximum(1, n.sum(1, keepdims=True)))
     i = 0
     for x in rows:
         for k in range(0, max(1, len(x)), PASSAGE_BYTES):
@@ -150,28 +161,34 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_tr
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_train_passages: int = MAX_TRAIN_PASSAGES) -> AttentionModel | None:
+def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> AttentionModel | None:
     """The model learnt from documents outside the held-out fold, or None if their labels are of one kind."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 x, counts = passages(texts(part))
-                ends = np.cumsum(counts)
-                bags = []
-                for end, n in zip(ends, counts, strict=True):
-                    bag = x[end - n : end]
-                    if n > max_train_passages:
-                        bag = bag[np.linspace(0, n - 1, max_train_passages).astype(int)]
-                    bags.append(bag.astype("<f2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), part.column("y")], ["x", "y"])
-
-    rows = sample(docs, labels, "quality", fold(F.col("doc_id"), 3) != 1, max_train).mapInArrow(encode, "x binary, y int").collect()
+                bags = [b.astype("<f2").tobytes() for b in np.split(x, np.cumsum(counts)[:-1])]
+                keys = [zlib.crc32(b) for b in bags]
+                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), pa.array(counts), pa.array(keys, pa.int64()), part.column("y")], ["x", "n", "key", "y"])
+
+    found = sample(docs, labels, "quality", fold(F.col("doc_id"), 3) != 1, max_train)
+    found = stored(found.mapInArrow(encode, "x binary, n long, key long, y int"), "quality")
+    left, taken = max_passages, []
+    for r in found.select("key", "n").orderBy("key", "n").collect():  # a crc32 of the features is as good as random
+        if r.n <= left:
+            left -= r.n
+            taken.append((r.key, r.n))
+    size = found.select(F.sum("n")).first()[0] or 0
+    if size > max_passages:
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(sorted(set(taken)), "key long, n long")), ["key", "n"])
+    rows = found.select("x", "y").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.x)))
     if len({r.y for r in rows}) < 2:
         return None
     bags = [np.frombuffer(r.x, "<f2").reshape(-1, FEATURES) for r in rows]
-    return fit(np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]), np.array([r.y for r in rows], np.float32))
+    x = np.concatenate(bags, dtype=np.float32)
+    return fit(x, np.array([len(b) for b in bags]), np.array([r.y for r in rows], np.float32))
 
 
 def score_documents(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
