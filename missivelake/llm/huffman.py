@@ -12,7 +12,9 @@ ids, u32 checkpoint interval; i64 doc_id, u8 null flag and u64 number of ids for
 id a step, through one table of 2^(longest code) entries.
 
 Defined results: a null or empty text is the end id alone; null doc_ids stand first; rows of one doc_id are ordered by
-their ids; an empty table gives an archive without blocks.
+their ids' first 32 bytes, those that agree in these in no particular order; equal rows are coded each; texts of any length are one document
+of a block; columns other than doc_id and text are ignored, whatever their names; an empty table gives an archive
+without blocks.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def documents_of(data: bytes, book: Codebook) -> list[tuple[int | None, np.ndarr
     return [(None if z else int(k), ids[e - c : e]) for k, z, c, e in zip(keys, nulls, counts, ends, strict=True)]
 
 
-def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, added_tokens: bool = False, block_tokens: int = BLOCK_TOKENS) -> None:
+def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode docs (doc_id, text) into an archive at folder."""
     spark = docs.sparkSession
 
@@ -168,7 +170,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, added_t
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
 
-    ids = stored(mapped(docs, keep, "doc_id long, ids binary", tokenizer, added_tokens), "huffman-ids")
+    ids = stored(mapped(docs, keep, "doc_id long, ids binary", tokenizer), "huffman-ids")
     counts = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     lengths = code_lengths({r.id: r.n for r in counts})
     spark.createDataFrame([(k, b) for k, b in sorted(lengths.items())], "id int, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
@@ -196,7 +198,11 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, added_t
             yield out()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # Rows of one id are told apart by their ids' first bytes, and rows alike in these by chance, so that an id, or null,
+    # that many rows have doesn't meet in one task.
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("_head"), F.col("_any")]
+    salted = ids.withColumns({"_head": F.substring("ids", 1, 32), "_any": F.rand(7)})
+    ranged = salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     ranged.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -227,9 +233,9 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("file", "first", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, *, tokenizer: str | None = None, added_tokens: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     """Write an archive of docs to the shared folder and read it back."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/huffman-{uuid.uuid4().hex}"
-    write(docs, folder, tokenizer=tokenizer, added_tokens=added_tokens)
+    write(docs, folder, tokenizer=tokenizer)
     return read_back(spark, folder)

@@ -3,8 +3,8 @@
 Only lengths decide how well pieces fit, and there are at most SIZE different ones, so the plan is made on the global
 histogram of lengths (one aggregated row for each length, whatever the corpus): best fit by decreasing length fills
 bins, held as bin contents with a multiplicity; then local search exchanges pieces one for one and two for one, and
-moves pieces, between underfull bins, always raising the sum of squared fills, until no exchange is left or ROUNDS are spent, which
-is logged: the packing is valid then, but more exchanges might empty further bins.
+moves pieces, between underfull bins, always raising the sum of squared fills, until no exchange is left or there are
+no more bins than all pieces together fill.
 
 The corpus itself never leaves the executors: every piece learns its rank among the pieces of its length (ranks within
 hash buckets of each length, plus the counts of the buckets before, so that a length held by a third of all rows is
@@ -16,7 +16,6 @@ apart (by partition and row); a text of more than SIZE tokens is cut into SIZE-t
 
 from __future__ import annotations
 
-import logging
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -32,8 +31,6 @@ from missivelake.llm.common import stored
 from missivelake.llm.tokens import mapped
 
 SIZE = 1024
-#: Rounds of local search, each an exchange or a source found without one.
-ROUNDS = 4000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,22 +64,15 @@ def best_fit(histogram: dict[int, int], size: int) -> Counter[Bin]:
     return bins
 
 
-def _moves(a: Bin, b: Bin, size: int) -> tuple[Bin, Bin] | None:
-    """The best way to fill the fuller bin a from b: a move, a one-for-one or a two-for-one exchange."""
-    room = size - sum(a)
-    best, gain = None, 0
-    give = [(), *[(x,) for x in sorted(set(a))]]
+def _takes(b: Bin) -> list[Bin]:
+    """What can be taken out of a bin: one item, or two."""
     have = Counter(b)
     kinds = sorted(have)
-    take = [*[(x,) for x in kinds], *[(x, y) for i, x in enumerate(kinds) for y in kinds[i:] if x != y or have[x] > 1]]
-    for out in give:
-        for into in take:
-            d = sum(into) - sum(out)
-            if gain < d <= room:
-                best, gain = (out, into), d
-    if best is None:
-        return None
-    out, into = best
+    return [*[(x,) for x in kinds], *[(x, y) for i, x in enumerate(kinds) for y in kinds[i:] if x != y or have[x] > 1]]
+
+
+def _exchanged(a: Bin, b: Bin, out: Bin, into: Bin) -> tuple[Bin, Bin]:
+    """Both bins after out went from a to b, and into from b to a."""
     ca, cb = Counter(a), Counter(b)
     ca.subtract(out)
     ca.update(into)
@@ -92,37 +82,50 @@ def _moves(a: Bin, b: Bin, size: int) -> tuple[Bin, Bin] | None:
     return order(ca), order(cb)
 
 
-def local_search(bins: Counter[Bin], size: int, rounds: int = ROUNDS) -> Counter[Bin]:
-    """Fill underfull bins from the emptiest one until no exchange raises the squared fill, or rounds are spent."""
+def local_search(bins: Counter[Bin], size: int) -> Counter[Bin]:
+    """Empty underfull bins, the emptiest first: of all moves, one-for-one and two-for-one exchanges with fuller bins the
+    one that raises the squared fill most is made, for as many bins of the same contents as there are. It ends when no
+    exchange is left, or with as few bins as their items can fill at all. The squared fill grows with every exchange."""
     full = Counter({b: n for b, n in bins.items() if sum(b) == size})
     under = Counter({b: n for b, n in bins.items() if 0 < sum(b) < size})
-    stuck: set[Bin] = set()
-    for _ in range(rounds):
-        sources = sorted((b for b in under if b not in stuck), key=lambda b: (sum(b), b))
-        if not sources:
+    least = -(-sum(sum(b) * n for b, n in bins.items()) // size) - sum(full.values())
+    untried: dict[Bin, set[Bin]] = {}  # for sources that found no exchange: the contents that have come up since
+    fills = {b: (sum(b), b) for b in under}
+    while sum(under.values()) > least:
+        source = min((b for b in under if untried.get(b, True)), key=fills.__getitem__, default=None)
+        if source is None:
             break
-        source = sources[0]
-        for target in sorted((b for b in under if b != source or under[b] > 1), key=lambda b: (-sum(b), b)):
-            if sum(target) < sum(source):
-                continue
-            moved = _moves(target, source, size)
-            if moved:
-                times = under[source] // 2 if target == source else min(under[source], under[target])
-                for b in (source, target):
-                    under[b] -= times
-                    if not under[b]:
-                        del under[b]
-                for b in moved:
-                    if sum(b) == size:
-                        full[b] += times
-                    elif b:
-                        under[b] += times
-                stuck.clear()
-                break
-        else:
-            stuck.add(source)
-    else:
-        logging.getLogger(__name__).warning("local search stopped after %d rounds with %d underfull bins; more exchanges may be left", rounds, sum(under.values()))
+        takes, fill = _takes(source), sum(source)
+        # What each target gives back, nothing at first: its place among the targets and the sum.
+        targets = sorted(b for b in untried.get(source, under) if fills[b][0] >= fill and under[b] > (b == source))
+        gives = [(k, out) for k, b in enumerate(targets) for out in ((), *[(x,) for x in sorted(set(b))])]
+        moved = False
+        if gives:
+            at, given = np.array([k for k, _ in gives]), np.array([sum(out) for _, out in gives])
+            filled = np.array([fills[b][0] for b in targets])[at][:, None]
+            d = np.array([sum(t) for t in takes]) - given[:, None]
+            gain = np.where((d > 0) & (d <= size - filled), d * (filled - fill + d), 0)
+            g, t = divmod(int(gain.argmax()), len(takes))
+            moved = bool(gain[g, t] > 0)
+        if not moved:
+            untried[source] = set()
+            continue
+        target = targets[gives[g][0]]
+        times = under[source] // 2 if target == source else min(under[source], under[target])
+        for b in (source, target):
+            under[b] -= times
+            if not under[b]:
+                del under[b]
+                untried.pop(b, None)
+        for b in _exchanged(target, source, gives[g][1], takes[t]):
+            if sum(b) == size:
+                full[b] += times
+                least -= times
+            elif b:
+                under[b] += times
+                fills[b] = (sum(b), b)
+                for new in untried.values():
+                    new.add(b)
     return full + under
 
 
@@ -148,7 +151,7 @@ def layout(bins: Counter[Bin]) -> dict[int, tuple[np.ndarray, np.ndarray, np.nda
 # --- Spark jobs --------------------------------------------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, added_tokens: bool = False, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of every document's ids (PIECES, and with_ids the ids themselves as little-endian 32-bit bytes)."""
 
     def cut(part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
@@ -165,7 +168,7 @@ def pieces(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, a
         keep = 6 if with_ids else 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:keep], types, strict=False)], names[:keep])
 
-    return mapped(docs, cut, PIECES + ", ids binary" * with_ids, tokenizer, added_tokens)
+    return mapped(docs, cut, PIECES + ", ids binary" * with_ids, tokenizer)
 
 
 def place(cut: DataFrame, *, size: int = SIZE, buckets: int | None = None) -> DataFrame:
@@ -199,9 +202,9 @@ def place(cut: DataFrame, *, size: int = SIZE, buckets: int | None = None) -> Da
     return placed.select(*cut.columns[:-1], "_put.sequence_id", "_put.offset")
 
 
-def pack(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, added_tokens: bool = False, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places; with_ids also their ids, so that sorting by (sequence_id, offset) gives the sequences."""
-    return place(stored(pieces(docs, size=size, tokenizer=tokenizer, added_tokens=added_tokens, with_ids=with_ids), "packing-pieces"), size=size)
+    return place(stored(pieces(docs, size=size, tokenizer=tokenizer, with_ids=with_ids), "packing-pieces"), size=size)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -1,14 +1,11 @@
 """Token ids of whole texts, by the tokenizers library.
 
-Byte-level BPE never merges across a space that stands before a non-space character, so a text's ids are those of its
-space-separated pieces in turn. Each distinct piece goes through the tokenizer once while a worker's bounded table
-keeps its ids; pieces are told apart and looked up many at a time, by two 64-bit hashes of their bytes. This gives the
-ids of the plain ``encode`` call (tests compare them) at a fraction of its time. Texts that the cut doesn't fit (a space
-before white space, pieces or texts beyond the limits below) go through the plain call.
-
-An added token's own text within a text, such as ``<|endoftext|>``, is that token's id in the plain call, and with
-``added_tokens=True`` here, as the queries and the pipeline have it; such texts go through the plain call too. Without
-it, it is read as any other text.
+Byte-level BPE never merges across a space that stands before a character other than white space, nor from a letter to a
+mark or digit, so a text's ids are those of the pieces between such places in turn. Each distinct piece goes through the tokenizer once while a worker's
+bounded table keeps its bytes and ids; pieces are looked up many at a time by two 64-bit hashes, and their bytes are
+compared. This gives the ids of the plain ``encode`` call (tests compare them) at a fraction of its time, and memory
+for a part of a text at a time. Parts with a very long piece, and parts that hold an added token's own text, such as
+``<|endoftext|>``, go through the plain call itself.
 """
 
 from __future__ import annotations
@@ -29,16 +26,9 @@ from missivelake.llm.common import chunks, texts
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces whose ids a worker remembers before it starts afresh, and bits of the table that finds them.
-MEMO, TABLE_BITS = 1_500_000, 22
+MEMO, TABLE_BITS = 600_000, 21
 #: Bytes of text that are cut at one time, and the longest piece that is remembered.
-TOGETHER, PIECE_BYTES = 1 << 19, 256
-
-# A space that white space, or nothing, follows.
-_ODD_SPACE = re.compile(
-    rb" (?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)"
-)
-# Letters at a piece's start that an ASCII character which is no letter follows: the cut the tokenizer makes there too.
-_RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[\x00-@\[-`{-\x7f])")
+TOGETHER, PIECE_BYTES = 1 << 18, 256
 
 
 class Hashes:
@@ -63,21 +53,23 @@ class Hashes:
 
 
 class PieceTable:
-    """Ids by a piece's two hashes: an open-addressed table over arrays."""
+    """Ids and bytes of pieces by their two hashes: an open-addressed table over arrays."""
 
     def __init__(self) -> None:
         self.slots = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.n = self.used = 0
-        self.h1, self.h2 = np.zeros(MEMO * 2, np.uint64), np.zeros(MEMO * 2, np.uint64)
-        self.start, self.count = np.zeros(MEMO * 2, np.int32), np.zeros(MEMO * 2, np.int32)
-        self.pool = np.zeros(1 << 20, np.uint32)
+        room = MEMO + TOGETHER
+        self.h1, self.h2 = np.zeros(room, np.uint64), np.zeros(room, np.uint64)
+        self.start, self.count = np.zeros(room, np.int32), np.zeros(room, np.int32)  # place in ids
+        self.place, self.size = np.zeros(room, np.int32), np.zeros(room, np.int32)  # place in bytes
+        self.pools = {"ids": np.zeros(1 << 18, np.uint32), "bytes": np.zeros(1 << 20, np.uint8)}
+        self.n, self.used = 0, {"ids": 0, "bytes": 0}
 
     def full(self) -> bool:
         return self.n > MEMO
 
     def clear(self) -> None:
         self.slots.fill(-1)
-        self.n = self.used = 0
+        self.n, self.used = 0, {"ids": 0, "bytes": 0}
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -94,14 +86,33 @@ class PieceTable:
             todo = todo[(e >= 0) & ((self.h1[e] != h1[todo]) | (self.h2[e] != h2[todo]))]
         return entry
 
-    def add(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Entries of new, different pairs of hashes."""
+    def differ(self, entries: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places where an entry's bytes aren't those of the slice of data that its hashes were taken of."""
+        sizes = ends - starts
+        wrong = self.size[entries] != sizes
+        same = np.flatnonzero(~wrong)
+        n = sizes[same]
+        upto = np.cumsum(n)
+        each = np.arange(int(upto[-1]) if len(upto) else 0)
+        kept = self.pools["bytes"][np.repeat(self.place[entries[same]] - (upto - n), n) + each]
+        off = np.flatnonzero(kept != data[np.repeat(starts[same] - (upto - n), n) + each])
+        wrong[same[np.searchsorted(upto, off, side="right")]] = True
+        return np.flatnonzero(wrong)
+
+    def _put(self, pool: str, values: np.ndarray) -> int:
+        at = self.used[pool]
+        if at + len(values) > len(self.pools[pool]):
+            self.pools[pool] = np.concatenate([self.pools[pool][:at], np.zeros(at + 2 * len(values), values.dtype)])
+        self.pools[pool][at : at + len(values)] = values
+        self.used[pool] = at + len(values)
+        return at
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> None:
+        """Entries of new, different pairs of hashes; ids and bytes of all of them stand in turn."""
         n, new = self.n, len(h1)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.h1[n : n + new], self.h2[n : n + new], self.count[n : n + new] = h1, h2, counts
-        self.start[n : n + new] = self.used + np.cumsum(counts) - counts
+        self.h1[n : n + new], self.h2[n : n + new], self.count[n : n + new], self.size[n : n + new] = h1, h2, counts, sizes
+        self.start[n : n + new] = self._put("ids", ids) + np.cumsum(counts) - counts
+        self.place[n : n + new] = self._put("bytes", data) + np.cumsum(sizes) - sizes
         slot, todo = self._slot(h1), np.arange(new)
         while len(todo):
             free = todo[self.slots[slot[todo]] < 0]
@@ -109,34 +120,59 @@ class PieceTable:
             self.slots[slot[free[first]]] = n + free[first]
             todo = todo[self.slots[slot[todo]] != n + todo]
             slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
-        self.n, self.used = n + new, self.used + len(ids)
+        self.n = n + new
 
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all entries in turn, and how many each has."""
         counts = self.count[entries].astype(np.int64)
         ends = np.cumsum(counts)
         at = np.repeat(self.start[entries] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.pool[at], counts
+        return self.pools["ids"][at], counts
+
+
+def _letters() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[65:91] = out[97:123] = True
+    return out
+
+
+_LETTER = _letters()
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Places of the spaces that no white space, nor the end, follows (where that is told by few bytes: some are left out)."""
+    at = np.flatnonzero(data[:-3] == 32)
+    a, b, c = data[at + 1], data[at + 2], data[at + 3]
+    fine = (a > 32) & ((a != 0xC2) | (b > 0xA0)) & (a != 0xE1) & (a != 0xE3)
+    return at[fine & ((a != 0xE2) | ((b == 0x80) & (c >= 0x90) & (c <= 0xA7)))]
+
+
+def _tails(data: np.ndarray) -> np.ndarray:
+    """Places right after a letter where an ASCII character stands that is neither letter nor space, and places of ASCII
+    letters after a line feed that is no part of more white space."""
+    letter = _LETTER[data]
+    ends = letter.copy()  # letters' last bytes; of others than ASCII those of two bytes with the first one C3
+    ends[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    tail = ends[:-1] & (data[1:] < 128) & ~letter[1:] & (data[1:] != 32)
+    tail[1:] |= letter[2:] & (data[1:-1] == 10) & (data[:-2] > 32) & (data[:-2] < 127)
+    return np.flatnonzero(tail) + 1
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, the end id last."""
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added_tokens
-        #: Texts of added tokens, which the cut into pieces could miss or split: always for those that aren't special.
-        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (added_tokens or not t.special)]
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         #: Bytes that each id stands for, or None if the tokenizer isn't byte-level.
         byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)]) if byte_level else None
         self.table, self.hashes = PieceTable(), Hashes(TOGETHER)
-        self.tails: dict[bytes, np.ndarray] = {}
         self.end = np.array([END_ID], "<u4").tobytes()
 
     def plain(self, rows: list[bytes]) -> list[np.ndarray]:
@@ -144,69 +180,41 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)]
 
     def learn(self, data: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Take pieces into the table: those that begin a text, and those with a space before them."""
-        alone = np.flatnonzero(first)
+        """Take pieces into the table: those that begin a text or follow a letter or line, and those with a space before them."""
+        cut = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        alone, spaced = np.flatnonzero(first), np.flatnonzero(~first)
         if len(alone):
-            found = self.plain([data[a:b] for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])
-            self.table.add(h1[alone], h2[alone], np.array([len(x) for x in found]), np.concatenate(found))
-        runs = [m.end() if (m := _RUN.match(data, a, b)) and not f else 0 for a, b, f in zip(starts.tolist(), ends.tolist(), first.tolist(), strict=True)]
-        runs = np.array(runs, np.int64)
-        whole = np.flatnonzero(~first & (runs == 0))
-        self._learn_spaced(data, starts[whole], ends[whole], h1[whole], h2[whole])
-        cut = np.flatnonzero(runs)
-        if len(cut):
-            self._learn_cut(data, starts[cut], runs[cut], ends[cut], h1[cut], h2[cut])
-
-    def _learn_spaced(self, data: bytes, starts: np.ndarray, ends: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Many pieces are encoded as one text and told apart by their bytes."""
-        if len(starts):
-            text = b"".join([b" " + data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            ids = self.plain([text])[0]
-            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(ends - starts + 1)) + 1
-            self.table.add(h1, h2, np.diff(upto, prepend=0), ids)
-
-    def _learn_cut(self, data: bytes, starts: np.ndarray, runs: np.ndarray, ends: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Pieces of a run of letters and a tail: the ids of both, one after the other."""
-        r1, r2 = self._keys(np.frombuffer(data, np.uint8), starts, runs)
-        entries = self.table.find(r1, r2)
-        gaps = np.flatnonzero(entries < 0)
-        while len(gaps):
-            _, one = np.unique(r1[gaps], return_index=True)
-            new = gaps[np.sort(one)]
-            # A run may also be among the new pieces themselves; those were taken in before.
-            self._learn_spaced(data, starts[new], runs[new], r1[new], r2[new])
-            entries[gaps] = self.table.find(r1[gaps], r2[gaps])
-            gaps = gaps[entries[gaps] < 0]
-        tails = [data[a:b] for a, b in zip(runs.tolist(), ends.tolist(), strict=True)]
-        if len(self.tails) > MEMO // 10:
-            self.tails.clear()
-        new_tails = list(set(tails).difference(self.tails))
-        self.tails.update(zip(new_tails, self.plain(new_tails), strict=True))
-        tail_ids = [self.tails[t] for t in tails]
-        run_ids, n = self.table.ids(entries)
-        m = np.array([len(x) for x in tail_ids])
-        total = n + m
-        at = np.cumsum(total) - total
-        ids = np.zeros(int(total.sum()), np.uint32)
-        ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(run_ids))] = run_ids
-        ids[np.repeat(at + n - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))] = np.concatenate(tail_ids)
-        self.table.add(h1, h2, total, ids)
-
-    def _keys(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        h1, h2 = self.hashes(buffer, starts, ends)
-        return [h1 ^ (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB), h2]
-
-    def together(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Ids of non-empty texts of at most TOGETHER bytes in all, none with an odd space."""
-        data = b" ".join(rows)
+            pieces = [cut[k] for k in alone]
+            found = self.plain(pieces)
+            self._add(h1[alone], h2[alone], np.array([len(x) for x in found]), np.concatenate(found), pieces)
+        if len(spaced):  # many are encoded as one text and told apart by their bytes
+            pieces = [cut[k] for k in spaced]
+            ids = self.plain([b" " + b" ".join(pieces)])[0]
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x) + 1 for x in pieces])) + 1
+            self._add(h1[spaced], h2[spaced], np.diff(upto, prepend=0), ids, pieces)
+
+    def _add(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, ids: np.ndarray, pieces: list[bytes]) -> None:
+        self.table.add(h1, h2, counts, ids, np.array([len(x) for x in pieces]), np.frombuffer(b"".join(pieces), np.uint8))
+
+    def together(self, parts: list[bytes], begins: list[bool]) -> list[np.ndarray]:
+        """Ids of non-empty parts of texts of at most TOGETHER bytes in all: those that begin a text, and those that a
+        space stands before."""
+        data = b" ".join(parts)
         buffer = np.frombuffer(data, np.uint8)
-        spaces = np.flatnonzero(buffer == 32)
-        starts, ends = np.append(0, spaces + 1), np.append(spaces, len(buffer))
-        lengths = np.array([len(x) for x in rows])
-        heads = np.searchsorted(starts, np.cumsum(lengths + 1) - (lengths + 1))  # each text's first piece
-        first = np.zeros(len(starts), bool)
-        first[heads] = True
-        h1, h2 = self._keys(buffer, starts, ends)
+        lengths = np.array([len(x) for x in parts])
+        heads = np.cumsum(lengths + 1) - (lengths + 1)
+        spaced, first = np.zeros(len(buffer), bool), np.zeros(len(buffer), bool)  # pieces with a space before them, and without
+        spaced[_spaces(buffer) + 1] = True
+        if len(buffer) > 2:
+            first[_tails(buffer)] = True
+        spaced[heads], first[heads] = ~np.array(begins), begins
+        starts = np.flatnonzero(spaced | first)
+        ends = np.append(starts[1:] - spaced[starts[1:]], len(buffer))
+        ends[np.searchsorted(starts, heads[1:]) - 1] = heads[1:] - 1
+        first = first[starts]
+        head = np.searchsorted(starts, heads)  # each part's first piece
+        h1, h2 = self.hashes(buffer, starts, ends)
+        h1 ^= (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
         h1[first] ^= np.uint64(0x5851F42D4C957F2D)
         long = ends - starts > PIECE_BYTES
         if self.table.full():
@@ -219,48 +227,72 @@ class Encoder:
             self.learn(data, starts[new], ends[new], first[new], h1[new], h2[new])
             entries[gaps] = self.table.find(h1[gaps], h2[gaps])
             gaps = gaps[entries[gaps] < 0]
-        entries[long] = 0  # any: these texts go through the plain call below
+        short = np.flatnonzero(~long)
+        apart = np.append(np.flatnonzero(long), short[self.table.differ(entries[short], buffer, starts[short], ends[short])])
+        entries[long] = 0  # any: these parts go through the plain call below
         ids, counts = self.table.ids(entries)
-        out = np.split(ids, np.cumsum(np.add.reduceat(counts, heads))[:-1])
-        if long.any():
-            for k in np.unique(np.searchsorted(heads, np.flatnonzero(long), side="right") - 1).tolist():
-                out[k] = self.plain([rows[k]])[0]
+        out = np.split(ids, np.cumsum(np.add.reduceat(counts, head))[:-1])
+        for k in np.unique(np.searchsorted(head, apart, side="right") - 1).tolist():
+            out[k] = self.plain([parts[k] if begins[k] else b" " + parts[k]])[0]
+        return out
+
+    def parts(self, text: bytes) -> list[tuple[bytes, bool]]:
+        """A text in parts of at most TOGETHER bytes (longer where no space allows a cut), and whether they begin it."""
+        out, at = [], 0
+        while len(text) - at > TOGETHER:
+            window = np.frombuffer(text, np.uint8, TOGETHER + 4 if len(text) - at > TOGETHER + 4 else len(text) - at, at)
+            cuts = _spaces(window[: TOGETHER + 3])
+            if not len(cuts) or not cuts[-1]:
+                cuts = _spaces(np.frombuffer(text, np.uint8, len(text) - at, at))
+                cuts = cuts[cuts > 0][:1]
+            if not len(cuts):
+                break
+            out.append((text[at : at + int(cuts[-1])], not at))
+            at += int(cuts[-1]) + 1
+        out.append((text[at:], not at))
         return out
 
     def __call__(self, rows: list[str | bytes | None]) -> list[bytes]:
-        docs = [x.encode() if isinstance(x, str) else x or b"" for x in rows]
-        out: list[np.ndarray | None] = [None] * len(docs)
-        apart, group, size = [], [], 0
-        for k, x in enumerate(docs):
-            if self.bytes_of is None or not x or len(x) >= TOGETHER or _ODD_SPACE.search(x) or self.added and self.added.search(x):
-                apart.append(k)
-                continue
-            if size + len(x) + 1 > TOGETHER:
-                for j, ids in zip(group, self.together([docs[j] for j in group]), strict=True):
-                    out[j] = ids
-                group, size = [], 0
-            group.append(k)
-            size += len(x) + 1
+        found: list[list[np.ndarray]] = []
+        group: list[tuple[bytes, bool, list[np.ndarray], int]] = []
+        size = 0
+
+        def flush() -> None:
+            for (*_, own, k), ids in zip(group, self.together([g[0] for g in group], [g[1] for g in group]), strict=True):
+                own[k] = ids
+            group.clear()
+
+        for x in rows:
+            text = x.encode() if isinstance(x, str) else x or b""
+            cut = self.parts(text) if text and self.bytes_of is not None else [(text, True)]
+            own = [np.zeros(0, np.uint32)] * len(cut)
+            found.append(own)
+            for k, (part, begins) in enumerate(cut):
+                if self.bytes_of is None or not part or len(part) > TOGETHER or self.added and self.added.search(part):
+                    own[k] = self.plain([part if begins else b" " + part])[0]
+                    continue
+                if group and size + len(part) + 1 > TOGETHER:
+                    flush()
+                    size = 0
+                group.append((part, begins, own, k))
+                size += len(part) + 1
         if group:
-            for j, ids in zip(group, self.together([docs[j] for j in group]), strict=True):
-                out[j] = ids
-        for k, ids in zip(apart, self.plain([docs[k] for k in apart]), strict=True):
-            out[k] = ids
-        return [ids.astype("<u4").tobytes() + self.end for ids in out]
+            flush()
+        return [np.concatenate(own).astype("<u4").tobytes() + self.end for own in found]
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, added_tokens: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder, whose table serves all of its tasks."""
-    return Encoder(path, added_tokens)
+    return Encoder(path)
 
 
-def mapped(docs: DataFrame, build: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, tokenizer: str | None = None, added_tokens: bool = False) -> DataFrame:
+def mapped(docs: DataFrame, build: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, tokenizer: str | None = None) -> DataFrame:
     """build(rows of (doc_id, text), their ids) for all of docs, part by part."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, added_tokens)
+        encode = encoder(path)
         for batch in batches:
             for part in chunks(batch):
                 yield build(part, encode(texts(part)))
