@@ -1,23 +1,30 @@
 """Toxicity: a counterfactually regularised classifier.
 
 A text is scored by a logistic model over the words it holds and over word beginnings that several of its words share
-(languages that build words from stems vary the rest). Both are chosen from the labelled documents by how strongly
-their presence depends on the label. In training, every labelled text has a counterfactual twin in which each
-identity term (IDENTITY, a parameter) is swapped for another of its row; texts without a term get one added. The loss
-holds, besides the log loss, ``penalty`` times the squared change of the score between twins, so that naming a group
-does not by itself raise a score. Identity terms are always among the model's words, so that the penalty can act.
-
-A document's logit is the sum over the distinct chosen features of its whole text. A word counts in any length of text;
-a beginning counts by its distinct words, two or three at least, and only if one word in SHARE has it, so that chance
-does not add up in long texts.
-
-The model is fitted on at most ``max_train`` labelled documents (smallest id hash) and ``max_words`` words; both bounds
-are parameters. Defined results: a null or empty text scores as a text without chosen words; labels that are null or
-belong to no document are ignored; with labels of fewer than two kinds every score is 0.
+(languages that build words from stems vary the rest): those whose presence in the labelled texts depends on the label
+at MIN_CHI2 or more. A word counts once, in any length of text. A beginning counts by how densely its distinct words
+stand in the text, at most once, since in long texts a few such words come by chance.
+
+Identity terms come from a table (IDENTITY, rows of interchangeable names) and from the labelled texts themselves: a
+word is taken for one if its texts are toxic more often than others (TERM_CHI2) though half of them or more are not;
+this is how neutral names of groups that abuse is aimed at show up. Its counterpart is a word that is about as frequent
+and says nothing about the label. Identity terms are always among the model's words.
+
+In training, every labelled text that names an identity term has a counterfactual twin: in each of its sentences the
+terms are swapped for their counterparts. The loss holds, besides the log loss, ``penalty`` times the squared change of
+the score between twins, taken before the logistic function so that it counts alike for low and high scores; so naming
+a group does not by itself raise a score.
+
+The model is fitted on at most ``max_train`` labelled documents (smallest id hash), a parameter. Defined results: a null
+or empty text scores as a text without chosen words; texts are scored whole, whatever their length; repeated rows score
+alike and are each returned; other columns are ignored, whatever their names; labels that are null or belong to no
+document are ignored; with labels of fewer than two kinds every score is 0.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +38,10 @@ from missivelake.llm.common import chunks, fold, stored, texts, words_of
 from missivelake.llm.quality import sample
 
 MAX_TRAIN = 8000
-MAX_WORDS = 2000
-MIN_CHI2 = 25.0
-PENALTY = 4.0
-#: Lengths in bytes of word beginnings, how many distinct words make one count, and the least share of a text's words.
+MIN_CHI2, TERM_CHI2 = 25.0, 10.83
+PENALTY = 0.25
+#: Lengths in bytes of word beginnings, how many distinct words make one count, and the words of text for each of them
+#: up to which it counts in full.
 STEMS, LEVELS, SHARE = (4, 5, 6, 7, 8), (2, 3), 400
 
 #: Neutral group names, each row a set of interchangeable terms (English, French, German, Spanish).
@@ -56,66 +63,84 @@ def swaps(identity: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
     return {row[i].encode(): row[(i + 1) % len(row)].encode() for row in identity for i in range(len(row)) if len(row) > 1}
 
 
-def stem_features(words: list[bytes], distinct: set[bytes], known: dict[int, set[bytes]] | None = None) -> set[bytes]:
-    """<beginning>k for every beginning of k distinct words or more (k of LEVELS), of the known ones by length if given."""
-    out = set()
-    for n in STEMS if known is None else known:
-        wanted = known[n] if known else None
-        found = Counter([x for w in distinct if (x := w[:n]) in wanted] if known else [w[:n] for w in distinct if len(w) >= n])
+_SENTENCE = re.compile(rb"[.!?\n]+")
+
+Features = dict[bytes, float]
+
+
+def features(words: list[bytes], known: set[bytes] | None = None, stems: dict[int, set[bytes]] | None = None) -> Features:
+    """A text's words, each with value 1, and <beginning>k for every beginning of k distinct words or more (k of LEVELS),
+    with its density as value; only the known ones if given."""
+    distinct = set(words)
+    out = dict.fromkeys(distinct if known is None else distinct & known, 1.0)
+    for n in STEMS if stems is None else stems:
+        wanted = None if stems is None else stems[n]
+        found = Counter([w[:n] for w in distinct if len(w) >= n] if wanted is None else [x for w in distinct if (x := w[:n]) in wanted])
         for x, c in found.items():
-            if c * SHARE >= len(words):
-                out.update(b"<%b>%d" % (x, k) for k in LEVELS if c >= k)
+            value = min(1.0, c * SHARE / len(words))
+            out.update((b"<%b>%d" % (x, k), value) for k in LEVELS if c >= k)
     return out
 
 
+def stems_of(names: set[bytes]) -> dict[int, set[bytes]]:
+    """The beginnings among features' names, by length."""
+    stems: dict[int, set[bytes]] = {}
+    for w in names:
+        if w.startswith(b"<"):
+            x = w[1 : w.rindex(b">")]
+            stems.setdefault(len(x), set()).add(x)
+    return stems
+
+
+def twin(text: bytes | None, identity: dict[bytes, bytes]) -> list[bytes] | None:
+    """The words of the text after the identity terms of each of its sentences were swapped; None if it names none."""
+    out: list[bytes] = []
+    named = False
+    for sentence in _SENTENCE.split(text or b""):
+        words = words_of(sentence)
+        if not identity.keys().isdisjoint(words):
+            named = True
+            words = [identity.get(w, w) for w in words]
+        out += words
+    return out if named else None
+
+
 @dataclass
 class WordModel:
     bias: float
-    weights: dict[bytes, float]
+    weights: Features
 
     def __post_init__(self) -> None:
         self.words = {w for w in self.weights if not w.startswith(b"<")}
-        self.stems: dict[int, set[bytes]] = {}
-        for w in self.weights.keys() - self.words:
-            x = w[1 : w.rindex(b">")]
-            self.stems.setdefault(len(x), set()).add(x)
+        self.stems = stems_of(self.weights.keys())
 
     def scores(self, rows: list[bytes | None]) -> list[float]:
         logits = []
         for x in rows:
-            words = words_of(x)
-            distinct = set(words)
-            found = self.words & distinct
-            if self.stems:
-                found |= stem_features(words, distinct, self.stems) & self.weights.keys()
-            logits.append(self.bias + sum(sorted(self.weights[w] for w in found)))
+            found = features(words_of(x), self.words, self.stems)
+            logits.append(self.bias + sum(sorted(self.weights[w] * v for w, v in found.items() if w in self.weights)))
         return (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
 
 
-def fit(rows: list[frozenset[bytes]], y: np.ndarray, words: list[bytes], identity: dict[bytes, bytes], *, penalty: float = PENALTY, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> WordModel:
-    """Full-batch Adam on log loss + penalty * (score of the twin - score)^2 + decay * weights^2."""
+def fit(rows: list[Features], twins: list[Features | None], y: np.ndarray, words: list[bytes], *, penalty: float = PENALTY, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> WordModel:
+    """Full-batch Adam on log loss + penalty * (logit of the twin - logit)^2 + decay * weights^2."""
     at = {w: i for i, w in enumerate(words)}
-    terms = sorted(identity)
-
-    def entries(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Row and word numbers of the ones in the texts' 0/1 matrix, of which each row has few."""
-        pairs = [(i, at[w]) for i, bag in enumerate(bags) for w in bag if w in at]
-        row, word = zip(*pairs, strict=True) if pairs else ((), ())
-        return np.array(row, np.int64), np.array(word, np.int64)
-
-    twins = []
-    for i, row in enumerate(rows):
-        swapped = {identity.get(w, w) for w in row}
-        twins.append(sorted(swapped if swapped != row else row | {terms[i % len(terms)]} if terms else row))
-    x, other = entries([sorted(r) for r in rows]), entries(twins)
+
+    def entries(bags: list[Features]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and value of the entries of the texts' matrix, of which each row has few."""
+        cells = [(i, at[w], v) for i, bag in enumerate(bags) for w, v in sorted(bag.items()) if w in at]
+        row, word, value = zip(*cells, strict=True) if cells else ((), (), ())
+        return np.array(row, np.int64), np.array(word, np.int64), np.array(value, float)
+
+    x, other = entries(rows), entries([r if t is None else t for r, t in zip(rows, twins, strict=True)])
     w, b = np.zeros(len(words)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     m = np.zeros(len(words) + 1)
     v = np.zeros(len(words) + 1)
     for k in range(1, steps + 1):
-        p, q = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[word], len(y)) + b, -30, 30))) for row, word in (x, other))
-        gap = 2 * penalty * (q - p) / len(y)
-        gx, go = (p - y) / len(y) - gap * p * (1 - p), gap * q * (1 - q)
-        up = sum(np.bincount(word, g[row], len(words)) for (row, word), g in ((x, gx), (other, go)))
+        z, twins_z = (np.bincount(row, w[word] * value, len(y)) + b for row, word, value in (x, other))
+        gap = 2 * penalty * (twins_z - z) / len(y)
+        gx, go = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y) - gap, gap
+        up = sum(np.bincount(word, g[row] * value, len(words)) for (row, word, value), g in ((x, gx), (other, go)))
         grad = np.append(up + decay * w, gx.sum() + go.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -128,33 +153,72 @@ def _name(feature: bytes) -> str:
     return feature.decode("latin-1")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...], ...] = IDENTITY, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> WordModel | None:
+def vocabulary(labelled: DataFrame, identity: tuple[tuple[str, ...], ...]) -> tuple[set[bytes], dict[bytes, bytes]] | None:
+    """The model's features and the identity terms with their counterparts, by counts over all labelled texts (text, y)."""
+
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                bags = []
-                for x in texts(part):
-                    words = words_of(x)
-                    distinct = set(words)
-                    bags.append([_name(w) for w in sorted(distinct | stem_features(words, distinct))])
-                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.string())), part.column("y")], ["words", "y"])
-
-    bags = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_train).mapInArrow(bag, "words array<string>, y int"), "toxicity")
-    kinds = {r.y: r.n for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
+                words, values, ys = [], [], []
+                for x, y in zip(texts(part), part.column("y").to_pylist(), strict=True):
+                    found = features(words_of(x))
+                    words += map(_name, found)
+                    values += found.values()
+                    ys += [y] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(values, pa.float64()), pa.array(ys, pa.int32())], ["word", "value", "y"])
+
+    kinds = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return None
     n, pos = sum(kinds.values()), kinds[1]
-    a, b = F.col("a"), F.col("n") - F.col("a")  # labelled documents with the word: toxic, other
+    a, b = F.col("a"), F.col("n") - F.col("a")  # labelled texts with the feature, by value: toxic, other
     c, d = pos - a, (n - pos) - b
     chi2 = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(float(pos)) * F.lit(float(n - pos)))
-    counts = bags.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("a"))
-    chosen = counts.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    known = swaps(identity)
-    words = {r.word.encode("latin-1") for r in chosen.orderBy(F.desc("chi2"), "word").limit(max_words).collect()} | known.keys()
-    wanted = F.array(*[F.lit(_name(w)) for w in sorted(words)])
-    rows = bags.select(F.array_intersect("words", wanted).alias("words"), "y").collect()
-    rows = sorted((sorted(w.encode("latin-1") for w in r.words), r.y) for r in rows)
-    return fit([frozenset(ws) for ws, _ in rows], np.array([y for _, y in rows], float), sorted(words), known)
+    value = F.round("value", 6).cast("decimal(20,6)")  # sums of decimals don't depend on their order
+    cells = labelled.mapInArrow(bag, "word string, value double, y int")
+    counts = cells.groupBy("word").agg(F.sum(value).cast("double").alias("n"), F.sum(value * F.col("y")).cast("double").alias("a"))
+    counts = stored(counts.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2), "toxicity-counts")
+    chosen = {r.word.encode("latin-1") for r in counts.where(F.col("chi2") >= MIN_CHI2).select("word").collect()}
+    whole = counts.where(~F.col("word").startswith("<"))
+    named = whole.where((F.col("chi2") >= TERM_CHI2) & (b >= a) & (a * (n - pos) > b * pos)).select("word", "n").collect()
+    plain = sorted((r.n, r.word) for r in whole.where(F.col("chi2") < 1).groupBy("n").agg(F.min("word").alias("word")).collect())
+    terms = swaps(identity)
+    for r in sorted(named):
+        if plain:
+            at = bisect_left(plain, (r.n, ""))
+            near = min(plain[max(0, at - 1) : at + 1], key=lambda x: (abs(x[0] - r.n), x))
+            terms.setdefault(r.word.encode("latin-1"), near[1].encode("latin-1"))
+    return chosen | terms.keys(), terms
+
+
+def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...], ...] = IDENTITY, max_train: int = MAX_TRAIN, penalty: float = PENALTY) -> WordModel | None:
+    labelled = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_train), "toxicity")
+    found = vocabulary(labelled, identity)
+    if found is None:
+        return None
+    names, terms = found
+    stems = stems_of(names)
+    shared = docs.sparkSession.sparkContext.broadcast((names, terms, stems))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, stems = shared.value
+        kind = pa.map_(pa.string(), pa.float64())
+        for batch in batches:
+            for part in chunks(batch):
+                own, swapped = [], []
+                for x in texts(part):
+                    known = lambda words: sorted((_name(k), v) for k, v in features(words, names, stems).items() if k in names)
+                    other = twin(x, terms)
+                    own.append(known(words_of(x)))
+                    swapped.append(None if other is None else known(other))
+                yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(swapped, kind), part.column("y")], ["own", "swapped", "y"])
+
+    rows = labelled.mapInArrow(pairs, "own map<string,double>, swapped map<string,double>, y int").collect()
+    back = lambda bag: None if bag is None else {k.encode("latin-1"): v for k, v in bag.items()}
+    rows = sorted(((r.y, sorted(r.own.items()), r.swapped is not None, sorted((r.swapped or {}).items())) for r in rows))
+    own = [back(dict(r[1])) for r in rows]
+    twins = [back(dict(r[3])) if r[2] else None for r in rows]
+    return fit(own, twins, np.array([r[0] for r in rows], float), sorted(names), penalty=penalty)
 
 
 def score_documents(docs: DataFrame, model: WordModel | None) -> DataFrame:
