@@ -18,6 +18,8 @@ points, the end is exclusive; candidates that overlap a base span are not propos
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
+#: Values that are summed up in one list.
+STEP = 128
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("number", "account", "secret", "handle")
 
@@ -46,21 +50,58 @@ CUES = r"(?i)(?:tel|phone|call|mobile|cell|fax|sms|contact|card|visa|account|acc
 AGAINST = r"(?i)(?:[$€£#§%]|\b(?:page|pages|version|chapter|isbn|issn|rfc|eur|usd|total|sum|build|p|v)\.?)[ :]{0,2}$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of all values before each place. Lists are grown by one STEP at a time only, and the sums of steps on their
+    own, so that long arrays cost little more than in proportion. values is a plain reference."""
+    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    add = lambda acc, x: acc + x
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / STEP).cast("int")), lambda k: F.slice(values, k * STEP + 1, STEP))
+
+    def sums(steps: Column) -> Column:
+        before = F.aggregate(F.transform(steps, lambda s: F.aggregate(s, F.lit(0), add)), F.array(F.lit(0)), grow)
+        return F.flatten(F.zip_with(steps, before, lambda s, b: F.when(s.isNotNull(), F.slice(F.aggregate(s, F.array(b), grow), 1, F.size(s))).otherwise(F.array().cast("array<int>"))))
+
+    return let(steps, sums)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """start, end and value of the leftmost non-overlapping matches, and up to 48 characters before each.
 
     The pieces between matches and the matches alternate, so their lengths add up to the places in code points.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    cut = F.filter(found, lambda x: x["value"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
+    def span(x: Column, before: Column) -> Column:
+        start = before + F.char_length(x["gap"])
         end = start + F.char_length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(48)).alias("before"))
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+        return F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(48)).alias("before"))
+
+    def places(cut: Column) -> Column:
+        lengths = F.transform(cut, lambda x: F.char_length(x["gap"]) + F.char_length(x["value"]))
+        return F.zip_with(cut, let(lengths, running_sums), span)
+
+    return let(cut, places)
+
+
+def overlaps(x: Column, spans: Column | str) -> Column:
+    """Whether a span shares characters with one of an ordered list without overlaps: found by bisection."""
+    spans = F.col(spans) if isinstance(spans, str) else spans
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:  # low of them start before x ends, and those from high on don't
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        starts = F.get(spans, middle)["start"] < x["end"]
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & starts, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~starts, middle).otherwise(acc["high"]).alias("high"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    low = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda acc: acc["low"])
+    return F.coalesce(F.get(spans, low - 1)["end"] > x["start"], F.lit(False))
 
 
 def digits(value: Column) -> Column:
@@ -191,8 +232,7 @@ def find(docs: DataFrame) -> DataFrame:
     place = "transform({0}, x -> named_struct('start', x.start, 'end', x.end))"
     scanned = rows.select("doc_id", *[v.alias(k) for k, v in base_spans(text).items()], _candidates(text).alias("candidates"))
     scanned = stored(scanned.select("doc_id", *[F.expr(place.format(k)).alias(k) for k in BASE], "candidates"), "pii-scan")
-    base = F.concat(*BASE)
-    free = F.filter("candidates", lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = F.filter("candidates", lambda x: ~reduce(lambda a, b: a | b, [(F.size(k) > 0) & overlaps(x, k) for k in BASE]))
     open_rows = scanned.where(F.size("candidates") > 0).select(F.explode(free).alias("c")).select("c.*")
     names = ("kind", *VOTERS, "length")
     counts = {tuple(r[k] for k in names): r.n for r in open_rows.groupBy(*names).agg(F.count("*").alias("n")).collect()}
