@@ -1,20 +1,29 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Every block of vectors keeps, for each dimension, its rows sorted by that component. For a set of queries the lists are
-read in rounds, from the end that the sign of the query's component favours; rows met for the first time are scored in
-full (random access). The threshold of a query is the sum of its best possible products at the depth reached; once it
-falls below the query's k-th score no unseen row can enter (ties go to the smaller id, so a threshold that only equals
-the k-th score does not stop the scan), and the query leaves. The k-th score carries over to the next block of a task.
-
-All queries are read in blocks of at most ``query_block`` and broadcast a block at a time, so memory stays bounded;
-each task returns k rows a query, and one shuffle by query merges them.
-
-Defined results: vectors that are null, hold null or non-finite components or have another length than most take no
-part; ids may repeat (rows that share the query's id count as its own); a null id is no query but may not be returned.
+Every block of vectors keeps, for each dimension, its rows sorted by that component. A query reads the lists in rounds,
+each from the end that the sign of its component favours (lists of a zero component are not read), and further the
+heavier its component is; rows met for the first time are scored in full (random access). No unseen row beats in any
+list what was read last there, and none is longer than the block's longest vector, so the bound is the highest inner
+product under these limits: the sum of the threshold algorithm, tightened by the length. Once it falls below the query's
+k-th score no unseen row can enter (ties go to the smaller id, so a bound that equals the k-th score does not stop the
+scan). Queries carry their k-th scores over to the next block of a task. ``threshold_scan`` returns how many rows were
+scored, and ``top_k`` can log it.
+
+Components are whole numbers, and scores are exact: they are taken in floats only where no sum can pass 2^53, in 64-bit
+integers where none can pass 2^63, and in Python's integers beyond.
+
+All queries are read in blocks of at most ``block_bytes`` and broadcast a block at a time, and vectors are taken in blocks
+of as many bytes, so memory stays bounded; each task returns k rows a query, and one shuffle by query merges them.
+
+Defined results: vectors that are null or hold null or non-finite components take no part; a component that a shorter
+vector lacks counts as 0; components beyond the range of a long are held at its ends, and so are returned scores, after
+ranking; of rows that share an id each is a query with rows of its own, and none is the other's candidate; a null id is
+no query and is not returned; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,113 +35,169 @@ from missivelake.llm.common import stored
 
 SCALE = 1024
 K = 10
-VECTOR_BLOCK = 8192
-QUERY_BLOCK = 4096
+BLOCK_BYTES = 4 << 20
+#: Part of a block's rows that a list of average weight gives in the first round.
+FIRST = 1 / 256
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and its components as floor(scale * x); rows that take no part are gone."""
     x = F.col("embedding")
     v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     return vectors.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<long>").alias("v"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
-
-
-class Best:
-    """The k best (score, id) of each query so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
-
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: a row for each of queries, a column for each of ids; -inf takes no part."""
-        if scores.shape[1] > 4 * self.k:  # all that tie with the k-th of these stay in
-            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            kth = np.maximum(kth, self.score[queries, -1])
-        else:
-            kth = self.score[queries, -1]
-        for r, q in enumerate(queries):
-            own = np.flatnonzero((scores[r] >= kth[r]) & (scores[r] > -np.inf))
-            if len(own):
-                s, i = np.append(self.score[q], scores[r, own]), np.append(self.id[q], ids[own])
-                order = np.lexsort((i, -s))[: self.k]
-                self.score[q], self.id[q] = s[order], i[order]
-
-
-def threshold_scan(best: Best, queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray) -> int:
-    """Take a block's rows into best; returns how many rows were scored."""
-    n, dims = block.shape
-    order = np.argsort(block, axis=0, kind="stable")  # ascending; read from the end for positive components
-    seen = np.zeros(n, bool)
-    alive = np.arange(len(queries))
-    depth, step = 0, max(8, n // (16 * dims))
-    positive = queries > 0
-    while len(alive) and depth < n:
-        end = min(n, depth + step)
-        top, bottom = order[n - end : n - depth], order[depth:end]
-        fresh = np.unique(np.concatenate([top.ravel(), bottom.ravel()]))
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
+    """A row for each vector, zeros where it is shorter."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lengths), dims), np.int64)
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def _most(a: np.ndarray) -> int:
+    return max(int(a.max(initial=0)), -int(a.min(initial=0)))
+
+
+def bound(query: np.ndarray, limits: np.ndarray, longest: float) -> float:
+    """An upper bound of query . x over all x of at most this length with query_d * x_d <= query_d * limits_d for all d.
+
+    The best x is s * query, cut at the limits, with the greatest s that its length allows; a small excess covers rounding.
+    """
+    q, most = np.abs(query), np.where(query < 0, -limits, limits)
+    with np.errstate(divide="ignore"):
+        order = np.argsort(most / q)
+    q, most = q[order], most[order]
+    capped = np.concatenate([[0.0], np.cumsum(most * most)])  # squared length of the k components that are at their limits
+    free = np.concatenate([np.cumsum((q * q)[::-1])[::-1], [0.0]])  # of the others, for s = 1
+    room = longest * longest - capped
+    s = np.sqrt(np.maximum(room[:-1], 0) / np.maximum(free[:-1], 1e-300))
+    fits = np.flatnonzero((s * q <= most) & (room[:-1] >= 0))  # the first component that stays below its limit
+    k = int(fits[0]) if len(fits) else len(q)
+    total = float(np.dot(q[:k], most[:k]) + (s[k] * free[k] if k < len(q) else 0.0))
+    return min(total, float(np.dot(q, most))) + 1e-9 * (float(np.dot(q, np.abs(most))) + 1)
+
+
+class Block:
+    """A block of vectors with its sorted lists."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows, ids
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)  # ascending; read from the end for positive components
+        self.most = _most(rows)
+        self.floats = rows.astype(np.float64)
+        self.longest = float(np.sqrt((self.floats**2).sum(1).max(initial=0.0))) * (1 + 1e-12)
+
+    def scores(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact inner products of the query and the rows at these places."""
+        top = self.most * _most(query) * len(query)
+        if top < 1 << 53:
+            return (self.floats[at] @ query.astype(np.float64)).astype(np.int64)
+        if top < 1 << 63:
+            return self.rows[at] @ query
+        return self.rows[at].astype(object) @ query.astype(object)
+
+
+Best = list[tuple[int, int]]  # (-score, id) of the k best rows, best first
+
+
+def threshold_scan(best: Best, k: int, query: np.ndarray, query_id: int, block: Block) -> int:
+    """Take a block's rows into the query's best; returns how many rows were scored."""
+    n = len(block.rows)
+    dims = np.flatnonzero(query)
+    seen = block.ids == query_id
+    own = int(seen.sum())
+
+    def take(fresh: np.ndarray) -> None:
         if len(fresh):
-            scores = queries[alive] @ block[fresh].T
-            scores[query_ids[alive][:, None] == ids[fresh][None, :]] = -np.inf
-            best.add(alive, scores, ids[fresh])
-        high, low = block[order[n - end], np.arange(dims)], block[order[end - 1], np.arange(dims)]
-        bound = np.where(positive[alive], queries[alive] * high, queries[alive] * low).sum(1)
-        alive = alive[bound >= best.score[alive, -1]] if not seen.all() else alive[:0]
+            scores = block.scores(query, fresh)
+            if len(best) == k:
+                fine = np.flatnonzero(scores >= -best[-1][0])
+                fresh, scores = fresh[fine], scores[fine]
+            if len(fresh) > 4 * k and scores.dtype != object:
+                fine = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                fresh, scores = fresh[fine], scores[fine]
+            best.extend(zip((-int(s) for s in scores), block.ids[fresh].tolist(), strict=True))
+            best.sort()
+            del best[k:]
+
+    if not len(dims):
+        take(np.flatnonzero(~seen))
+        return n - own
+    q = query[dims].astype(np.float64)
+    weight = np.abs(q) / np.abs(q).mean()
+    depth, step = np.zeros(len(dims), np.int64), max(1.0, n * FIRST)
+    up = q > 0
+    while True:
+        end = np.minimum(n, depth + np.maximum(1, (step * weight).astype(np.int64)))
+        reads = end - depth
+        each = np.arange(int(reads.sum())) - np.repeat(np.cumsum(reads) - reads, reads) + np.repeat(depth, reads)
+        lists = np.repeat(np.arange(len(dims)), reads)
+        met = np.unique(block.order[np.where(up[lists], n - 1 - each, each), dims[lists]])
+        fresh = met[~seen[met]]
+        seen[fresh] = True
+        take(fresh)
         depth, step = end, step * 2
-    return int(seen.sum())
+        if seen.all():  # at the latest at the end of any list
+            return n - own
+        last = block.order[np.where(up, n - np.maximum(depth, 1), np.maximum(depth, 1) - 1), dims]
+        if len(best) == k and bound(q, block.floats[last, dims], block.longest) < -best[-1][0]:
+            return int(seen.sum()) - own
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCALE, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest inner product for every row that is_query picks."""
     spark = vectors.sparkSession
     rows = integers(vectors, scale)
-    dims_row = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    schema = "query_id long, vec_id long, score long"
+    dims = rows.agg(F.max(F.size("v"))).first()[0]
+    schema = "query int, query_id long, vec_id long, score decimal(38,0)"
     found = spark.createDataFrame([], schema)
-    if dims_row:
-        dims = dims_row.dims
-        rows = rows.where(F.size("v") == dims)
-        wanted = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    if dims is not None:
+        dims = max(1, dims)
+        size = max(1, block_bytes // (8 * dims))
         block: list = []
-        for r in wanted.toLocalIterator():
+        done = 0
+        for r in rows.where(is_query).toLocalIterator():
             block.append((r.vec_id, r.v))
-            if len(block) == query_block:
-                found = found.unionByName(_scan(rows, block, dims, k, vector_block, schema))
-                block = []
+            if len(block) == size:
+                found = found.unionByName(_scan(rows, block, done, dims, k, size, schema))
+                block, done = [], done + size
         if block:
-            found = found.unionByName(_scan(rows, block, dims, k, vector_block, schema))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            found = found.unionByName(_scan(rows, block, done, dims, k, size, schema))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.greatest(low, F.least(high, "score")).cast("long").alias("score"))
 
 
-def _scan(rows: DataFrame, block: list, dims: int, k: int, vector_block: int, schema: str) -> DataFrame:
-    block = sorted(block)
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
+def _scan(rows: DataFrame, block: list, first: int, dims: int, k: int, size: int, schema: str) -> DataFrame:
+    queries = np.zeros((len(block), dims), np.int64)
+    for i, (_, v) in enumerate(block):
+        queries[i, : len(v)] = v
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), queries))
+    scored, all_pairs = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best = Best(len(queries), k)
-        any_rows = False
+        best: list[Best] = [[] for _ in query_ids]
         for batch in batches:
-            for start in range(0, batch.num_rows, vector_block):
-                part = batch.slice(start, vector_block)
-                any_rows = True
-                threshold_scan(best, queries, query_ids, _matrix(part.column("v"), dims), part.column("vec_id").to_numpy())
-        if any_rows:
-            q, j = np.nonzero(best.score > -np.inf)
-            cols = [query_ids[q], best.id[q, j], best.score[q, j].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
-
-    return stored(rows.mapInArrow(scan, schema), "topk")
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                lists = Block(_matrix(part.column("v"), dims), part.column("vec_id").to_numpy())
+                n = sum(threshold_scan(best[i], k, queries[i], int(query_ids[i]), lists) for i in range(len(queries)))
+                scored.add(n)
+                all_pairs.add(len(queries) * part.num_rows)
+        cells = [(first + i, int(query_ids[i]), vec, -s) for i, own in enumerate(best) for s, vec in own]
+        if cells:
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.decimal128(38, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], ["query", "query_id", "vec_id", "score"])
+
+    out = stored(rows.mapInArrow(scan, schema), "topk")
+    logging.getLogger(__name__).info("%d of %d pairs were scored", scored.value, all_pairs.value)
+    return out
 
 
 ORACLE_SQL = """
