@@ -6,8 +6,8 @@ document frequency over *all* documents, is its single rarest token. Documents a
 token's place in the window gives the only start at which the window can stand (positional bound), which must leave
 room for all of its words (length bound), and the words there must equal the window's (exact verification).
 
-The item side is read in blocks of at most ``block_words`` words, each broadcast on its own, so what is broadcast has a
-fixed bound however many items there are; the documents are never shuffled.
+The item side is read in blocks of at most ``block_words`` windows, each broadcast on its own, so what is broadcast has a
+fixed bound however many or long the items are; the documents are never shuffled.
 
 Defined results: a null or empty text has no words, hits or items; an item without words or without an id has no
 window; repeated items count once per id; repeated document rows are judged each on its own; extra columns of either
@@ -38,15 +38,13 @@ REPORT = (
 )
 
 
-def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
+def windows_of(words: list[bytes], window: int) -> Iterator[tuple[bytes, ...]]:
     size = min(window, len(words))
-    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+    return (tuple(words[i : i + size]) for i in range(len(words) - size + 1) if size)
 
 
 def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
-    """Windows with the ids of the items they belong to, for as many items at a time as have block_words words."""
+    """Windows with the ids of the items they belong to, block_words of them at a time; an item may go on in the next block."""
     block: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     total = 0
     rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null")
@@ -54,9 +52,9 @@ def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[dict[tu
         for w in windows_of(words_of((text or "").encode()), window):
             block[w].add(item)
             total += 1
-        if total >= block_words:
-            yield dict(block)
-            block, total = defaultdict(set), 0
+            if total >= block_words:
+                yield dict(block)
+                block, total = defaultdict(set), 0
     if block:
         yield dict(block)
 

@@ -37,8 +37,8 @@ N = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 MIN_BLOCK, MAX_BLOCK, BLOCKS = 64, 4096, 64
-#: Keys of sets to verify are broadcast up to this many (under 50 MB), and joined by a shuffle beyond it.
-BROADCAST_SETS = 1_000_000
+#: Keys of sets to verify are broadcast up to this many (some 150 bytes each), and joined by a shuffle beyond it.
+BROADCAST_SETS = 200_000
 
 _MASK = (1 << 64) - 1
 
