@@ -18,9 +18,38 @@ def _kept(value: Column, *nulls: str) -> Column:
     return F.when(~trimmed.isin("", "null", *nulls), trimmed)
 
 
+#: A run of numeric character references, and pairs of such references that stand for one character beyond 16 bits.
+_REFERENCES = r"(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+"
+_PAIRS = r"(?:&#(?:5[56][0-9]{3}|[xX][dD][89abAB][0-9A-Fa-f]{2});&#(?:5[67][0-9]{3}|[xX][dD][c-fC-F][0-9A-Fa-f]{2});)+"
+
+
+def _decoded(run: Column) -> Column:
+    """The text of a run of numeric references; half a pair alone becomes U+FFFD."""
+    numbers = F.filter(F.split(F.replace(run, F.lit("&#"), F.lit("")), ";"), lambda x: x != "")
+
+    def units(x: Column) -> Column:
+        hexed = F.lower(F.substring(x, 1, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substr(x, F.lit(2)), 16, 10)).otherwise(x).cast("int")
+        beyond = code - 0x10000
+        pair = F.concat(F.hex(F.lit(0xD800) + F.floor(beyond / 1024)), F.lit(" "), F.hex(F.lit(0xDC00) + beyond % 1024))
+        return F.when(code.between(0x10000, 0x10FFFF), pair).when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise("FFFD")
+
+    joined = F.array_join(F.transform(numbers, units), " ")
+    whole = F.regexp_replace(F.regexp_replace(joined, "D[89AB]..(?! D[C-F])", "FFFD"), "(?<!D[89AB].. )D[C-F]..", "FFFD")
+    return F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
+
+
+def _referenced(value: Column, runs: str) -> Column:
+    """value with the numeric references that the pattern finds replaced by their characters."""
+    pieces = F.arrays_zip(F.split(value, runs, -1).alias("gap"), F.regexp_extract_all(value, F.lit(runs), F.lit(0)).alias("run"))
+    text = F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(_decoded(x["run"]), F.lit(""))))
+    return F.when(F.contains(value, F.lit("&#")), F.array_join(text, "")).otherwise(value)
+
+
 def _unescaped(value: Column) -> Column:
     """Character references of an attribute value that was read as text."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#13;", "\r"), ("&amp;", "&")):
+    value = _referenced(value, _REFERENCES)
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         value = F.replace(value, F.lit(name), F.lit(char))
     return value
 
@@ -42,9 +71,8 @@ def _messages(rows: DataFrame, kind: int, box: str) -> DataFrame:
 
 
 def read_sms(spark: SparkSession, path: str) -> DataFrame:
-    """Short messages of well-formed backups."""
-    rows = spark.read.format("xml").option("rowTag", "sms").schema(SMS).load(path)
-    return _messages(rows.withColumn("parts", F.array().cast(f"array<{PART}>")), 1, "_type")
+    """Short messages; elements that can't be read are left out (see read_sms_tolerant)."""
+    return read_sms_tolerant(spark, path)[0]
 
 
 def read_sms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -65,20 +93,47 @@ def read_sms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def read_mms(spark: SparkSession, path: str) -> DataFrame:
-    """Multimedia messages; the text part is the body where the message has none; parts may stand in <parts> or alone."""
-    rows = spark.read.format("xml").option("rowTag", "mms").schema(MMS).load(path)
+    """Multimedia messages; elements that can't be read are left out (see read_mms_tolerant)."""
+    return read_mms_tolerant(spark, path)[0]
+
+
+def read_mms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Multimedia messages and the elements that can't be read.
+
+    The text part is the body where the message has none; parts may stand in <parts> or alone. The file is split at
+    the end tag, so files of any size are read in parallel; what lies before the last start tag of a record is an element
+    without children, or a broken one.
+    """
+    records = spark.read.option("lineSep", "</mms>").text(path).where(F.contains("value", F.lit("<mms")))
+    pieces = F.filter(F.split("value", r"(?=<mms[\s/>])"), lambda x: x.rlike(r"^<mms[\s/>]"))
+    rows = records.select(F.posexplode(pieces).alias("k", "piece"), F.size(pieces).alias("n"))
+    alone = F.regexp_extract("piece", r"^<mms(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*/>", 0)
+    element = F.when(alone != "", alone).when(F.col("k") == F.col("n") - 1, F.concat("piece", F.lit("</mms>")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    read = F.from_xml(_referenced(element, _PAIRS), f"{MMS}, _corrupt string", options)
+    rows = rows.select("piece", read.alias("m"))
+    broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull()
+    fine = rows.where(~broken).select("m.*").drop("_corrupt")
     parts = F.concat(F.coalesce(F.col("parts.part"), F.array().cast(f"array<{PART}>")), F.coalesce(F.col("part"), F.array().cast(f"array<{PART}>")))
-    rows = rows.withColumn("parts", parts)
+    fine = fine.withColumn("parts", parts)
     text = F.get(F.filter("parts", lambda p: (p["_ct"] == "text/plain") & p["_text"].isNotNull()), 0)["_text"]
-    return _messages(rows.withColumn("_body", F.when(F.coalesce("_body", F.lit("")) == "", text).otherwise(F.col("_body"))), 2, "_msg_box")
+    fine = fine.withColumn("_body", F.when(F.coalesce("_body", F.lit("")) == "", text).otherwise(F.col("_body")))
+    return _messages(fine, 2, "_msg_box"), rows.where(broken).select(F.substring("piece", 1, 200).alias("element"))
 
 
-def attachments(messages: DataFrame, key: str = "key") -> DataFrame:
+def attachments(messages: DataFrame, key: str = "key", files: DataFrame | None = None) -> DataFrame:
     """Decoded parts of multimedia messages: bytes, their digest and the path <first two digits>/<digest><extension>.
 
-    Layout and text parts are no attachments; payloads that aren't base64 are left out (see undecodable_parts).
+    Layout and text parts are no attachments; payloads that aren't base64 are left out (see undecodable_parts). With
+    files (path, content, as the binaryFile source gives them), parts without a payload take that of the file they name,
+    wherever it lies.
     """
-    rows = _payloads(messages, key).where("content is not null")
+    rows = _payloads(messages, key, files is not None)
+    if files is not None:
+        base = lambda path: F.regexp_extract(path, r"([^/\\]*)$", 1)
+        beside = files.groupBy(base(F.col("path")).alias("_file")).agg(F.min_by("content", "path").alias("_content"))
+        rows = rows.join(beside, ~F.col("given") & (base(F.col("name")) == F.col("_file")), "left").withColumn("content", F.coalesce("content", "_content"))
+    rows = rows.where("content is not null")
     extension = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), F.lower("mime_type")),
         F.nullif(F.lower(F.regexp_extract(F.coalesce("name", F.lit("")), r"\.[A-Za-z0-9]{1,5}$", 0)), F.lit("")),
@@ -93,17 +148,19 @@ def undecodable_parts(messages: DataFrame, key: str = "key") -> DataFrame:
     return _payloads(messages, key).where("content is null").select("message_key", "mime_type", "name")
 
 
-def _payloads(messages: DataFrame, key: str) -> DataFrame:
+def _payloads(messages: DataFrame, key: str, without: bool = False) -> DataFrame:
+    """Media parts with a payload, and those without one if asked for."""
     parts = messages.select(F.col(key).alias("message_key"), F.explode("parts").alias("p"))
-    media = parts.where(~F.coalesce(F.col("p._ct"), F.lit("")).isin("application/smil", "text/plain") & F.col("p._data").isNotNull())
-    content = F.try_to_binary(F.regexp_replace("p._data", r"\s", ""), F.lit("base64"))
-    return media.select("message_key", F.col("p._ct").alias("mime_type"), F.coalesce("p._name", "p._cl").alias("name"), content.alias("content"))
+    given = F.coalesce(F.trim("p._data"), F.lit("")) != ""
+    media = parts.where(~F.coalesce(F.col("p._ct"), F.lit("")).isin("application/smil", "text/plain") & (F.lit(without) | F.col("p._data").isNotNull()))
+    content = F.when(given, F.try_to_binary(F.regexp_replace("p._data", r"\s", ""), F.lit("base64")))
+    return media.select("message_key", F.col("p._ct").alias("mime_type"), F.coalesce("p._name", "p._cl").alias("name"), content.alias("content"), given.alias("given"))
 
 
 def utf16_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that start with a UTF-16 mark and can't be imported."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.where(F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))).select("path")
+    """Files that start with a UTF-16 mark and can't be imported. They are read in parts, however large they are."""
+    parts = spark.read.option("lineSep", "<").text(path).select(F.col("_metadata.file_path").alias("path"), F.substring(F.col("value").cast("binary"), 1, 2).alias("mark"))
+    return parts.where(F.col("mark").isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))).select("path").distinct()
 
 
 def media_audit(attachments: DataFrame, files: DataFrame) -> DataFrame:

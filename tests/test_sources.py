@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from missivelake.sources import backup
 
-SMS = '<smses count="2"><sms address="+1 (214) 717-2243" date="1000" type="2" body="a > b /> c" contact_name="(Unknown)" thread_id="null" /><sms address="2147172243" date="bad" type="1" body="caf&#233; &amp; &quot;x&quot;" contact_name=" Ann " /></smses>'
+SMS = '<smses count="2"><sms address="+1 (305) 555-0182" date="1000" type="2" body="x > 1 /> y" contact_name="(Unknown)" thread_id="null" /><sms address="3055550182" date="bad" type="1" body="caf&#233; &amp; &quot;x&quot;" contact_name=" Ann " /></smses>'
 MMS = '<smses><mms address="555" date="5" msg_box="1" body=""><parts><part ct="application/smil" text="x"/><part ct="text/plain" text="hi there"/><part ct="image/jpeg" name="p.jpg" data="{}"/><part ct="image/png" name="q.png" data="@@@"/></parts></mms><mms address="556" date="6" msg_box="2"><part ct="text/plain" text="direct"/></mms></smses>'
 
 
 def test_sms(spark, tmp_path):
     (tmp_path / "a.xml").write_text(SMS)
     a, b = backup.read_sms(spark, str(tmp_path)).orderBy(F.desc("timestamp_ms")).collect()
-    assert (a.address, a.timestamp_ms, a.direction, a.body, a.contact_name, a.thread_id) == ("2147172243", 1000, 2, "a > b /> c", None, None)
+    assert (a.address, a.timestamp_ms, a.direction, a.body, a.contact_name, a.thread_id) == ("3055550182", 1000, 2, "x > 1 /> y", None, None)
     assert (b.timestamp_ms, b.direction, b.body, b.contact_name) == (0, 1, 'café & "x"', "Ann")
     assert b.body_searchable == "cafe\u0301 & \"x\""
 
@@ -37,3 +37,48 @@ def test_utf16_is_found(spark, tmp_path):
     (tmp_path / "a.xml").write_bytes("<smses/>".encode("utf-16"))
     (tmp_path / "b.xml").write_text("<smses/>")
     assert [r.path.rsplit("/", 1)[1] for r in backup.utf16_files(spark, str(tmp_path)).collect()] == ["a.xml"]
+
+
+def test_character_references(spark, tmp_path):
+    smile = "&#55357;&#56832;"
+    body = f"caf&#xE9; {smile} &#128512; &#10;&amp;#65; &#55357; end"
+    (tmp_path / "a.xml").write_text(f'<smses><sms address="1" date="1" type="1" body="{body}" /><mms address="2" date="2" msg_box="1" body="so {smile}"></mms></smses>')
+    (sms,) = backup.read_sms(spark, str(tmp_path)).collect()
+    assert sms.body == "café \U0001F600 \U0001F600 \n&#65; \ufffd end"
+    assert backup.read_mms(spark, str(tmp_path)).first().body == "so \U0001F600"
+
+
+def test_broken_mms_is_counted_and_skipped(spark, tmp_path):
+    rows = ['<mms address="1" date="1" msg_box="1" body="one"><parts><part ct="text/plain" text="t"/></parts></mms>', '<sms address="9" date="9" body="s" type="1"/>', '<mms address="2" date="2" body="no end" <part ct="x"/>', '<mms address="3" date="3" msg_box="2" body="three > 2"/>', '<mms address="4" date="4" msg_box="2"><part ct="text/plain" text="four"/></mms>', '<mms address="5" date="5"><part ct=></mms>']
+    (tmp_path / "a.xml").write_text("<smses>\n" + "\n".join(rows) + "\n</smses>")
+    fine, errors = backup.read_mms_tolerant(spark, str(tmp_path))
+    assert [(r.address, r.body) for r in fine.orderBy("address").collect()] == [("1", "one"), ("3", "three > 2"), ("4", "four")]
+    assert errors.count() == 2
+    assert [r.address for r in backup.read_sms(spark, str(tmp_path)).collect()] == ["9"]
+
+
+def test_partitions_grow_with_the_file(spark, tmp_path):
+    part = base64.b64encode(bytes(range(256)) * 8).decode()
+    with open(tmp_path / "a.xml", "w") as f:
+        f.write("<smses>")
+        for i in range(1500):
+            f.write(f'<sms address="{i}" date="{i}" body="b{i}" type="1"/>\n<mms address="{i}" date="{i}" msg_box="1"><parts><part ct="image/png" data="{part}"/></parts></mms>\n')
+        f.write("</smses>")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+        for read, least in ((backup.read_sms, 4), (backup.read_mms, 4)):
+            rows = read(spark, str(tmp_path))
+            assert rows.rdd.getNumPartitions() >= least and rows.select("address").distinct().count() == rows.count() == 1500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_parts_take_files_beside_the_backup(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "p.jpg").write_bytes(b"beside")
+    (tmp_path / "a.xml").write_text('<smses><mms address="1" date="1" msg_box="1"><parts><part ct="image/jpeg" name="p.jpg"/><part ct="image/png" name="none.png"/><part ct="image/png" name="bad" data="@@@"/></parts></mms></smses>')
+    rows = backup.read_mms(spark, str(tmp_path / "a.xml")).withColumn("key", F.col("address"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "m"))
+    assert [bytes(r.content) for r in backup.attachments(rows, files=files).collect()] == [b"beside"]
+    assert backup.attachments(rows).count() == 0
