@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missivelake.config import DAY
 from missivelake.functions import text as T
+from missivelake.operators import search
 
 
 # --- filters and exports ------------------------------------------------------------------------------------------
@@ -44,6 +46,13 @@ def export_messages(messages: DataFrame, attachments: DataFrame, **filters: obje
     )
 
 
+def export_search(messages: DataFrame, attachments: DataFrame, query: str, **filters: object) -> DataFrame:
+    """Exported messages (see export_messages) that hold all phrases of a keyword query, with their scores, best first."""
+    hits = search.message_search(messages, query, None)
+    rows = export_messages(messages, attachments, **filters).join(hits.select(F.col("id").alias("_hit"), "score"), F.col("id") == F.col("_hit")).drop("_hit")
+    return rows.orderBy(F.desc("score"), "id")
+
+
 def export_attachments(messages: DataFrame, attachments: DataFrame, mime: str | None = None, **filters: object) -> DataFrame:
     rows = attachments if mime is None else attachments.where(F.col("mime_type") == mime)
     owner = filtered(messages, **filters).select(F.col("id").alias("_id"), "timestamp_ms", "address")
@@ -62,7 +71,8 @@ def with_dedupe_key(messages: DataFrame, attachments: DataFrame) -> DataFrame:
     """messages with `key`: the message_id if there is one, else a digest of address, time, body, thread and attachments."""
     hashes = attachments.groupBy("message_id").agg(F.count("*").alias("_n"), F.array_join(F.array_sort(F.collect_list(F.lower(F.hex("file_hash")))), ",").alias("_hashes"))
     rows = messages.join(hashes.withColumnRenamed("message_id", "_id"), F.col("id") == F.col("_id"), "left")
-    parts = ["address", F.col("timestamp_ms").cast("string"), "body", F.coalesce("thread_id", F.lit("")), F.coalesce("_n", F.lit(0)).cast("string"), F.coalesce("_hashes", F.lit(""))]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parts = [*map(text, ("address", "timestamp_ms", "body", "thread_id")), F.coalesce("_n", F.lit(0)).cast("string"), F.coalesce("_hashes", F.lit(""))]
     digest = F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256)
     return rows.withColumn("key", F.coalesce("message_id", digest)).drop("_id", "_n", "_hashes")
 
@@ -82,8 +92,16 @@ def dedupe_attachments(attachments: DataFrame) -> DataFrame:
 
 
 def reparented(attachments: DataFrame, keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """Attachments of dropped duplicates, moved to the message that was kept for the same key."""
-    survivor = keyed.select(F.col("id").alias("_old"), "key").join(kept.select(F.col("id").alias("_new"), "key"), "key").drop("key")
+    """Attachments of dropped duplicates, moved to the message that was kept: the one of the same key, else of the same
+    message_id, else of the same time and address (the first of several). kept may be an archive of before."""
+    order = F.struct("rowid", "id")
+    owners = keyed.select(F.col("id").alias("_old"), "key", "message_id", "timestamp_ms", "address")
+    found = [owners.select("_old")]
+    for k, keys in enumerate((["key"], ["message_id"], ["timestamp_ms", "address"])):
+        known = kept.dropna(subset=keys).groupBy(*keys).agg(F.min_by("id", order).alias(f"_new{k}"))
+        found.append(owners.join(known, keys).select("_old", f"_new{k}"))
+    survivor = reduce(lambda a, b: a.join(b, "_old", "left"), found)
+    survivor = survivor.select("_old", F.coalesce("_new0", "_new1", "_new2").alias("_new"))
     moved = attachments.join(survivor, F.col("message_id") == F.col("_old"), "left")
     return moved.withColumn("message_id", F.coalesce("_new", "message_id")).drop("_old", "_new")
 
@@ -130,19 +148,31 @@ def renamed_contacts(contacts: DataFrame, addresses: DataFrame, messages: DataFr
     return contacts.join(named, "contact_id", "left").withColumn("display_name", F.coalesce("_name", "display_name")).drop("_name")
 
 
-def thread(messages: DataFrame, addresses: DataFrame, contacts: DataFrame, name_like: str, limit: int = 50) -> DataFrame:
-    """The latest messages with the contacts whose name matches."""
-    known = contacts.where(F.col("display_name").ilike(T.like_pattern(name_like))).join(addresses, "contact_id").select("address").distinct()
-    rows = messages.join(known, "address", "left_semi").orderBy(F.desc("timestamp_ms"), "rowid").limit(limit)
-    return rows.select("rowid", "timestamp_ms", "address", T.preview(F.col("body")).alias("preview"))
+def thread(messages: DataFrame, addresses: DataFrame, contacts: DataFrame, name_like: str | None = None, limit: int = 50, phone: str | None = None) -> DataFrame:
+    """The latest messages with the contacts whose name matches, and with those of a phone number's key."""
+    known = contacts.where(F.col("display_name").ilike(T.like_pattern(name_like)) if name_like is not None else F.lit(False)).join(addresses, "contact_id").select("address").distinct()
+    rows = messages.join(known, "address", "left_semi")
+    if phone is not None:
+        rows = messages.join(known, "address", "left_anti").where(T.phone_key(F.col("address")) == T.phone_key(F.lit(phone))).unionByName(rows)
+    return rows.orderBy(F.desc("timestamp_ms"), "rowid").limit(limit).select("rowid", "timestamp_ms", "address", T.preview(F.col("body")).alias("preview"))
 
 
 def context(messages: DataFrame, anchors: DataFrame, n: int = 5) -> DataFrame:
-    """The messages up to n before and after each anchor (rowid) in its thread."""
-    w = Window.partitionBy("thread_id").orderBy("timestamp_ms", "rowid")
-    placed = messages.withColumn("_place", F.row_number().over(w))
+    """The messages up to n before and after each anchor (rowid) in its thread.
+
+    Places are counted within a thread's day, after the counts of the days before, so that one long thread is spread over
+    its days; bodies are joined to the places that are asked for.
+    """
+    keys = messages.select("rowid", "thread_id", "timestamp_ms", F.floor(F.col("timestamp_ms") / DAY).alias("_day"))
+    days = keys.groupBy("thread_id", "_day").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("thread_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("thread_id", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("thread_id", "_day").orderBy("timestamp_ms", "rowid")
+    placed = keys.withColumn("_k", F.row_number().over(within)).join(days, ["thread_id", "_day"])
+    placed = placed.select("rowid", "thread_id", (F.col("_before") + F.col("_k")).alias("_place"))
     at = placed.join(anchors.select("rowid"), "rowid", "left_semi").select(F.col("rowid").alias("anchor"), "thread_id", F.explode(F.sequence(F.col("_place") - n, F.col("_place") + n)).alias("_place"))
-    return at.join(placed, ["thread_id", "_place"]).select("anchor", "rowid", "timestamp_ms", "body")
+    near = at.join(placed, ["thread_id", "_place"]).select("anchor", "rowid")
+    return near.join(messages.select("rowid", "timestamp_ms", "body"), "rowid").select("anchor", "rowid", "timestamp_ms", "body")
 
 
 # --- freshness and checks -----------------------------------------------------------------------------------------
@@ -177,6 +207,20 @@ def unprocessed_media(attachments: DataFrame, media_embeddings: DataFrame) -> Da
     return media.join(done, F.col("id") == F.col("_done"), "left").where("_done is null or nsfw_label is null").drop("_done")
 
 
+def flagged_media(attachments: DataFrame, at_least: float, score: str = "nsfw_score") -> DataFrame:
+    """Attachments whose score is at least so high, highest first; those without a score are left out."""
+    return attachments.where(F.col(score) >= at_least).orderBy(F.desc(score), "id")
+
+
+def summary_checks(summary: DataFrame, messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """check, expected, actual and ok: an import's summary (see import_summary) against what the archive holds."""
+    count = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))
+    row = summary.join(count(messages, "_messages"), F.lit(True)).join(count(attachments, "_attachments"), F.lit(True))
+    check = lambda name, expected, actual: F.struct(F.lit(name).alias("check"), expected.alias("expected"), F.col(actual).alias("actual"))
+    checks = F.array(check("messages", F.col("inserted"), "_messages"), check("attachments", F.col("attachments"), "_attachments"))
+    return row.select(F.explode(checks).alias("c")).select("c.*", (F.col("c.expected") == F.col("c.actual")).alias("ok"))
+
+
 def quality_checks(messages: DataFrame, attachments: DataFrame, keyed: DataFrame) -> DataFrame:
     """check, expected, actual and ok: unique keys, owned attachments, dated and addressed messages."""
     one = messages.agg(

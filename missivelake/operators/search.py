@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,28 +12,31 @@ K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Lower-cased runs of letters and digits, with their combining marks."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), lambda x: x != "")
 
 
 def query_phrases(query: str) -> list[list[str]]:
     """Each white-space separated piece of a query is a phrase of its letters and digits; all phrases must occur."""
-    pieces = ("".join(c.lower() if c.isalnum() else " " for c in piece).split() for piece in query.split())
+    word = lambda c: c.isalnum() or unicodedata.category(c).startswith("M")
+    pieces = ("".join(c.lower() if word(c) else " " for c in piece).split() for piece in query.split())
     return [p for p in pieces if p]
 
 
-def keyword_search(docs: DataFrame, query: str, key: str, column: str = "text", limit: int | None = 20) -> DataFrame:
+def keyword_search(docs: DataFrame, query: str, key: str, column: str | list[str] = "text", limit: int | None = 20) -> DataFrame:
     """key and BM25 score of the documents that hold every phrase of the query, best first.
 
-    Document frequencies and the mean length come from one aggregation over all documents.
+    A phrase may stand in any of the columns, not across them. Document frequencies and the mean length come from one
+    aggregation over all documents.
     """
     phrases = query_phrases(query)
     if not phrases:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     # A text of tokens between doubled spaces lets a phrase be counted without overlap between neighbours.
-    base = docs.select(key, tokens(F.col(column)).alias("_t"))
-    padded = F.concat(F.lit(" "), F.array_join("_t", "  "), F.lit(" "))
-    rows = base.select(key, F.size("_t").alias("_len"), padded.alias("_p"))
+    columns = [column] if isinstance(column, str) else column
+    base = docs.select(key, *[tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
+    padded = F.concat_ws("|", *[F.concat(F.lit(" "), F.array_join(f"_t{i}", "  "), F.lit(" ")) for i in range(len(columns))])
+    rows = base.select(key, reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))]).alias("_len"), padded.alias("_p"))
     counts = {}
     for i, phrase in enumerate(phrases):
         needle = " " + "  ".join(phrase) + " "
@@ -51,10 +55,31 @@ def keyword_search(docs: DataFrame, query: str, key: str, column: str = "text",
     return found.limit(limit) if limit else found
 
 
+def message_search(messages: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+    """Messages (id and score) by keywords in their searchable text, which is in normal form, and their address."""
+    return keyword_search(messages, unicodedata.normalize("NFKD", query), "id", ["body_searchable", "address"], limit)
+
+
 def substring_search(messages: DataFrame, needle: str, limit: int = 20) -> DataFrame:
-    """Messages whose text holds the needle, newest first: what to try when a keyword search finds nothing."""
-    like = f"%{needle}%"
-    return messages.where(F.col("body").ilike(like)).orderBy(F.desc("timestamp_ms"), "rowid").limit(limit)
+    """Messages whose text or searchable text holds the needle, newest first: what to try when a keyword search finds nothing."""
+    holds = [F.col(c).ilike(f"%{needle}%") for c in ("body", "body_searchable") if c in messages.columns]
+    return messages.where(reduce(lambda a, b: a | b, holds)).orderBy(F.desc("timestamp_ms"), "rowid").limit(limit)
+
+
+def find_messages(messages: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """id and score by keywords, best first; if they find nothing, messages that hold the query as it is, newest first, score null."""
+    hits = message_search(messages, query, limit)
+    some = hits.limit(1).agg(F.count("*").alias("_some"))
+    other = substring_search(messages, query.strip(), limit).join(F.broadcast(some), F.col("_some") == 0)
+    return hits.select("id", "score").unionByName(other.select("id", F.lit(None).cast("double").alias("score")))
+
+
+def semantic_search(messages: DataFrame, embeddings: DataFrame, model_id: str, query: list[float], k: int) -> DataFrame:
+    """The k messages whose vectors of one model are nearest to the query, with their texts; vectors without a message don't count."""
+    own = embeddings.where(F.col("model_id") == model_id).join(messages.select(F.col("id").alias("_id")), F.col("message_id") == F.col("_id"), "left_semi")
+    hits = vector_search(own, query, k, "message_id", "vector").select(F.col("message_id").alias("_hit"), "score")
+    rows = messages.join(F.broadcast(hits), F.col("id") == F.col("_hit"))  # k rows
+    return rows.select("id", "timestamp_ms", "address", "body", "score").orderBy(F.desc("score"), "id")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -14,13 +14,15 @@ from missivelake.operators.search import dot, l2_normalized, norm
 LABELS = (("EXPLICIT", 0.85), ("NSFW", 0.70), ("SUGGESTIVE", 0.55), ("QUESTIONABLE", 0.40))
 
 
-def embed_backlog(messages: DataFrame, embeddings: DataFrame, model_id: str, since: int | None = None, until: int | None = None) -> DataFrame:
-    """Messages with text, in the time range if given, that the model has not embedded."""
+def embed_backlog(messages: DataFrame, embeddings: DataFrame, model_id: str, since: int | None = None, until: int | None = None, limit: int | None = None) -> DataFrame:
+    """Messages with text, in the time range if given, that the model has not embedded: all, or the first of them. Its
+    count is what a dry run reports."""
     rows = messages.where(F.col("body_searchable") != "")
     rows = rows if since is None else rows.where(F.col("timestamp_ms") >= since)
     rows = rows if until is None else rows.where(F.col("timestamp_ms") <= until)
     done = embeddings.where(F.col("model_id") == model_id).select(F.col("message_id").alias("_done"))
-    return rows.join(done, rows["id"] == F.col("_done"), "left_anti")
+    rows = rows.join(done, rows["id"] == F.col("_done"), "left_anti")
+    return rows if limit is None else rows.orderBy("timestamp_ms", "id").limit(limit)
 
 
 def embed(messages: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model_id: str) -> DataFrame:
@@ -84,3 +86,14 @@ def model_coverage(messages: DataFrame, embeddings: DataFrame) -> DataFrame:
 def upsert_models(models: DataFrame, new: DataFrame) -> DataFrame:
     """models with the rows of new in place of those of the same name, version and digest."""
     return models.join(new, ["name", "version", "sha256"], "left_anti").unionByName(new)
+
+
+def without_model(models: DataFrame, name: str, version: str | None = None) -> DataFrame:
+    """models without those of a name, or without one version of it."""
+    gone = (F.col("name") == name) & (F.lit(True) if version is None else F.col("version") == version)
+    return models.where(~F.coalesce(gone, F.lit(False)))
+
+
+def purged(embeddings: DataFrame, models: DataFrame, key: str = "model_id") -> DataFrame:
+    """embeddings of the models that are left."""
+    return embeddings.join(models.select(F.col(key).alias("_model")).distinct(), F.col(key) == F.col("_model"), "left_semi")

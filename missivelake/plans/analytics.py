@@ -5,26 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missivelake.config import DEFAULT, Config
 from missivelake.operators import activity, conversations, insights, language, messages, points, rating, responses
 
 
+#: Contacts are dealt into so many folders of every table, by a hash; a refresh rewrites those of its contacts.
+FOLDERS = 64
+FOLDER = "_folder"
+
+
 class Analysis:
-    """Lazy tables over one set of contact messages; each is planned when it is first asked for."""
+    """Lazy tables over one set of contact messages; each is planned when it is first asked for.
 
-    def __init__(self, contact_messages: DataFrame, contacts: DataFrame, cfg: Config = DEFAULT):
+    background: the messages that a contact's phrases are held against, all contacts' ones; by default the same set.
+    stale: for a refresh, the contacts (contact_id) whose rows it replaces.
+    """
+
+    def __init__(self, contact_messages: DataFrame, contacts: DataFrame, cfg: Config = DEFAULT, background: DataFrame | None = None, stale: DataFrame | None = None):
         self.contact_messages, self.contacts, self.cfg = contact_messages, contacts, cfg
+        self.background, self.stale = background, stale
 
     def materialised(self, folder: str) -> Analysis:
         """The same analysis over its messages with flags and points written to a folder, which all tables then share."""
-        path = f"{folder}/messages"
-        self.points.write.mode("overwrite").parquet(path)
-        table = self.points.sparkSession.read.schema(self.points.schema).parquet(path)
-        out = Analysis(self.contact_messages, self.contacts, self.cfg)
-        out.points = out.enriched = table
+        out = Analysis(self.contact_messages, self.contacts, self.cfg, self.background, self.stale)
+        out.points = out.enriched = _written(self.points, f"{folder}/messages")
         return out
 
     @cached_property
@@ -74,6 +81,19 @@ class Analysis:
     def insights(self) -> DataFrame:
         return insights.insights(self.counts, self.pairs, responses.wide(self.response_stats), self.cfg)
 
+    def distinctive_phrases(self) -> DataFrame:
+        if self.background is None:
+            return language.distinctive_phrases(self.contact_messages, self.phrases, self.cfg)
+        rows = language.distinctive_phrases(self.background, language.phrase_counts(self.background, self.cfg), self.cfg)
+        return rows.join(self.stale, "contact_id", "left_semi")
+
+    def headline(self) -> DataFrame:
+        """A contact's messages, words and conversations at a glance."""
+        counts = self.counts.select("contact_id", "my_messages", "their_messages", "my_words", "their_words")
+        pairs = self.pairs.select("contact_id", "n_conversations", "started_by_me", "started_by_them")
+        names = self.contacts.select("contact_id", "display_name")
+        return names.join(counts, "contact_id").join(pairs, "contact_id")
+
     def tables(self) -> dict[str, Callable[[], DataFrame]]:
         m, cfg = self.contact_messages, self.cfg
         return {
@@ -91,7 +111,7 @@ class Analysis:
             "growth": lambda: points.growth(self.daily_points),
             "top_emojis": lambda: activity.top_emojis(m, cfg),
             "recurring_phrases": lambda: language.recurring_phrases(self.phrases, cfg),
-            "distinctive_phrases": lambda: language.distinctive_phrases(m, self.phrases, cfg),
+            "distinctive_phrases": self.distinctive_phrases,
             "sentiment_daily": lambda: language.sentiment_daily(m, cfg),
             "focus": lambda: language.focus(m, self.contacts),
             "rating": self.rating,
@@ -99,16 +119,60 @@ class Analysis:
         }
 
 
+#: Tables that others are made of, by the attribute that holds them.
+SHARED = {"conversations": "conversations", "contact_counts": "counts", "daily_activity": "daily", "response_stats": "response_stats", "pair_metrics": "pairs", "daily_points": "daily_points"}
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.withColumn(FOLDER, F.pmod(F.xxhash64("contact_id"), F.lit(FOLDERS)).cast("int"))
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table that persist has written."""
+    return spark.read.parquet(f"{folder}/{name}").drop(FOLDER)
+
+
 def persist(analysis: Analysis, folder: str, names: list[str] | None = None) -> DataFrame:
-    """Write every table (or those named), replacing the last run's; returns contact_id and had_data for all contacts."""
-    tables = analysis.materialised(folder).tables()
+    """Write every table (or those named); returns contact_id and had_data for the contacts of the run.
+
+    A whole analysis replaces the last run's tables. A refresh replaces its own contacts' rows: they are written aside
+    together with the rows that share their folders, and these folders then take the place of the old ones, so that a run
+    that is stopped loses nothing and can be done again.
+    """
+    spark = analysis.contact_messages.sparkSession
+    work = f"{folder}/_work"
+    shared = analysis.materialised(work)
+    shared.replies = _written(shared.replies, f"{work}/replies")
+    tables = shared.tables()
     for name in names or tables:
-        tables[name]().write.mode("overwrite").parquet(f"{folder}/{name}")
+        target = f"{folder}/{name}"
+        rows = _written(tables[name](), f"{work}/{name}")
+        if name in SHARED:
+            setattr(shared, SHARED[name], rows)
+        if analysis.stale is None:
+            _dealt(rows).write.mode("overwrite").partitionBy(FOLDER).parquet(target)
+            continue
+        touched = _dealt(analysis.stale).select(FOLDER).distinct()
+        old = spark.read.parquet(target).join(F.broadcast(touched), FOLDER, "left_semi").join(analysis.stale, "contact_id", "left_anti")
+        merged = _written(old.unionByName(_dealt(rows)), f"{work}/{name}-merged")
+        emptied = touched.join(merged.select(FOLDER).distinct(), FOLDER, "left_anti")
+        if emptied.limit(1).count():  # a folder without rows is not replaced by itself: write the whole table anew
+            rest = spark.read.parquet(target).join(F.broadcast(touched), FOLDER, "left_anti")
+            merged = _written(rest.unionByName(merged.select(rest.columns)), f"{work}/{name}-whole")
+            merged.write.mode("overwrite").partitionBy(FOLDER).parquet(target)
+        else:
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(target)
     seen = analysis.contact_messages.select("contact_id").distinct().withColumn("had_data", F.lit(True))
-    return analysis.contacts.select("contact_id").join(seen, "contact_id", "left").select("contact_id", F.coalesce("had_data", F.lit(False)).alias("had_data"))
+    contacts = analysis.contacts if analysis.stale is None else analysis.contacts.join(analysis.stale, "contact_id", "left_semi")
+    return contacts.select("contact_id").join(seen, "contact_id", "left").select("contact_id", F.coalesce("had_data", F.lit(False)).alias("had_data"))
 
 
 def refresh(contact_messages: DataFrame, contacts: DataFrame, status: DataFrame, cfg: Config = DEFAULT) -> Analysis:
-    """The analysis of the stale contacts only."""
-    stale = status.where("is_stale = 1").select("contact_id")
-    return Analysis(contact_messages.join(stale, "contact_id", "left_semi"), contacts, cfg)
+    """The analysis of the stale contacts only, against the background of all messages."""
+    stale = status.where("is_stale = 1").select("contact_id").distinct()
+    return Analysis(contact_messages.join(stale, "contact_id", "left_semi"), contacts, cfg, contact_messages, stale)

@@ -93,6 +93,34 @@ def attachment_labels(spark: SparkSession, d: str) -> DataFrame:
     return vectors.attachment_labels(v)
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Message vectors of two models: every embedding stands for the event message of its number."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    model = F.when(F.col("vec_id") % 4 == 3, "m2").otherwise("m1")
+    return v.select(F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("message_id"), model.alias("model_id"), F.col("embedding").alias("vector"))
+
+
+def frame_topk(spark: SparkSession, d: str) -> DataFrame:
+    frames = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 4).alias("attachment_id"), F.col("embedding").alias("vector"))
+    return search.frame_search(frames, _query(spark, d), 20)
+
+
+def message_mimes(spark: SparkSession, d: str) -> DataFrame:
+    rows = messages.with_mime_types(_raw(spark, d).drop("mime_types"), _files(spark, d))
+    return rows.select("id", F.array_join("mime_types", ",").alias("mimes"))
+
+
+def flagged_media(spark: SparkSession, d: str) -> DataFrame:
+    scored = _files(spark, d).withColumn("nsfw_score", F.conv(F.substring(F.hex("file_hash"), 1, 2), 16, 10).cast("double") / 255)
+    return rounded(archive.flagged_media(scored, 0.7).select("id", "nsfw_score"))
+
+
+def summary_checks(spark: SparkSession, d: str) -> DataFrame:
+    kept = archive.dedupe_messages(_keyed(spark, d))
+    summary = archive.import_summary(_raw(spark, d), kept, _files(spark, d), _raw(spark, d).where("direction = 0"))
+    return archive.summary_checks(summary, kept, archive.dedupe_attachments(_files(spark, d)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{
         name: _of(name)
@@ -141,6 +169,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_checks": lambda s, d: archive.quality_checks(_raw(s, d), _files(s, d), _keyed(s, d)),
     "import_summary": lambda s, d: archive.import_summary(_raw(s, d), archive.dedupe_messages(_keyed(s, d)), _files(s, d), _raw(s, d).where("direction = 0")),
     "exact_copies": exact_copies,
+    "headline": lambda s, d: _analysis(s, d).headline(),
+    "message_mimes": message_mimes,
+    "semantic_messages": lambda s, d: search.semantic_search(_raw(s, d), _vectors(s, d), "m1", _query(s, d), 20),
+    "frame_topk": frame_topk,
+    "message_search": lambda s, d: search.message_search(_raw(s, d), "weekend trip", None),
+    "find_messages": lambda s, d: search.find_messages(_raw(s, d), "izza mov"),
+    "export_search": lambda s, d: archive.export_search(_raw(s, d), _files(s, d), "weekend trip", since=SINCE).select("id", "timestamp_ms", "body", "type", "n_attachments", "score"),
+    "flagged_media": flagged_media,
+    "thread_by_phone": lambda s, d: archive.thread(_raw(s, d), A.contact_addresses(s, d), A.contacts(s, d), phone="1 (555) 000-0004", limit=1000).select("rowid", "timestamp_ms", "address"),
+    "summary_checks": summary_checks,
+    "purged_vectors": lambda s, d: vectors.purged(_vectors(s, d), vectors.without_model(_vectors(s, d).select("model_id", F.col("model_id").alias("name"), F.lit("1").alias("version")), "m2")).select("message_id", "model_id"),
 }
 
 
@@ -362,6 +401,17 @@ def oracles() -> dict[str, str]:
     p = _prefix()
     conv_columns = "contact_id, conv_seq, start_ms, end_ms, started_by, final_reply_by, my_count, their_count, total_count, major_contributor, is_missed, missed_by, reconnect_gap_ms, is_big_moment_static, is_big_moment_dynamic, reconnect_tier, round(points, 6) AS points"
     label = "CASE message_type WHEN 2 THEN 'mms' WHEN 3 THEN 'rcs' ELSE 'sms' END"
+    near = """, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0),
+best AS (
+  SELECT vec_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) AS score FROM v, q
+  WHERE vec_id % 4 <> 3 AND 'e' || vec_id IN (SELECT id FROM raw) ORDER BY score DESC, vec_id::VARCHAR LIMIT 20)"""
+    cut = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '')"
+    tf = lambda w: f"len(list_filter(t, lambda x: x = '{w}'))"
+    part = lambda k: f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * size / mean))"
+    found = f""", tk AS (SELECT id, {cut("body")} || {cut("address")} AS t FROM raw),
+tf AS (SELECT id, len(t) AS size, {tf("weekend")} AS f0, {tf("trip")} AS f1 FROM tk),
+st AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM tf),
+found AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM tf, st WHERE f0 > 0 AND f1 > 0)"""
     on_p = {
         "conversations": f"SELECT {conv_columns} FROM conv",
         "contact_counts": "SELECT * FROM counts",
@@ -415,6 +465,16 @@ def oracles() -> dict[str, str]:
         "unprocessed_media": "SELECT id FROM file WHERE (mime_type LIKE 'image/%' OR mime_type LIKE 'video/%') AND (mime_type <> 'image/jpeg' OR rowid % 2 <> 0)",
         "quality_checks": ", q AS (SELECT count(*) AS n, count(DISTINCT id) AS i, count(DISTINCT key) AS k, count(*) FILTER (timestamp_ms > 0) AS d, count(*) FILTER (address <> '') AS a FROM keyed) SELECT *, expected = actual AS ok FROM (SELECT 'unique_ids' AS \"check\", n AS expected, i AS actual FROM q UNION ALL SELECT 'unique_keys', n, k FROM q UNION ALL SELECT 'dated', n, d FROM q UNION ALL SELECT 'addressed', n, a FROM q UNION ALL SELECT 'orphan_attachments', 0, 0)",
         "import_summary": "SELECT (SELECT count(*) FROM raw) AS seen, (SELECT count(*) FROM kept) AS inserted, (SELECT count(*) FROM raw) - (SELECT count(*) FROM kept) AS skipped, (SELECT count(*) FROM file) AS attachments, (SELECT count(*) FROM raw WHERE direction = 0) AS errors",
+        "headline": "SELECT contact_id, display_name, my_messages, their_messages, my_words, their_words, n_conversations, started_by_me, started_by_them FROM person JOIN counts USING (contact_id) JOIN pair USING (contact_id)",
+        "message_mimes": "SELECT id, array_to_string(list_sort(mime), ',') AS mimes FROM raw",
+        "semantic_messages": f"{near} SELECT id, timestamp_ms, address, body, score FROM best JOIN raw ON id = 'e' || vec_id",
+        "message_search": f"{found} SELECT id, score FROM found",
+        "find_messages": "SELECT id, NULL::DOUBLE AS score FROM raw WHERE body ILIKE '%izza mov%' ORDER BY timestamp_ms DESC, rowid LIMIT 20",
+        "export_search": f"{found} SELECT id, timestamp_ms, body, {label} AS type, coalesce(c, 0) AS n_attachments, score FROM found JOIN raw USING (id) LEFT JOIN (SELECT message_id AS fid, count(*) AS c FROM file GROUP BY 1) ON fid = id WHERE timestamp_ms >= {SINCE}",
+        "flagged_media": "SELECT id, round(('0x' || hash[:2])::BIGINT / 255.0, 6) AS nsfw_score FROM file WHERE ('0x' || hash[:2])::BIGINT / 255.0 >= 0.7",
+        "thread_by_phone": "SELECT rowid, timestamp_ms, address FROM raw WHERE n = 4 AND address NOT LIKE '%~%' ORDER BY timestamp_ms DESC, rowid LIMIT 1000",
+        "summary_checks": ", s AS (SELECT (SELECT count(*) FROM kept) AS k, (SELECT count(*) FROM file) AS f, (SELECT count(*) FROM (SELECT DISTINCT message_id, hash FROM file)) AS d) SELECT 'messages' AS \"check\", k AS expected, k AS actual, true AS ok FROM s UNION ALL SELECT 'attachments', f, d, f = d FROM s",
+        "purged_vectors": ", pv AS (SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 3) SELECT 'e' || vec_id AS message_id, 'm1' AS model_id FROM pv",
     }
     number = "(('0x' || substr(sha256(body || '#' || (k // 8)), (k % 8) * 8 + 1, 8))::BIGINT / 4294967295.0 * 2 - 1)"
     on_p["hash_embed"] = f", hv AS (SELECT id, list_transform(range(0, 16), lambda k: {number}) AS v FROM raw) SELECT id, array_to_string(list_transform(v, lambda x: printf('%.5f', round(x / sqrt(list_dot_product(v, v)), 5))), ',') AS vector FROM hv"
@@ -424,6 +484,7 @@ def oracles() -> dict[str, str]:
         "probe_labels": _probe_sql() + "SELECT * FROM probe",
         "attachment_labels": _probe_sql() + "SELECT vec_id // 4 AS attachment_id, arg_max(label, score) AS label, max(score) AS score FROM probe GROUP BY 1",
         "vector_topk": f"WITH v AS (SELECT vec_id, {stats} AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) AS score FROM v, q ORDER BY score DESC, vec_id LIMIT 20",
+        "frame_topk": f"WITH v AS (SELECT vec_id, {stats} AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id // 4 AS attachment_id, round(max(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q))), 6) AS score FROM v, q GROUP BY 1 ORDER BY score DESC, attachment_id LIMIT 20",
         "vector_stats": f"SELECT vec_id, list_min(v) AS least, list_max(v) AS most, round(list_sum(v) / len(v), 6) AS mean, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM (SELECT vec_id, {stats} AS v FROM embeddings)",
         "exact_copies": "SELECT sha256(text) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1",
     }

@@ -37,9 +37,9 @@ def test_phrases(spark):
 
 
 def test_addresses(spark):
-    rows = ["+1 (214) 717-2243", "2147172243", "+44 20 1234", "+12345"]
-    assert values(spark, rows, T.normalize_address) == ["2147172243", "2147172243", "+44201234", "+12345"]
-    assert values(spark, ["1 214 717 2243", "+44 20", "(214) 717-2243"], T.phone_key) == ["2147172243", "+4420", "2147172243"]
+    rows = ["+1 (305) 555-0182", "3055550182", "+44 20 1234", "+6789"]
+    assert values(spark, rows, T.normalize_address) == ["3055550182", "3055550182", "+44201234", "+6789"]
+    assert values(spark, ["1 305 555 0182", "+44 20", "(305) 555-0182"], T.phone_key) == ["3055550182", "+4420", "3055550182"]
 
 
 def test_small_helpers(spark):
