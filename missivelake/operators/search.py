@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, with their combining marks."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), lambda x: x != "")
+def padded(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, with their combining marks, two spaces apart and one at both ends."""
+    runs = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", "  ")
+    return F.concat(F.lit(" "), F.trim(runs), F.lit(" "))
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -34,14 +35,15 @@ def keyword_search(docs: DataFrame, query: str, key: str, column: str | list[str
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     # A text of tokens between doubled spaces lets a phrase be counted without overlap between neighbours.
     columns = [column] if isinstance(column, str) else column
-    base = docs.select(key, *[tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
-    padded = F.concat_ws("|", *[F.concat(F.lit(" "), F.array_join(f"_t{i}", "  "), F.lit(" ")) for i in range(len(columns))])
-    rows = base.select(key, reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))]).alias("_len"), padded.alias("_p"))
+    base = docs.select(key, *[padded(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
+    lengths = [F.when(F.col(f"_t{i}") == "  ", 0).otherwise(((F.length(f"_t{i}") - F.length(F.replace(F.col(f"_t{i}"), F.lit("  "), F.lit("")))) / 2).cast("int") + 1) for i in range(len(columns))]
+    rows = base.select(key, reduce(lambda a, b: a + b, lengths).alias("_len"), F.concat_ws("|", *[f"_t{i}" for i in range(len(columns))]).alias("_p"))
     counts = {}
     for i, phrase in enumerate(phrases):
         needle = " " + "  ".join(phrase) + " "
         counts[f"_f{i}"] = ((F.length("_p") - F.length(F.replace(F.col("_p"), F.lit(needle), F.lit("")))) / len(needle)).cast("int")
-    rows = rows.withColumns(counts).drop("_p")
+    # Through a generator, so that filters on the counts aren't pushed to where they'd split the text again for each use.
+    rows = rows.select(key, F.inline(F.array(F.struct("_len", *[c.alias(name) for name, c in counts.items()]))))
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"_d{c}") for c in counts])
     hits = rows.where(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in counts])).join(F.broadcast(stats), F.lit(True))
 
