@@ -14,7 +14,8 @@ which one edit makes another word, and one for others. Blank lines are no lines
    chunks of CHUNK characters, so that a variant costs the same in a line of any length. Lines meet in one shuffle on the
    variant's hash; lines of one variant differ in one character only, so groups are bounded, and no pairs are listed:
    each line looks at the earliest of its group and at the whole line.
-4. A pair found is verified with the edit distance of the lines themselves before the later line goes.
+4. A pair found is verified before the later line goes: the lines themselves must agree before and after the gap, which
+   is an edit distance of one, in time proportional to their length.
 5. Each document keeps, in place, its blank lines and those that are the earliest of their kind.
 
 Defined results: a null text stays null, an empty text stays empty; rows of equal doc_id and text count as one document
@@ -119,19 +120,22 @@ def _dominated(docs: DataFrame, distinct: DataFrame, near: DataFrame, n: int) ->
         return F.when(after > 0, F.array(whole, F.xxhash64(i, after - 1, left, _head(F.col("behind"), after - 1)))).otherwise(F.array(whole))
 
     keys = F.transform(F.sequence(F.lit(0), F.col("size")), variants)
-    rows = chunked.select("me", F.explode(keys).alias("v")).select("me", F.posexplode("v").alias("gone", "variant"))
+    rows = chunked.select("me", F.posexplode(keys).alias("i", "v")).select("me", "i", F.posexplode("v").alias("gone", "variant"))
     group = Window.partitionBy("variant")
     earliest = F.min(F.when(F.col("gone") == 1, F.col("me"))).over(group)
     full = F.min(F.when(F.col("gone") == 0, F.col("me"))).over(group)
     rows = rows.withColumns({"_earliest": earliest, "_full": full}).where("gone = 1")
-    found = rows.select("me", F.explode(F.array("_earliest", "_full")).alias("other")).where("me.first <> other.first")
+    found = rows.select("me", "i", F.explode(F.array("_earliest", "_full")).alias("other")).where("me.first <> other.first")
     later, earlier = F.greatest("me", "other"), F.least("me", "other")
-    found = found.select(later.alias("later"), earlier.alias("earlier")).distinct()
-    a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
+    found = found.groupBy(later.alias("later"), earlier.alias("earlier")).agg(F.min("i").alias("i"))
+    a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"), F.col("size").alias("na"))
+    b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"), F.col("size").alias("nb"))
     texts = found.join(a, (F.col("later.h1") == F.col("a1")) & (F.col("later.h2") == F.col("a2")))
     texts = texts.join(b, (F.col("earlier.h1") == F.col("b1")) & (F.col("earlier.h2") == F.col("b2")))
-    return stored(texts.where(F.levenshtein("a", "b", 1) >= 0).select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct(), "lines-gone")
+    # One edit apart: equal before the gap and after it, which is one character wide in the longer line, or in both.
+    rest = lambda line, n, other: F.right(line, F.col(n) - F.col("i") - (F.col(n) >= F.col(other)).cast("int"))
+    near = (F.left("a", "i") == F.left("b", "i")) & (rest("a", "na", "nb") == rest("b", "nb", "na"))
+    return stored(texts.where(near).select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct(), "lines-gone")
 
 
 def _cleaned(docs: DataFrame, near_chars: int) -> DataFrame:
