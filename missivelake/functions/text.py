@@ -196,8 +196,10 @@ def _normal_form(form: str):
 
 
 def normal_form(body: Column, form: str = "NFC") -> Column:
-    """Unicode normal form. Spark has no built-in; plain ASCII texts skip the Arrow function's result."""
-    return F.when(body.rlike(r"^\p{ASCII}*$"), body).otherwise(F.pandas_udf(_normal_form(form), "string")(body))
+    """Unicode normal form. Spark has no built-in; plain ASCII texts are their own form, so that none of them is sent to
+    the Arrow function."""
+    other = F.when(~body.rlike(r"^\p{ASCII}*$"), body)
+    return F.coalesce(F.pandas_udf(_normal_form(form), "string")(other), body)
 
 
 def chi_square_2x2(observed_a: Column, total_a: Column, observed_b: Column, total_b: Column) -> Column:

@@ -33,7 +33,11 @@ def conversations(enriched: DataFrame) -> DataFrame:
 
 
 def with_moments(convs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """convs with static and dynamic big-moment flags, the gap since the conversation before and its reconnect tier."""
+    """convs with static and dynamic big-moment flags, the gap since the conversation before and its reconnect tier.
+
+    A window holds one contact's conversations. Silence of the timeout parts them, so that a contact has at most six a day
+    of four hours' timeout, however many messages it has.
+    """
     place = F.least(F.floor(F.col("_n") * cfg.big_moment_percentile / 100), F.col("_n") - 1) + 1
     cut = exact_ranks(convs, ["contact_id"], "total_count", {"_at": place}).select("contact_id", F.greatest(F.col("_at"), F.lit(cfg.big_moment_floor)).alias("_cut"))
     w = Window.partitionBy("contact_id").orderBy("conv_seq")

@@ -16,6 +16,7 @@ from missivelake.sources import adapters as A
 AS_OF = "2024-02-15"
 KEYWORDS = "the and"
 SINCE = 1_705_000_000_000
+LATE = 1_706_658_000_000
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -39,6 +40,19 @@ def _of(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: rounded(_analysis(spark, d).tables()[name]())
 
 
+#: Tables that are also made with a contact for every user, as user_<name>.
+BY_USER = ("conversations", "contact_counts", "response_stats", "flow_links", "pair_metrics", "daily_points", "sentiment_daily", "rating")
+
+
+def _of_users(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = A.user_messages(_raw(spark, d))
+        names = rows.select("contact_id", F.col("contact_id").alias("display_name")).distinct()
+        return rounded(Analysis(rows, names).tables()[name]())
+
+    return run
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return A.event_attachments(_raw(spark, d))
 
@@ -70,7 +84,7 @@ def media_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_search(spark.read.parquet(f"{d}/documents.parquet"), KEYWORDS, "doc_id", limit=None)
+    return search.keyword_search(A.table(spark, d, "documents"), KEYWORDS, "doc_id", limit=None)
 
 
 def exact_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             "pair_metrics", "daily_points", "growth", "top_emojis", "recurring_phrases", "distinctive_phrases", "sentiment_daily", "focus", "rating", "insights",
         )
     },
+    **{f"user_{name}": _of_users(name) for name in BY_USER},
     "sentiment_overall": lambda s, d: rounded(language.sentiment_overall(_dense(s, d))),
     "message_points": lambda s, d: rounded(points.message_points(messages.enriched(_dense(s, d))).select("contact_id", "rowid", "points")),
     "first_responses": lambda s, d: responses.responses(messages.enriched(_dense(s, d))).where("is_first").select("contact_id", "rowid", "sender", "response_ms"),
@@ -145,7 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "auto_contacts": lambda s, d: archive.auto_contacts(_raw(s, d), A.contact_addresses(s, d).where("contact_id <> 'c1' and contact_id <> 'c4'")),
     "renamed_contacts": lambda s, d: archive.renamed_contacts(A.contacts(s, d).drop("n"), A.contact_addresses(s, d), _raw(s, d)),
     "duplicate_contacts": lambda s, d: archive.duplicate_contacts(A.contact_addresses(s, d).unionByName(A.contact_addresses(s, d).select(F.concat(F.lit("x"), "contact_id").alias("contact_id"), F.concat(F.lit(" "), F.substring("address", 3, 20)).alias("address")))),
-    "stale_contacts": lambda s, d: archive.stale_contacts(_status(s, d), A.contact_addresses(s, d), _raw(s, d).where("contact_no < 5"), SINCE),
+    "stale_contacts": lambda s, d: archive.stale_contacts(_status(s, d), A.contact_addresses(s, d), _raw(s, d), LATE),
     "export_messages": lambda s, d: archive.export_messages(_raw(s, d), _files(s, d), since=SINCE, body_like="trip", address_like="+1555"),
     "export_attachments": lambda s, d: archive.export_attachments(_raw(s, d), _files(s, d), "image/png", since=SINCE),
     "latest_page": lambda s, d: archive.page(_raw(s, d), 50, 10).select("id", "timestamp_ms", "body"),
@@ -194,7 +209,7 @@ def _list(values) -> str:
     return "[" + ", ".join(_lit(v) for v in values) + "]"
 
 
-def _prefix() -> str:
+def _prefix(contact: str = "'c' || n") -> str:
     mime = " ".join(f"WHEN event_id % 11 = {k} THEN {_list(v)}" for k, v in A.MIMES.items())
     e = T.emoji_class()
     cluster = rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[{e}]\x{{FE0F}}?[\x{{1F3FB}}-\x{{1F3FF}}]?(?:\x{{200D}}[{e}]\x{{FE0F}}?)*"
@@ -207,7 +222,7 @@ def _prefix() -> str:
 WITH raw AS (
   SELECT 'e' || event_id AS id, CASE WHEN event_id % 4 <> 0 THEN 'm' || (event_id // 2) END AS message_id, event_id AS rowid, epoch_us(ts) // 1000 AS timestamp_ms,
     '+1555000' || lpad((user_id % 10)::VARCHAR, 4, '0') || CASE WHEN user_id % 10 % 7 = 3 AND event_id % 5 = 0 THEN '~+15559999999' ELSE '' END AS address,
-    event_id % 3 + 1 AS message_type, 't' || (user_id % 10) AS thread_id, user_id % 10 AS n,
+    event_id % 3 + 1 AS message_type, 't' || (user_id % 10) AS thread_id, user_id % 10 AS n, user_id,
     CASE WHEN event_id % 6 <> 0 THEN ({_list(A.NAMES)})[user_id % 10 + 1] END AS contact_name,
     CASE {mime} ELSE []::VARCHAR[] END AS mime,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 2 WHEN event_type = 'error' THEN 0 WHEN event_type = 'click' AND user_id % 10 % 3 = 0 THEN 2 ELSE 1 END AS direction,
@@ -220,7 +235,7 @@ keyed AS (
   SELECT raw.*, coalesce(message_id, sha256(concat_ws(chr(31), address, timestamp_ms::VARCHAR, body, thread_id, coalesce(c, 0)::VARCHAR, coalesce(h, '')))) AS key
   FROM raw LEFT JOIN (SELECT message_id AS fid, count(*) AS c, string_agg(hash, ',' ORDER BY hash) AS h FROM file GROUP BY 1) ON fid = id),
 kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY rowid) = 1),
-msg AS (SELECT 'c' || n AS contact_id, rowid, timestamp_ms, CASE WHEN direction = 2 THEN 1 ELSE 2 END AS sender, body, mime FROM raw WHERE direction > 0 AND address NOT LIKE '%~%'),
+msg AS (SELECT {contact} AS contact_id, rowid, timestamp_ms, CASE WHEN direction = 2 THEN 1 ELSE 2 END AS sender, body, mime FROM raw WHERE direction > 0 AND address NOT LIKE '%~%'),
 feat AS (
   SELECT *, list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '') AS w, regexp_extract_all(body, {_lit(cluster)}) AS em, list_transform(mime, lambda x: {cat("x")}) AS cats,
     {match(T.LAUGH)} AS laugh, {match(T.APOLOGY)} AS apology, {match(T.QUESTION)} AS question, {match(T.ENCOURAGEMENT)} AS encouragement, {match(T.LINK)} AS link,
@@ -448,7 +463,7 @@ found AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM tf, st WHERE
         "auto_contacts": "SELECT sha256(address) AS contact_id, address, coalesce(arg_max(contact_name, (timestamp_ms, rowid)) FILTER (contact_name IS NOT NULL), address) AS display_name, 'auto' AS source FROM raw WHERE address NOT LIKE '%~%' AND n IN (1, 4) GROUP BY address",
         "renamed_contacts": "SELECT contact_id, coalesce(arg_max(contact_name, (timestamp_ms, raw.rowid)) FILTER (contact_name IS NOT NULL), any_value(display_name)) AS display_name FROM person LEFT JOIN raw USING (address) GROUP BY 1",
         "duplicate_contacts": "SELECT substr(address, 3) AS phone, 2::BIGINT AS n, contact_id || ',x' || contact_id AS contacts FROM person",
-        "stale_contacts": f", tc AS (SELECT DISTINCT 'c' || n AS contact_id FROM raw WHERE n < 5 AND address NOT LIKE '%~%' AND timestamp_ms >= {SINCE}) SELECT contact_id, CASE WHEN n % 2 = 0 THEN 1::BIGINT END AS computed_at, CASE WHEN tc.contact_id IS NOT NULL THEN 1 ELSE 0 END AS is_stale FROM person LEFT JOIN tc USING (contact_id) WHERE n % 2 = 0 OR tc.contact_id IS NOT NULL",
+        "stale_contacts": f", tc AS (SELECT DISTINCT 'c' || n AS contact_id FROM raw WHERE address NOT LIKE '%~%' AND timestamp_ms >= {LATE}) SELECT contact_id, CASE WHEN n % 2 = 0 THEN 1::BIGINT END AS computed_at, CASE WHEN tc.contact_id IS NOT NULL THEN 1 ELSE 0 END AS is_stale FROM person LEFT JOIN tc USING (contact_id) WHERE n % 2 = 0 OR tc.contact_id IS NOT NULL",
         "export_messages": f"SELECT id, timestamp_ms, address, body, thread_id, {label} AS type, coalesce(c, 0) AS n_attachments, coalesce(paths, '') AS paths FROM raw LEFT JOIN (SELECT message_id AS fid, count(*) AS c, string_agg('media/' || hash[:8], ';' ORDER BY hash[:8]) AS paths FROM file GROUP BY 1) ON fid = id WHERE timestamp_ms >= {SINCE} AND body ILIKE '%trip%' AND address ILIKE '%+1555%'",
         "export_attachments": f"SELECT file.id AS attachment_id, file.message_id, timestamp_ms, address, mime_type, 'media/' || hash[:8] AS file_path, hash FROM file JOIN raw ON raw.id = file.message_id WHERE mime_type = 'image/png' AND timestamp_ms >= {SINCE}",
         "latest_page": "SELECT id, timestamp_ms, body FROM raw ORDER BY timestamp_ms DESC, id LIMIT 50 OFFSET 10",
@@ -479,7 +494,8 @@ found AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM tf, st WHERE
     number = "(('0x' || substr(sha256(body || '#' || (k // 8)), (k % 8) * 8 + 1, 8))::BIGINT / 4294967295.0 * 2 - 1)"
     on_p["hash_embed"] = f", hv AS (SELECT id, list_transform(range(0, 16), lambda k: {number}) AS v FROM raw) SELECT id, array_to_string(list_transform(v, lambda x: printf('%.5f', round(x / sqrt(list_dot_product(v, v)), 5))), ',') AS vector FROM hv"
     stats = "list_transform(embedding, lambda x: x::DOUBLE)"
-    return {name: p + sql for name, sql in on_p.items()} | {
+    by_user = _prefix("'u' || user_id")
+    return {name: p + sql for name, sql in on_p.items()} | {f"user_{name}": by_user + on_p[name] for name in BY_USER} | {
         "keyword_search": _keyword_sql(),
         "probe_labels": _probe_sql() + "SELECT * FROM probe",
         "attachment_labels": _probe_sql() + "SELECT vec_id // 4 AS attachment_id, arg_max(label, score) AS label, max(score) AS score FROM probe GROUP BY 1",
