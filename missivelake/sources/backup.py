@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missivelake.functions import text as T
 
-SMS = "_protocol string, _address string, _date string, _type string, _subject string, _body string, _contact_name string, _thread_id string, _message_id string, _m_id string, _id string"
 PART = "struct<_seq: string, _ct: string, _name: string, _cl: string, _text: string, _data: string>"
-MMS = f"_address string, _date string, _msg_box string, _sub string, _body string, _contact_name string, _thread_id string, _message_id string, _m_id string, _id string, parts struct<part: array<{PART}>>, part array<{PART}>"
+PARTS = f"parts struct<part: array<{PART}>>, part array<{PART}>"
 EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/heic": ".heic", "video/mp4": ".mp4", "video/3gpp": ".3gp", "audio/mpeg": ".mp3", "audio/amr": ".amr", "audio/ogg": ".ogg", "application/ogg": ".ogg", "text/x-vcard": ".vcf"}
 
 
-def _kept(value: Column, *nulls: str) -> Column:
-    trimmed = F.trim(value)
-    return F.when(~trimmed.isin("", "null", *nulls), trimmed)
-
-
-#: A run of numeric character references, and pairs of such references that stand for one character beyond 16 bits.
-_REFERENCES = r"(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+"
-_PAIRS = r"(?:&#(?:5[56][0-9]{3}|[xX][dD][89abAB][0-9A-Fa-f]{2});&#(?:5[67][0-9]{3}|[xX][dD][c-fC-F][0-9A-Fa-f]{2});)+"
+#: A numeric or predefined reference; two numeric ones that stand for one character beyond 16 bits; runs of these (not longer,
+#: since the regular-expression engine goes deeper with each), and an ampersand that starts none.
+_REFERENCE = r"&(?:#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})|lt|gt|quot|apos|amp);"
+_PAIR = r"&#(?:5[56][0-9]{3}|[xX][dD][89abAB][0-9A-Fa-f]{2});&#(?:5[67][0-9]{3}|[xX][dD][c-fC-F][0-9A-Fa-f]{2});"
+_REFERENCES, _PAIRS = rf"(?:{_PAIR}|{_REFERENCE}){{1,400}}", rf"(?:{_PAIR}){{1,400}}"
+_NO_REFERENCE = "&(?!" + _REFERENCE[1:] + ")"
+#: A name and a quoted value, right where the one before it ended.
+_ATTRIBUTE = r"""\G\s+([^\s=/<>"'&]+)\s*=\s*("[^"]*"|'[^']*')"""
 
 
 def _decoded(run: Column) -> Column:
-    """The text of a run of numeric references; half a pair alone becomes U+FFFD."""
+    """The text of a run of references; half a pair alone becomes U+FFFD."""
+    for name, code in (("lt", 60), ("gt", 62), ("quot", 34), ("apos", 39), ("amp", 38)):
+        run = F.replace(run, F.lit(f"&{name};"), F.lit(f"&#{code};"))
     numbers = F.filter(F.split(F.replace(run, F.lit("&#"), F.lit("")), ";"), lambda x: x != "")
 
     def units(x: Column) -> Column:
@@ -40,32 +45,57 @@ def _decoded(run: Column) -> Column:
 
 
 def _referenced(value: Column, runs: str) -> Column:
-    """value with the numeric references that the pattern finds replaced by their characters."""
+    """value with the references that the pattern finds replaced by their characters."""
     pieces = F.arrays_zip(F.split(value, runs, -1).alias("gap"), F.regexp_extract_all(value, F.lit(runs), F.lit(0)).alias("run"))
     text = F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(_decoded(x["run"]), F.lit(""))))
-    return F.when(F.contains(value, F.lit("&#")), F.array_join(text, "")).otherwise(value)
+    return F.when(F.contains(value, F.lit("&")), F.array_join(text, "")).otherwise(value)
 
 
-def _unescaped(value: Column) -> Column:
-    """Character references of an attribute value that was read as text."""
-    value = _referenced(value, _REFERENCES)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(name), F.lit(char))
-    return value
+def scanned(rows: DataFrame, tag: Column, *kept: str) -> DataFrame:
+    """rows with `attributes`, the names and quoted values of a start tag in their order, and `whole`, whether it is well formed.
 
-
-def _messages(rows: DataFrame, kind: int, box: str) -> DataFrame:
-    body = F.when(F.col("_body") == "null", "").otherwise(F.coalesce("_body", F.lit("")))
-    return rows.select(
-        F.coalesce(_kept(F.col("_message_id")), _kept(F.col("_m_id")), _kept(F.col("_id"))).alias("message_id"),
-        F.coalesce(F.expr("try_cast(_date as bigint)"), F.lit(0).cast("long")).alias("timestamp_ms"),
+    tag is what follows the element's name. One pass goes from attribute to attribute, so nothing within a value is taken for
+    one; what is left must be the tag's end. The result goes through a generator, so that it is computed once.
+    """
+    names, values, texts = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(k)) for k in (1, 2, 0))
+    attributes = F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.struct(x["n"].alias("name"), x["v"].alias("value")))
+    size = F.aggregate(texts, F.lit(0), lambda acc, x: acc + F.char_length(x))
+    end = F.substr(tag, size + 1).rlike(r"\A\s*/?>")
+    whole = end & ~F.exists(values, lambda x: x.rlike(_NO_REFERENCE))
+    return rows.select(*kept, F.inline(F.array(F.struct(attributes.alias("attributes"), whole.alias("whole")))))
+
+
+def attribute(names: tuple[str, ...], nulls: tuple[str, ...] = ()) -> Column:
+    """The last value among `attributes` of any of these names that is none of nulls, its references resolved."""
+    bare = lambda v: F.substr(v, F.lit(2), F.char_length(v) - 2)
+    fits = lambda x: x["name"].isin(*names) & ~bare(x["value"]).isin(*nulls) if nulls else x["name"].isin(*names)
+    return _referenced(bare(F.try_element_at(F.filter("attributes", fits), F.lit(-1))["value"]), _REFERENCES)
+
+
+def _messages(rows: DataFrame, kind: int, parts: Column, text: Column | None = None) -> DataFrame:
+    """Messages out of `attributes`. Ids and the direction are the last given ones; text stands in for an empty body."""
+    given = rows.select(
+        attribute(("msg_id", "m_id", "id"), ("", "null")).alias("message_id"),
+        attribute(("date",)).alias("_date"),
+        attribute(("address",)).alias("_address"),
+        attribute(("body",)).alias("_body"),
+        attribute(("type", "msg_box")).alias("_box"),
+        attribute(("thread_id",), ("", "null")).alias("thread_id"),
+        F.regexp_replace(attribute(("contact_name",)), r"^\s+|\s+$", "").alias("_name"),
+        parts.alias("parts"),
+        (F.lit(None).cast("string") if text is None else text).alias("_text"),
+    )
+    body = F.coalesce(F.nullif("_body", F.lit("")), "_text", F.lit(""))
+    return given.select(
+        "message_id",
+        F.coalesce(F.when(F.col("_date").rlike(r"\A[+-]?[0-9]+\z"), F.expr("try_cast(_date as bigint)")), F.lit(0).cast("long")).alias("timestamp_ms"),
         T.normalize_address(F.coalesce("_address", F.lit(""))).alias("address"),
         T.normal_form(body, "NFC").alias("body"),
         T.normal_form(body, "NFKD").alias("body_searchable"),
         F.lit(kind).alias("message_type"),
-        T.direction_code(F.coalesce(F.col(box), F.lit(""))).alias("direction"),
-        _kept(F.col("_thread_id")).alias("thread_id"),
-        _kept(F.col("_contact_name"), "(Unknown)").alias("contact_name"),
+        T.direction_code(F.coalesce("_box", F.lit(""))).alias("direction"),
+        "thread_id",
+        F.when(~F.col("_name").isin("", "null", "(Unknown)"), F.col("_name")).alias("contact_name"),
         "parts",
     )
 
@@ -78,18 +108,13 @@ def read_sms(spark: SparkSession, path: str) -> DataFrame:
 def read_sms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Short messages and the elements that can't be read: a broken element doesn't take the rest of the file with it.
 
-    The file is split at '<', which no attribute value may hold, so files of any size are read in parallel.
+    The file is split at '<', which no attribute value may hold, so files of any size are read in parallel. An element is
+    its start tag, whether that ends itself or an end tag follows. Of attributes that are repeated the last counts; elements
+    with an unclosed quote, an unknown reference or no end of the tag are broken.
     """
-    lines = spark.read.option("lineSep", "<").text(path).where(F.col("value").rlike(r"^sms\s"))
-    fine = F.col("value").rlike(r"/>\s*$")
-    names = [x.split()[0] for x in SMS.split(", ")]
-    values = {}
-    for n in names:
-        raw = F.regexp_extract("value", rf"\s{n[1:]}\s*=\s*\"([^\"]*)\"", 1)
-        other = F.regexp_extract("value", rf"\s{n[1:]}\s*=\s*'([^']*)'", 1)
-        values[n] = _unescaped(F.when(raw != "", raw).otherwise(other))
-    rows = lines.where(fine).select(*[v.alias(n) for n, v in values.items()]).withColumn("parts", F.array().cast(f"array<{PART}>"))
-    return _messages(rows, 1, "_type"), lines.where(~fine).select(F.substring("value", 1, 200).alias("element"))
+    lines = spark.read.option("lineSep", "<").text(path).where(F.col("value").rlike(r"\Asms[\s/>]"))
+    rows = scanned(lines, F.substr("value", F.lit(4)), "value")
+    return _messages(rows.where("whole"), 1, F.array().cast(f"array<{PART}>")), rows.where(~F.col("whole")).select(F.substring("value", 1, 200).alias("element"))
 
 
 def read_mms(spark: SparkSession, path: str) -> DataFrame:
@@ -110,15 +135,13 @@ def read_mms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     alone = F.regexp_extract("piece", r"^<mms(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*/>", 0)
     element = F.when(alone != "", alone).when(F.col("k") == F.col("n") - 1, F.concat("piece", F.lit("</mms>")))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    read = F.from_xml(_referenced(element, _PAIRS), f"{MMS}, _corrupt string", options)
-    rows = rows.select("piece", read.alias("m"))
-    broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull()
-    fine = rows.where(~broken).select("m.*").drop("_corrupt")
-    parts = F.concat(F.coalesce(F.col("parts.part"), F.array().cast(f"array<{PART}>")), F.coalesce(F.col("part"), F.array().cast(f"array<{PART}>")))
-    fine = fine.withColumn("parts", parts)
-    text = F.get(F.filter("parts", lambda p: (p["_ct"] == "text/plain") & p["_text"].isNotNull()), 0)["_text"]
-    fine = fine.withColumn("_body", F.when(F.coalesce("_body", F.lit("")) == "", text).otherwise(F.col("_body")))
-    return _messages(fine, 2, "_msg_box"), rows.where(broken).select(F.substring("piece", 1, 200).alias("element"))
+    read = F.from_xml(_referenced(element, _PAIRS), f"{PARTS}, _corrupt string", options)
+    rows = scanned(rows.select("piece", read.alias("m")), F.substr("piece", F.lit(5)), "piece", "m")
+    broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | ~F.col("whole")
+    none = F.array().cast(f"array<{PART}>")
+    fine = rows.where(~broken).select("attributes", F.concat(F.coalesce(F.col("m.parts.part"), none), F.coalesce(F.col("m.part"), none)).alias("_parts"))
+    text = F.get(F.filter("_parts", lambda p: (p["_ct"] == "text/plain") & p["_text"].isNotNull()), 0)["_text"]
+    return _messages(fine, 2, F.col("_parts"), text), rows.where(broken).select(F.substring("piece", 1, 200).alias("element"))
 
 
 def attachments(messages: DataFrame, key: str = "key", files: DataFrame | None = None) -> DataFrame:
@@ -158,9 +181,19 @@ def _payloads(messages: DataFrame, key: str, without: bool = False) -> DataFrame
 
 
 def utf16_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that start with a UTF-16 mark and can't be imported. They are read in parts, however large they are."""
-    parts = spark.read.option("lineSep", "<").text(path).select(F.col("_metadata.file_path").alias("path"), F.substring(F.col("value").cast("binary"), 1, 2).alias("mark"))
-    return parts.where(F.col("mark").isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))).select("path").distinct()
+    """Files that start with a UTF-16 mark and can't be imported. Tasks read two bytes of each file of the listing."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                store, place = fs.FileSystem.from_uri(name)
+                with store.open_input_file(place) as f:
+                    if f.read(2) in (b"\xff\xfe", b"\xfe\xff"):
+                        found.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(marked, "path string")
 
 
 def media_audit(attachments: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import base64
+import random
+import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
 
@@ -82,3 +84,67 @@ def test_parts_take_files_beside_the_backup(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path / "m"))
     assert [bytes(r.content) for r in backup.attachments(rows, files=files).collect()] == [b"beside"]
     assert backup.attachments(rows).count() == 0
+
+
+def one(spark, tmp_path, element):
+    (tmp_path / "a.xml").write_text(f"<smses>{element}</smses>")
+    return backup.read_sms(spark, str(tmp_path)).first()
+
+
+def test_nothing_in_a_value_is_an_attribute(spark, tmp_path):
+    r = one(spark, tmp_path, """<sms address="1" body="hello contact_name='Eve' thread_id='9' x" date="4" type="1"/>""")
+    assert (r.body, r.contact_name, r.thread_id, r.timestamp_ms) == ("hello contact_name='Eve' thread_id='9' x", None, None, 4)
+    r = one(spark, tmp_path, """<sms address="1" body='q date="77" type="2" z' date="4" type="1" />""")
+    assert (r.timestamp_ms, r.direction, r.body) == (4, 1, 'q date="77" type="2" z')
+
+
+def test_short_messages_with_an_end_tag(spark, tmp_path):
+    elements = ['<sms address="1" date="1" body="one" type="1"></sms>', '<sms address="2" date="2" body="two" type="1">\n  </sms >', '<sms address="3" date="3" body="x /> y" type="2" >text a="b"</sms>', "<sms/>"]
+    (tmp_path / "a.xml").write_text("<smses>" + "".join(elements) + '<smsx address="4" date="4"/></smses>')
+    rows, errors = backup.read_sms_tolerant(spark, str(tmp_path))
+    assert [(r.address, r.body, r.timestamp_ms) for r in rows.orderBy("address").collect()] == [("", "", 0), ("1", "one", 1), ("2", "two", 2), ("3", "x /> y", 3)]
+    assert errors.count() == 0
+
+
+def test_ids_names_and_repeated_attributes(spark, tmp_path):
+    r = one(spark, tmp_path, """<sms m_id="a" id="null" msg_id="" thread_id=" 7 " thread_id="" address="1" body="first" body="last" date=" 5" type="x" msg_box="2" contact_name="\t Ann\n"/>""")
+    assert (r.message_id, r.thread_id, r.body, r.timestamp_ms, r.direction, r.contact_name) == ("a", " 7 ", "last", 0, 2, "Ann")
+    assert one(spark, tmp_path, '<sms msg_id="a" id="b" body="null" type="1"/>')[:1] == ("b",)
+    assert one(spark, tmp_path, f'<sms body="{"&#128512;" * 3000}&#38;lt; &amp;lt; {"&#55357;&#56832;" * 2000}" type="1"/>').body == "\U0001F600" * 3000 + "&lt; &lt; " + "\U0001F600" * 2000
+
+
+def test_broken_short_messages(spark, tmp_path):
+    broken = ['<sms address="1" body="open />', '<sms address=1 body="x"/>', '<sms address="1" "x"/>', '<sms address="1" body="a & b"/>', '<sms body="&nbsp;"/>', '<sms body="a"b="c"/>', '<sms address="1" body="x"']
+    (tmp_path / "a.xml").write_text("<smses>" + "\n".join(broken) + '<sms address="9" body="fine"/></smses>')
+    rows, errors = backup.read_sms_tolerant(spark, str(tmp_path))
+    assert [r.address for r in rows.collect()] == ["9"] and errors.count() == len(broken)
+
+
+def test_elements_equal_an_xml_parser(spark, tmp_path):
+    """Random quotes, signs and references: what a parser reads is what is imported, and what it refuses is broken."""
+    rng = random.Random(11)
+    pieces = ["date=", "'", "&quot;", "&#39;", "&#x26;", "&amp;", "&lt;", ">", "/>", " ", "type='2'", "é", "=", "x", "&", "sms", '"']
+    elements = []
+    for i in range(400):
+        attributes = [f'_n="{i}"']
+        for name in rng.sample(["address", "date", "body", "type", "thread_id", "contact_name"], 5):
+            quote = rng.choice("\"'")
+            value = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))
+            if rng.random() < 0.9:
+                value = value.replace(quote, "")
+            attributes.append(f"{name}{rng.choice(['=', ' = '])}{quote}{value}{quote}")
+        elements.append("<sms " + "  ".join(attributes) + rng.choice(["/>", " />", "></sms>", "> </sms>"]))
+    (tmp_path / "a.xml").write_text("<smses>\n" + "\n".join(elements) + "\n</smses>")
+    expected, refused = [], 0
+    for e in elements:
+        try:
+            x = ET.fromstring(e)
+        except ET.ParseError:
+            refused += 1
+            continue
+        name, thread = x.get("contact_name", "").strip(), x.get("thread_id")
+        expected.append((x.get("body", ""), thread if thread not in ("", "null") else None, name if name not in ("", "null", "(Unknown)") else None, {"1": 1, "2": 2}.get(x.get("type", "").strip(), 0)))
+    rows, errors = backup.read_sms_tolerant(spark, str(tmp_path))
+    got = [(r.body, r.thread_id, r.contact_name, r.direction) for r in rows.collect()]
+    assert 50 < refused < 350 and errors.count() == refused
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
