@@ -172,8 +172,9 @@ def _frequency(places: list[Column]) -> Column:
     if len(places) == 1:
         return F.size(places[0])
     starts = places[0]
+    before = lambda p, k: F.transform(p, lambda x: x - k)
     for k, p in enumerate(places[1:], 1):
-        starts = F.array_intersect(starts, F.transform(p, lambda x, k=k: x - k))
+        starts = F.array_intersect(starts, before(p, k))
     size = len(places)
     none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("free"))
     take = lambda acc, x: F.when(x >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (x + size).alias("free"))).otherwise(acc)

@@ -8,7 +8,7 @@ from missivelake.operators import postings, search
 from missivelake.operators.postings import Postings
 
 DOC = "doc_id long, text string, address string"
-QUERIES = ["a", "a b", "b-a", "a-a", "Ähre", "a-b-a c", "c c", "z", "z-a", "a zz", "1", "", "  ", "c-d", "555"]
+QUERIES = ["a", "b-a", "a-a-a", "Ähre c", "a-b-a c", "a zz", " ", "555"]
 
 
 def documents(spark, n, seed=1, start=0):
@@ -37,18 +37,16 @@ def test_stored_search_equals_the_scan(spark, tmp_path, columns):
 
 def test_early_stop_leaves_blocks_closed_and_changes_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "FIRST", 2)
-    docs = documents(spark, 400, 5)
+    docs = documents(spark, 300, 5).unionByName(spark.createDataFrame([(9000 + i, "x1 " * 12, None) for i in range(4)], DOC))
     index = Postings(spark, str(tmp_path / "i"), buckets=2)
     index.add(docs, 0, "doc_id", block=8)
     opened = []
     scored = Postings._scored
     monkeypatch.setattr(Postings, "_scored", lambda self, found, *rest: opened.append(found) or scored(self, found, *rest))
-    for q, limit in (("z", 1), ("a", 3), ("ähre x1", 2), ("a b", 1), ("z z", 50)):
+    for q, limit in (("z", 1), ("a", 3), ("ähre x1", 2), ("z z", 50), ("x1", 3)):
         want = [tuple(r) for r in search.keyword_search(docs, q, "doc_id", "text", limit).collect()]
         assert [tuple(r) for r in index.search(q, limit).collect()] == want
-    index.search("a", 3).collect()
-    all_docs = index.search("a", None).count()
-    assert opened[-2].count() < all_docs  # the last but one is the limited search
+    assert opened[-1].count() < 0.7 * index.search("x1", None).count()
 
 
 def test_appending_and_compacting_equal_rebuilding(spark, tmp_path):
@@ -85,4 +83,4 @@ def test_the_plan_opens_the_query_s_buckets_only(spark, tmp_path):
     index = Postings(spark, str(tmp_path / "i"), buckets=16)
     index.add(documents(spark, 30), 0, "doc_id")
     plan = index.search("a", None)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0] and "PushedFilters: [IsNotNull(term), EqualTo(term,a)]" in plan
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0] and "EqualTo(term,a)" in plan.split("PushedFilters: [", 1)[1]
