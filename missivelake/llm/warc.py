@@ -1,6 +1,6 @@
 """WARC archives as a Spark data source, written and read in Python on the executors.
 
-``spark.read.format("warc").schema(...).load(folder)`` after ``spark.dataSource.register(WarcSource)``, or ``read_archive``.
+``read_archive`` reads through ``spark.read.format("warc")``, which ``spark.dataSource.register(WarcSource)`` makes known.
 The reader plans partitions of whole files, up to ``partition_bytes`` each (the writer ends a file at ``file_bytes``, so
 no file grows with the table). Of a record it first parses the WARC header alone. Predicates on header columns (HEADER)
 are pushed down and decided on it, and the schema asked for says whether the block is needed at all. A record that is not
@@ -463,13 +463,21 @@ class WarcSource(ds.DataSource):
         return WarcWriter(schema, dict(self.options), overwrite)
 
 
-def read_archive(spark: SparkSession, folder: str, *columns: str, **options: str) -> DataFrame:
-    """Records of a folder with these columns, or all of SCHEMA; the block is read only if one of BLOCK is among them."""
+def read_archive(spark: SparkSession, folder: str, *columns: str, where: Column | None = None, **options: str) -> DataFrame:
+    """Records of a folder with these columns, or all of SCHEMA; the block is read only if one of BLOCK is among them.
+
+    where is a condition on HEADER columns and is pushed down. Spark 4.1 keeps the predicates it pushed last with a loaded
+    table, and would apply them to every other use of it; so each call loads a table of its own, which always gets a predicate
+    and is shut off from later ones by a generator. A frame that is loaded by hand is good for one condition only.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     kinds = {x.split()[0]: x for x in SCHEMA.split(", ")}
-    schema = ", ".join(kinds[c] for c in columns) or SCHEMA
-    return spark.read.format("warc").schema(schema).options(**options).load(folder)
+    names = columns or tuple(kinds)
+    schema = ", ".join(kinds[c] for c in dict.fromkeys([*names, "offset", *(HEADER if where is not None else ())]))
+    rows = spark.read.format("warc").schema(schema).options(**options).load(folder).where("offset >= 0")
+    rows = rows if where is None else rows.where(where)
+    return rows.select(F.inline(F.array(F.struct(*names))))
 
 
 def write_archive(rows: DataFrame, folder: str, *, overwrite: bool = False, **options: str) -> None:
@@ -562,8 +570,8 @@ def round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(records_of(pages, min_bytes=min_bytes), folder)
-    found = read_archive(spark, folder, "record_type", "record_id", "refers_to", "payload_digest", "payload_bytes")
-    found = found.where(F.col("record_type").isin("response", "revisit"))
+    kinds = F.col("record_type").isin("response", "revisit")
+    found = read_archive(spark, folder, "record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", where=kinds)
     return found.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
 
 
