@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A token is an element's path of container tags with their classes and ids (digits masked). For every host, and for all
-hosts together ('*'), one aggregation yields each token's occurrence vector over the pages as a fingerprint: how many
+A token is an element's path of container tags with their classes and ids (digits masked). For every host, one aggregation
+yields each token's occurrence vector over the pages as a fingerprint: how many
 pages hold it, how often, and two sums of page hashes times counts. Tokens of a host with equal vectors form an
 equivalence class; a class is valid if its tokens stand once on each of their pages, and on at least SUPPORT of the
 host's pages and MIN_PAGES. Valid classes, ordered by support and position, nest into the template: a class lies in the
@@ -9,12 +9,13 @@ class of the nearest token that holds its first one, so the class of all pages i
 parts within it. The template's slots are its tokens' own texts. A slot whose text never changes, in a class that has or
 lies in one with a changing slot, is template text, inside articles too; if nothing around it changes, the pages are
 copies and it stays. All else is data: changing slots, and repeated or rare elements between template tokens, whatever
-their share. Of a page's data, tags and class names only tell chrome (navigation, notices, adverts, forms, comments) from
-the rest, and article or main elements, if a page has text in any, from what is around them.
+their share. Of a page's data, tags, roles, attributes and names only tell chrome (navigation, notices, adverts, forms,
+comments, hidden parts) from the rest. Outside of article and main elements any chrome word in a class name or id counts;
+inside, only names that say nothing else do (`comments-area`, not `related-work`), and paragraphs, headings and list items
+are told by these too. Where article or main elements hold half of what is left or more, what is around them goes.
 
 Vectors are aggregated as sums, so a host with any share of all pages is never gathered in one task; what is kept per
-host is bounded by the tokens of a few pages (1/SUPPORT times a page's). Hosts of fewer than MIN_PAGES pages use the
-template of all hosts.
+host is bounded by the tokens of a few pages (1/SUPPORT times a page's). A host of fewer than MIN_PAGES pages shows no template.
 
 Defined results: a null or empty html, or a page of chrome alone, gives an empty text; a page that has nothing but
 template text keeps it; a null or odd url counts as host ''; repeated rows are extracted each.
@@ -39,13 +40,12 @@ SUPPORT = 0.2
 MIN_PAGES = 3
 #: Up to so many hosts' templates are broadcast; beyond it they are joined by a shuffle, whose skew Spark splits.
 BROADCAST_HOSTS = 100_000
-ANY = "*"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|(?P<text>[^<]++|<)",
     re.S,
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed"}
@@ -58,8 +58,18 @@ CHROME_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "toast", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "aside", "related", "recommended", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pagination", "pager", "footer", "masthead", "topbar", "toolbar", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "widget", "copyright", "search", "form",
 }
 MAIN_TAGS = {"article", "main"}
-#: Whole class names and ids that mark an advert inside an article too; other words may be an article's own sections.
+#: Words that say where or what kind of box an element is; beside these, a chrome word is all that a name says.
+BOX_WORDS = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "card", "col", "column", "container", "entry", "group", "heading", "holder", "icon", "icons", "inner", "item", "items",
+    "left", "link", "links", "list", "main", "module", "outer", "page", "panel", "post", "posts", "reader", "readers", "region", "right", "row", "section", "side", "site", "slot", "story", "strip", "thread",
+    "threads", "title", "top", "unit", "user", "users", "wrap", "wrapper",
+}
+#: Chrome words that are also names of an article's own sections.
+OWN_SECTIONS = {"discussion"}
+#: Inline elements of these names are adverts.
 ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored"}
+#: What ends an element whose end tag may be left out: the start of one of these, or of any block.
+ENDED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 
 
 def host_of(url: str | None) -> str:
@@ -69,35 +79,48 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """A tag's attributes; the first of a name counts, and nothing within a value is one."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+
+
+def named_chrome(names: list[str]) -> bool:
+    """Whether a class name or id says chrome and nothing else: `comments-area`, but not `related-work` or `no-sidebar`."""
+    for name in names:
+        words = [w.lower() for w in _PART.findall(name)]
+        if any(w in CHROME_WORDS and w not in OWN_SECTIONS for w in words) and all(w in CHROME_WORDS or w in BOX_WORDS for w in words):
+            return True
+    return False
+
+
 class Node:
     """An element. What a tag or role says of it holds for all below; what a class word says may be withdrawn by the page."""
 
-    __slots__ = ("tag", "path", "parent", "own_main", "main", "strong", "weak")
+    __slots__ = ("tag", "path", "parent", "own_main", "main", "strong", "weak", "loose")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
+    def __init__(self, tag: str, attrs: str, parent: Node | None, loose: bool = False):
+        found = attributes_of(attrs) if attrs else {}
         named = f"{found.get('class', '')} {found.get('id', '')}".split()
-        words = {w.lower() for n in named for w in _PART.findall(n)}
         role = found.get("role", "").lower()
         inside = bool(parent and parent.main)
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self.loose = tag, parent, loose
         own = tag + "".join("." + re.sub(r"\d+", "9", n) for n in sorted(named))
         self.path = f"{parent.path}>{own}" if parent else own
         self.own_main = tag in MAIN_TAGS or role in ("main", "article")
         self.main = inside or self.own_main
-        self.strong = bool(
-            (parent and parent.strong)
-            or tag in CHROME_TAGS
-            or role in CHROME_ROLES
-            or (tag == "header" and not inside)
-            or found.get("aria-hidden", "").lower() == "true"
-            or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs)
-            or re.search(r"display\s*:\s*none", found.get("style", ""))
-        )
-        if inside:
-            self.weak = any(n.lower() in ADVERTS for n in named) and not self.own_main
+        self.strong = bool((parent and parent.strong) or tag in CHROME_TAGS or role in CHROME_ROLES or (tag == "header" and not inside) or hidden(found))
+        if inside or self.own_main or loose:
+            self.weak = named_chrome(named)
         else:
-            self.weak = bool(words & CHROME_WORDS or "header" in words) and not (self.own_main or tag in ("html", "body"))
+            words = {w.lower() for n in named for w in _PART.findall(n)}
+            self.weak = bool(words & CHROME_WORDS or "header" in words) and tag not in ("html", "body")
 
     def above(self) -> Iterator[Node]:
         """The element and those that hold it, innermost first."""
@@ -115,21 +138,44 @@ def _withdraw(blocks: list[tuple[Node, str]]) -> None:
     """Take class words back from elements that hold the page's main text.
 
     A page with text in an article or main element outside chrome keeps its marks. Else marks go from what holds such an
-    element, or else from what holds half of the page's text or more.
+    element, or, if that leaves none either, from what holds half of the text or more.
     """
     said = [(node, len(block)) for node, block in blocks if block and not node.strong]
-    if not any(n.weak for node, _ in said for n in node.above()) or any(node.main and not node.chrome for node, _ in said):
+    if not any(n.weak for node, _ in said for n in node.above()):
         return
-    holders = {id(n): n for node, _ in said if node.main for n in node.above() if not n.main}
-    if not holders:
-        held: dict[int, int] = {}
-        for node, size in said:
+
+    def left() -> bool:
+        return any(node.main and not node.chrome for node, _ in said)
+
+    if left():
+        return
+    for node, _ in said:
+        if node.main:
             for n in node.above():
-                held[id(n)] = held.get(id(n), 0) + size
-        half = sum(size for _, size in said) / 2
-        holders = {id(n): n for node, _ in said for n in node.above() if held[id(n)] >= half}
-    for n in holders.values():
-        n.weak = False
+                if not n.main:
+                    n.weak = False
+    inside = [(node, size) for node, size in said if node.main]
+    if inside and left():
+        return
+    held: dict[int, int] = {}
+    for node, size in inside or said:
+        for n in node.above():
+            held[id(n)] = held.get(id(n), 0) + size
+    half = sum(size for _, size in inside or said) / 2
+    for node, _ in inside or said:
+        for n in node.above():
+            if held[id(n)] >= half:
+                n.weak = False
+
+
+def _past(html: str, at: int, tag: str) -> int:
+    """Where the end tag of an element that began before starts, elements of its kind within it passed over."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.start()
+    return len(html)
 
 
 def parse(html: str) -> list[tuple[Node, str]]:
@@ -155,11 +201,11 @@ def parse(html: str) -> list[tuple[Node, str]]:
             continue
         if m["tag"] is None:
             continue
-        tag = m["tag"].lower()
+        tag, attrs = m["tag"].lower(), (m["attrs"] or "").strip()
         if tag in RAW:
             if tag != "noscript":
                 flush()
-            if tag == "svg" and (m["attrs"] or "").endswith("/"):
+            if tag == "svg" and attrs.endswith("/"):
                 continue
             if not m["end"]:
                 close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -171,21 +217,35 @@ def parse(html: str) -> list[tuple[Node, str]]:
                 at = n if at < 0 else at + 1
             continue
         if tag in INLINE:
-            if not m["end"] and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", m["attrs"] or "") and tag == "span":
-                close = html.find("</span", at)
-                at = n if close < 0 else close
+            if attrs and not m["end"] and tag not in VOID and not attrs.endswith("/"):
+                found = attributes_of(attrs)
+                if hidden(found) or any(x.lower() in ADVERTS for x in f"{found.get('class', '')} {found.get('id', '')}".split()):
+                    at = _past(html, at, tag)
             continue
         flush()
-        if tag not in CONTAINERS or tag in VOID:
+        if tag in VOID:
             continue
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
-        elif not (m["attrs"] or "").endswith("/"):
-            stack.append(Node(tag, m["attrs"] or "", stack[-1]))
+                if tag not in CONTAINERS and not stack[k].loose:
+                    break
+            continue
+        while stack[-1].loose and stack[-1].tag in ENDED_BY and tag in (ENDED_BY[stack[-1].tag] or {tag}):
+            stack.pop()
+        if stack[-1].loose and stack[-1].tag == "p":
+            stack.pop()  # any block ends a paragraph
+        if attrs.endswith("/"):
+            continue
+        if tag in CONTAINERS:
+            stack.append(Node(tag, attrs, stack[-1]))
             blocks.append((stack[-1], ""))  # an element counts even without text
+        elif attrs:
+            node = Node(tag, attrs, stack[-1], loose=True)
+            if node.weak or node.strong and not stack[-1].strong:
+                stack.append(node)
     flush()
     _withdraw(blocks)
     return blocks
@@ -214,15 +274,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host = host_of(url)
                 for token, (times, chars, said) in own.items():
                     text = zlib.crc32("\n".join(said).encode())
-                    for k in (host, ANY):
-                        row = found.setdefault((k, token), [kinds[token], 0, 0, 0, 0, 0, text, text])
-                        row[1] += 1
-                        row[2] += times
-                        row[3] += h1 * times
-                        row[4] += h2 * times
-                        row[5] += chars
-                        row[6] = min(row[6], text)
-                        row[7] = max(row[7], text)
+                    row = found.setdefault((host, token), [kinds[token], 0, 0, 0, 0, 0, text, text])
+                    row[1] += 1
+                    row[2] += times
+                    row[3] += h1 * times
+                    row[4] += h2 * times
+                    row[5] += chars
+                    row[6] = min(row[6], text)
+                    row[7] = max(row[7], text)
             cols = [[k for k, _ in found], [t for _, t in found], *map(list, zip(*found.values(), strict=True))] if found else [[] for _ in range(10)]
             types = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in STATS.split(", ")])
@@ -249,7 +308,7 @@ def _template_texts(classes: pd.Series) -> pd.Series:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and the tokens of its template text; host '*' stands for all hosts together."""
+    """host and the tokens of its template text."""
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "f1", "f2", "chars")]
     stats = pages.select("page_id", "url", "html").mapInArrow(_statistics, STATS)
     tokens = stored(stats.groupBy("host", "token").agg(F.max("kind").alias("kind"), *sums, F.min("least").alias("least"), F.max("most").alias("most")), "html-tokens")
@@ -265,20 +324,18 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def extract(html: str | None, template: set[str]) -> str:
-    """The page's blocks but chrome and template text: those of its article or main elements if there are any, or else all."""
+    """The page's blocks but chrome and template text: those of its article or main elements if most of it stands there, or else all."""
     blocks = [(node, block) for node, block in parse(html or "") if block and not node.chrome]
-    scope = [(node, block) for node, block in blocks if node.main] or blocks
+    scope = [(node, block) for node, block in blocks if node.main]
+    if 2 * sum(len(block) for _, block in scope) < sum(len(block) for _, block in blocks):
+        scope = blocks
     return "\n".join([block for node, block in scope if node.path not in template] or [block for _, block in scope])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = stored(templates(pages), "html-templates")
-    common = [r.template for r in found.where(F.col("host") == ANY).collect()]
-    shared = spark.sparkContext.broadcast(frozenset(common[0]) if common else frozenset())
-    own = found.where(F.col("host") != ANY).withColumnRenamed("host", "_host")
+    own = stored(templates(pages), "html-templates").withColumnRenamed("host", "_host")
     own = F.broadcast(own) if own.count() <= BROADCAST_HOSTS else own
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     joined = pages.join(own, host == F.col("_host"), "left").select("page_id", "url", "html", "template")
@@ -287,7 +344,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "html"):
                 slots = part.column("template").to_pylist()
-                out = [extract(h, shared.value if m is None else set(m)) for h, m in zip(part.column("html").to_pylist(), slots, strict=True)]
+                out = [extract(h, set(m or ())) for h, m in zip(part.column("html").to_pylist(), slots, strict=True)]
                 cols = [part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 

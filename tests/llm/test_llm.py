@@ -426,6 +426,18 @@ def test_top_k_of_large_components_is_exact(spark):
         assert sorted(map(tuple, got)) == want
 
 
+def test_top_k_at_the_ends_of_the_range(spark):
+    """Any finite component: scores are ranked by their exact values, and held at a long's ends when they are returned."""
+    rng = random.Random(4)
+    values = [1e300, -1e300, 1e19, -3e15, 2.0**40, 1.5, 0.0, -0.25, 8e15]
+    rows = [(i, [rng.choice(values) for _ in range(5)]) for i in range(120)] + [(200, [1e300] * 5), (201, [-1e300] * 5), (300, [0.0] * 5)]
+    held = lambda x: max(-(1 << 63), min((1 << 63) - 1, math.floor(1024 * x)))
+    ints = [(i, [held(x) for x in v]) for i, v in rows]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, block_bytes=5 * 8 * 30).collect()
+    want = [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in brute_top(ints)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     rows = rng.normal(0, 100, (4000, 8)).astype(np.int64)
@@ -487,6 +499,62 @@ def test_class_words_leave_main_text(page, want):
     assert html.extract(page, set()) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>Main<section class='comments'><p>Reader says hi", "Main"),
+        ("<main><article><p>A</article><div id='comments'><p>First!</div></main>", "A"),
+        ("<article title='the hidden truth'><p>Text", "Text"),
+        ("<article data-kind='not hidden here'><p>Text", "Text"),
+        ("<article><p hidden>No<p>Yes<div style='Display : none'>No</div></article>", "Yes"),
+        ("<div class='content'>long text and more</div><article class='teaser'>t</article>", "long text and more\nt"),
+        ("<main><p>Story text<div class='sidebar'>s</div><div class='cookie-notice'>c</div><div class='newsletter'>n</div></main>", "Story text"),
+        ("<main><div class='layout sidebar-right'><article><p>Body</article></div></main>", "Body"),
+        ("<article><p>One<p class='cookie-notice'>x<p>Two<ul><li class='ad'>y<li>z</ul></article>", "One\nTwo\nz"),
+        ("<article><p>a<span class='ad'>x<span>y</span></span> b <em hidden>c</em></article>", "a b"),
+        ("<article class='no-sidebar article-comments-disabled'><p>Text<div class='long-form share-price'>more</div></article>", "Text\nmore"),
+        ("<article><h1>T</h1><p>x</article><article class='comment'><p>Reader: a longer remark than the text itself</article>", "T\nx"),
+    ],
+)
+def test_chrome_within_main_text_goes(page, want):
+    assert html.extract(page, set()) == want
+
+
+def test_extraction_equals_a_walk_of_the_tree():
+    """Random trees of known parts: what stands in no chrome part is the text, in order."""
+    rng = random.Random(12)
+    plain = ["<div>", "<section class='related-work'>", "<div class=\"body post\">", "<ul id='x1'>", "<figure>", "<section id=discussion>"]
+    chrome = ["<div class='comments-area'>", "<section id=comments>", "<div class='cookie-notice x'>", "<aside>", "<form>", "<div class='ad'>", "<div hidden>", "<nav class='x'>", "<div role='search'>", "<div class='reader-comments'>", "<div class=newsletter>", "<div style='display:none'>", "<footer>"]
+
+    def tree(depth, inside):
+        out, said = "", []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.6:
+                off = rng.random() < 0.35
+                start = rng.choice(chrome if off else plain)
+                html_, own = tree(depth - 1, inside or off)
+                out += start + html_ + f"</{re.match('<([a-z]+)', start)[1]}>"
+                said += own
+            else:
+                word = f"w{rng.randint(0, 10**6)} and more"
+                out += f"<p>{word}</p>" if rng.random() < 0.7 else f"<h2>{word}</h2>"
+                said += [] if inside else [word]
+        return out, said
+
+    for _ in range(400):
+        body, said = tree(4, False)
+        if said:
+            page = f"<html><body><header>Site</header><nav>Menu</nav><article>{body}</article><div class='sidebar'>Side</div><footer>F</footer></body></html>"
+            assert html.extract(page, set()) == "\n".join(said), page
+
+
+def test_html_of_odd_tables(spark):
+    long = "<article>" + "".join(f"<p>part {i}" for i in range(60_000)) + "</article>"
+    rows = [(1, "http://a", long, 1), (2, "http://a", "<article><p>x", 2), (2, "http://a", "<article><p>x", 2), (None, "http://b", "<p>no id", 3), (3, None, None, None)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted(((r.page_id or 0, r.n_chars, r.text[:12]) for r in got)) == [(0, 5, "no id"), (1, sum(len(f"part {i}") for i in range(60_000)) + 59_999, "part 0\npart "), (2, 1, "x"), (2, 1, "x"), (3, 0, "")]
+
+
 def test_template_text_is_deduced(spark):
     """Constant text goes, inside articles too; rare, repeated and short slots stay; copies of a page stay whole."""
     article = "<body><div class='top'>Welcome</div><article><p>Story {i}<div class='box'>All rights</div></article>"
