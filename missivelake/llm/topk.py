@@ -6,25 +6,26 @@ heavier its component is; rows met for the first time are scored in full (random
 list what was read last there, and none is longer than the block's longest vector, so the bound is the highest inner
 product under these limits: the sum of the threshold algorithm, tightened by the length. Once it falls below the query's
 k-th score no unseen row can enter (ties go to the smaller id, so a bound that equals the k-th score does not stop the
-scan). Queries carry their k-th scores over to the next block of a task. ``threshold_scan`` returns how many rows were
-scored, and ``top_k`` can log it.
+scan). ``threshold_scan`` returns how many rows were scored, and ``top_k`` can log it.
 
 Components are whole numbers, and scores are exact: they are taken in floats only where no sum can pass 2^53, in 64-bit
-integers where none can pass 2^63, and in Python's integers beyond.
+integers where none can pass 2^63, and in Python's integers beyond; between tasks a score is two decimals.
 
-All queries are read in blocks of at most ``block_bytes`` and broadcast a block at a time, and vectors are taken in blocks
-of as many bytes, so memory stays bounded; each task returns k rows a query, and one shuffle by query merges them.
+Vectors and queries are stored, and dealt by chance into blocks of at most ``block_bytes`` each. One job holds every block
+of queries against every block of vectors: both sides of a cell of that grid meet in one co-grouped task, so its memory is
+two blocks whatever the number of queries, nothing passes through the driver, and a row that many copies share is dealt out
+like others. Each cell returns k rows a query, and one shuffle by query merges them.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a component that a shorter
-vector lacks counts as 0; components beyond the range of a long are held at its ends, and so are returned scores, after
-ranking; of rows that share an id each is a query with rows of its own, and none is the other's candidate; a null id is
+vector lacks counts as 0; components whose scaled value is beyond the range of a long are held at its ends, and so are
+returned scores, after ranking; of rows that share an id each is a query with rows of its own, and none is the other's candidate; a null id is
 no query and is not returned; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from missivelake.llm.common import stored
 
 SCALE = 1024
 K = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Scores between tasks are a high part and LOW bits.
+LOW = 80
 #: Part of a block's rows that a list of average weight gives in the first round.
 FIRST = 1 / 256
 
@@ -147,57 +150,47 @@ def threshold_scan(best: Best, k: int, query: np.ndarray, query_id: int, block:
             return int(seen.sum()) - own
 
 
+SCORED = "query long, query_id long, vec_id long, high decimal(38,0), low decimal(38,0)"
+
+
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest inner product for every row that is_query picks."""
-    spark = vectors.sparkSession
-    rows = integers(vectors, scale)
-    dims = rows.agg(F.max(F.size("v"))).first()[0]
-    schema = "query int, query_id long, vec_id long, score decimal(38,0)"
-    found = spark.createDataFrame([], schema)
-    if dims is not None:
-        dims = max(1, dims)
-        size = max(1, block_bytes // (8 * dims))
-        block: list = []
-        done = 0
-        for r in rows.where(is_query).toLocalIterator():
-            block.append((r.vec_id, r.v))
-            if len(block) == size:
-                found = found.unionByName(_scan(rows, block, done, dims, k, size, schema))
-                block, done = [], done + size
-        if block:
-            found = found.unionByName(_scan(rows, block, done, dims, k, size, schema))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1))
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.greatest(low, F.least(high, "score")).cast("long").alias("score"))
-
-
-def _scan(rows: DataFrame, block: list, first: int, dims: int, k: int, size: int, schema: str) -> DataFrame:
-    queries = np.zeros((len(block), dims), np.int64)
-    for i, (_, v) in enumerate(block):
-        queries[i, : len(v)] = v
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), queries))
-    scored, all_pairs = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        best: list[Best] = [[] for _ in query_ids]
-        for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
-                lists = Block(_matrix(part.column("v"), dims), part.column("vec_id").to_numpy())
-                n = sum(threshold_scan(best[i], k, queries[i], int(query_ids[i]), lists) for i in range(len(queries)))
-                scored.add(n)
-                all_pairs.add(len(queries) * part.num_rows)
-        cells = [(first + i, int(query_ids[i]), vec, -s) for i, own in enumerate(best) for s, vec in own]
-        if cells:
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.decimal128(38, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], ["query", "query_id", "vec_id", "score"])
-
-    out = stored(rows.mapInArrow(scan, schema), "topk")
+    sc = vectors.sparkSession.sparkContext
+    numbered = integers(vectors, scale).withColumns({"query": F.when(F.coalesce(is_query, F.lit(False)), F.monotonically_increasing_id()), "deal": F.rand(7)})
+    rows = stored(numbered, "topk-vectors")
+    n, n_queries, dims = rows.agg(F.count("*"), F.count("query"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    dims = max(1, dims)
+    size = max(1, block_bytes // (8 * dims))
+    across = max(1, -(-n // size), min(n, 2 * sc.defaultParallelism))  # small tables are still dealt over the cores
+    down = max(1, -(-n_queries // size))
+    block = lambda blocks: F.floor(F.col("deal") * blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select(block(across).alias("across"), every(down).alias("down"), "vec_id", "v")
+    right = rows.where("query is not null").select(every(across).alias("across"), block(down).alias("down"), "query", F.col("vec_id").alias("query_id"), "v")
+    scored, all_pairs = sc.accumulator(0), sc.accumulator(0)
+
+    def cell(own: pa.Table, asked: pa.Table) -> pa.Table:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0)]
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        cells: list[tuple] = []
+        if own.num_rows and asked.num_rows:
+            lists = Block(_matrix(own.column("v").combine_chunks(), dims), own.column("vec_id").to_numpy())
+            queries = _matrix(asked.column("v").combine_chunks(), dims)
+            for i, (query, query_id) in enumerate(zip(asked.column("query").to_pylist(), asked.column("query_id").to_pylist(), strict=True)):
+                best: Best = []
+                scored.add(threshold_scan(best, k, queries[i], query_id, lists))
+                cells += [(query, query_id, vec, Decimal(-s >> LOW), Decimal(-s & ((1 << LOW) - 1))) for s, vec in best]
+            all_pairs.add(own.num_rows * asked.num_rows)
+        columns = zip(*cells, strict=True) if cells else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    found = stored(left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(cell, SCORED), "topk")
     logging.getLogger(__name__).info("%d of %d pairs were scored", scored.value, all_pairs.value)
-    return out
+    w = Window.partitionBy("query").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    most, least = (F.lit(x).cast("decimal(38,0)") for x in ((1 << 63) - 1, -(1 << 63)))
+    score = F.when(F.col("high") > 0, most).when(F.col("high") < -1, least).when(F.col("high") == 0, F.least("low", most)).otherwise(F.greatest(F.col("low") - F.lit(str(1 << LOW)).cast("decimal(38,0)"), least))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.cast("long").alias("score"))
 
 
 ORACLE_SQL = """
