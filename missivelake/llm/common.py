@@ -48,6 +48,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes that no column of df has one (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def carried(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about CHUNK_BYTES of text each (one row at least)."""
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -29,10 +29,10 @@ from missivelake.llm.common import chunks, stored, texts, words_of
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-FOUND, SPANS = "_found_items", "_found_spans"
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 
+FOUND, SPANS = "_found_items", "_found_spans"
 REPORT = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
 )
@@ -128,7 +128,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, block_words: int) ->
 def _judging(index: Broadcast) -> Callable:
     def judge(part: pa.RecordBatch) -> list[tuple[int, set[tuple[int, int]], set[str]]]:
         rows = []
-        for text, flat, before in zip(texts(part), part.column(SPANS).to_pylist(), part.column(FOUND).to_pylist(), strict=True):
+        for text, flat, before in zip(texts(part), part.columns[-1].to_pylist(), part.columns[-2].to_pylist(), strict=True):
             words = words_of(text)
             spans, found = _matches(words, *index.value)
             spans.update(zip(flat[::2], flat[1::2], strict=True))
@@ -184,8 +184,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, bl
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    state, judge = _joined(docs, items, window, block_words)
     names = docs.columns
+    # Columns go by their places, so that no name is in the way.
+    state, judge = _joined(docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]), items, window, block_words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

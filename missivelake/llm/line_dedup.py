@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missivelake.llm.common import stored
+from missivelake.llm.common import carried, stored, unused
 
 #: Least length of lines that are compared within one edit; shorter ones are compared for equality.
 NEAR_CHARS = 20
@@ -68,7 +68,7 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, near_chars: int) -> DataFrame:
-    """doc_id, text_key and the positions of the lines, blank ones aside, that stay."""
+    """doc_id, text_key and the positions of the lines, blank ones aside, that stay, in order."""
     size = F.char_length("line")
     occurrences = _lines(docs).where(size > 0)
     place = F.struct("doc_id", "text_key", "pos")
@@ -84,7 +84,7 @@ def kept_lines(docs: DataFrame, near_chars: int) -> DataFrame:
     if n:
         gone = _dominated(docs, distinct, near, n)
         distinct = distinct.join(_small(gone, gone.count()), ["h1", "h2"], "left_anti")
-    return distinct.select("first.*").groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("kept"))
+    return distinct.select("first.*").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
 def _chunked(line: Column) -> Column:
@@ -138,17 +138,18 @@ def _dominated(docs: DataFrame, distinct: DataFrame, near: DataFrame, n: int) ->
     return stored(texts.where(near).select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct(), "lines-gone")
 
 
-def _cleaned(docs: DataFrame, near_chars: int) -> DataFrame:
-    """docs with _left, the lines of the text that stay, in place; null for a null text."""
-    kept = kept_lines(docs, near_chars).withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "kept": "_kept"})
+def _cleaned(docs: DataFrame, near_chars: int, left: str) -> DataFrame:
+    """docs with a column of this name, the lines of the text that stay, in place; null for a null text."""
+    doc, key, kept = unused(docs, "_id", "_key", "_kept")
+    found = kept_lines(docs, near_chars).withColumnsRenamed({"doc_id": doc, "text_key": key, "kept": kept})
     text = F.col("text").cast("string")
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
-
-    def stays(line: Column, i: Column) -> Column:
-        blank = F.btrim(line, F.lit(BLANKS)) == ""
-        return blank | F.coalesce(F.array_contains("_kept", i), F.lit(False))
-
-    return joined.withColumn("_left", F.filter(F.split(text, "\n"), stays)).drop("_id", "_key", "_kept")
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
+    # Whether each line stays, as a list beside the lines: a run of those that go before each one that stays.
+    gap = lambda p, i: p - F.coalesce(F.get(F.col(kept), i - 1), F.lit(-1)) - 1
+    stays = F.flatten(F.transform(F.col(kept), lambda p, i: F.concat(F.array_repeat(F.lit(False), gap(p, i)), F.array(F.lit(True)))))
+    lines = F.arrays_zip(F.split(text, "\n").alias("line"), F.coalesce(stays, F.array().cast("array<boolean>")).alias("stays"))
+    fits = lambda x: (F.btrim(x["line"], F.lit(BLANKS)) == "") | F.coalesce(x["stays"], F.lit(False))
+    return joined.withColumn(left, F.transform(F.filter(lines, fits), lambda x: x["line"])).drop(doc, key, kept)
 
 
 def _line_count(text: Column) -> Column:
@@ -157,7 +158,7 @@ def _line_count(text: Column) -> Column:
 
 def report(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, for every row of docs."""
-    rows = _cleaned(docs.select("doc_id", F.col("text").cast("string").alias("text")), near_chars)
+    rows = _cleaned(docs.select("doc_id", F.col("text").cast("string").alias("text")), near_chars, "_left")
     n = _line_count(F.col("text"))
     left = F.when(F.col("_left").isNull(), 0).otherwise(F.size("_left")).cast("long")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_lines"), (n - left).alias("n_removed"), F.array_join("_left", "\n").alias("text"))
@@ -165,12 +166,13 @@ def report(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, *, near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with the text that is left and all other columns; documents of which repeated lines leave nothing are gone."""
-    rows = _cleaned(docs, near_chars).withColumns({"_n": _line_count(F.col("text").cast("string")), "text": F.array_join("_left", "\n")})
-    emptied = (F.size("_left") < F.col("_n")) & (F.btrim("text", F.lit(BLANKS + "\n")) == "")
+    left, n = unused(docs, "_left", "_n")
+    rows = _cleaned(docs, near_chars, left).withColumns({n: _line_count(F.col("text").cast("string")), "text": F.array_join(left, "\n")})
+    emptied = (F.size(left) < F.col(n)) & (F.btrim("text", F.lit(BLANKS + "\n")) == "")
     rows = rows.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*carried(docs))
 
 
 ORACLE_SQL = """

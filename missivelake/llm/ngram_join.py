@@ -14,7 +14,7 @@
 
 Defined results: texts without words (null, empty, marks only) have no grams, no links and are classes of their own;
 rows of equal doc_id and text are one document with that many copies; a class is named by its smallest doc_id and a
-class whose ids are all null by null.
+class whose ids are all null by null; other columns are carried by ``keep_one``, whatever their names, and ignored by ``join``.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missivelake.llm.common import chunks, stored, texts, words_of
+from missivelake.llm.common import chunks, stored, texts, unused, words_of
 from missivelake.llm.components import components
 
 N = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-MIN_BLOCK, MAX_BLOCK, BLOCKS = 64, 4096, 64
+#: A pair of blocks takes some 200 MB of a worker at most.
+MIN_BLOCK, MAX_BLOCK, BLOCKS = 64, 2048, 64
 #: Keys of sets to verify are broadcast up to this many (some 150 bytes each), and joined by a shuffle beyond it.
 BROADCAST_SETS = 200_000
 
@@ -259,11 +260,12 @@ def join(docs: DataFrame, **options: float) -> DataFrame:
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
     """The first document of every class (smallest doc_id, then text hash), with all columns; equal rows are one."""
     found = stored(classify(docs, **options), "ngram-kept")
-    gone = found.where(~F.col("class_key").eqNullSafe(F.struct("doc_id", "text_key"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    gone_id, gone_key = unused(docs, "_id", "_key")
+    gone = found.where(~F.col("class_key").eqNullSafe(F.struct("doc_id", "text_key"))).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
     key = F.xxhash64(F.col("text").cast("string"))
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (key == F.col(gone_key)), "left_anti")
     if found.where("rows > 1").limit(1).count():
-        kept = kept.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        kept = kept.withColumn(gone_key, key).dropDuplicates(["doc_id", gone_key]).drop(gone_key)
     return kept
 
 

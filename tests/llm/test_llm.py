@@ -40,7 +40,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", [n for n in registry.ORACLES])
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
