@@ -82,11 +82,9 @@ def phrase_tokens(body: Column, min_bytes: int = 3) -> Column:
 
 def phrases(tokens: Column, sizes: tuple[int, ...] = (2, 3), stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """N-grams of a token list that hold no stopword."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
-
     def grams(n: int) -> Column:
         places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        kept = F.filter(places, lambda i: ~F.arrays_overlap(F.slice(tokens, i, n), stop))
+        kept = F.filter(places, lambda i: ~F.exists(F.slice(tokens, i, n), lambda x: x.isin(*stopwords)))
         return F.transform(kept, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
     return F.concat(*[grams(n) for n in sizes])
@@ -94,14 +92,23 @@ def phrases(tokens: Column, sizes: tuple[int, ...] = (2, 3), stopwords: tuple[st
 
 def sentiment(body: Column, lexicon: dict[str, int] | None = None, negators: tuple[str, ...] = NEGATORS, window: int = 3) -> Column:
     """Sum of the valences of a text's words, each turned if a negator is among the window words before it."""
-    values = F.create_map(*[F.lit(x) for item in (lexicon or SENTIMENT).items() for x in item])
+    by_value: dict[int, list[str]] = {}
+    for word, value in (lexicon or SENTIMENT).items():
+        by_value.setdefault(value, []).append(word)
+
+    def valence(x: Column) -> Column:  # a set for each value, since a map is searched from its start
+        out = F.lit(0)
+        for value, known in by_value.items():
+            out = F.when(x.isin(*known), value).otherwise(out)
+        return out
+
     no = F.array(*[F.lit(w) for w in negators])
     bare = F.filter(F.transform(words(body), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}']", ""))), lambda x: x != "")
     # Each token travels with the ones before it, so that the list itself is built once.
     none = F.array().cast("array<string>")
 
     def step(acc: Column, x: Column) -> Column:
-        value = F.coalesce(F.try_element_at(values, x), F.lit(0))
+        value = valence(x)
         signed = F.when(F.arrays_overlap(acc["last"], no), -value).otherwise(value)
         last = F.slice(F.concat(F.array(x), acc["last"]), 1, window)
         return F.struct((acc["sum"] + signed).alias("sum"), last.alias("last"))
@@ -196,8 +203,7 @@ def _normal_form(form: str):
 
 
 def normal_form(body: Column, form: str = "NFC") -> Column:
-    """Unicode normal form. Spark has no built-in; plain ASCII texts are their own form, so that none of them is sent to
-    the Arrow function."""
+    """Unicode normal form. Spark has no built-in; plain ASCII texts are their own form and go to the Arrow function as nulls."""
     other = F.when(~body.rlike(r"^\p{ASCII}*$"), body)
     return F.coalesce(F.pandas_udf(_normal_form(form), "string")(other), body)
 

@@ -39,6 +39,17 @@ def contact_counts(messages: DataFrame) -> DataFrame:
     return counts.join(unique, "contact_id", "left").withColumns(zero)
 
 
+def word_sketches(messages: DataFrame, cfg: Config = DEFAULT, log_k: int = 13) -> DataFrame:
+    """Per contact, side and day a sketch of its distinct lower-cased words, of 2^log_k bytes at most (error about 1.04 / 2^(log_k / 2))."""
+    rows = messages.select("contact_id", "sender", local_day(F.col("timestamp_ms"), cfg).alias("day"), F.explode(T.words(F.lower("body"))).alias("word"))
+    return rows.groupBy("contact_id", "sender", "day").agg(F.hll_sketch_agg("word", log_k).alias("words"))
+
+
+def approximate_words(sketches: DataFrame, *keys: str) -> DataFrame:
+    """keys and the estimated number of distinct words of all their sketches, whichever days or batches these are of."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("words")).alias("unique_words"))
+
+
 def top_emojis(messages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The most used emoji of each contact and side, ties by the emoji's bytes."""
     counts = messages.select("contact_id", "sender", F.explode(T.emojis(F.col("body"))).alias("emoji")).groupBy("contact_id", "sender", "emoji").agg(F.count("*").alias("n"))

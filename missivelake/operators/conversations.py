@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from missivelake.config import DEFAULT, Config
-from missivelake.operators.messages import ME, THEM, exact_ranks
+from missivelake.operators.messages import ME, THEM
 
 
 def conversations(enriched: DataFrame) -> DataFrame:
-    """One row for each silence-bounded conversation."""
+    """One row for each silence-bounded conversation, with the sum of points if the messages have them."""
     order = F.struct("timestamp_ms", "rowid")
     count = lambda who: F.sum((F.col("sender") == who).cast("long"))
     rows = enriched.groupBy("contact_id", "conv_seq").agg(
@@ -21,6 +21,7 @@ def conversations(enriched: DataFrame) -> DataFrame:
         count(ME).alias("my_count"),
         count(THEM).alias("their_count"),
         F.count("*").alias("total_count"),
+        *([F.sum("points").alias("points")] if "points" in enriched.columns else []),
     )
     missed = (F.col("my_count") == 0) | (F.col("their_count") == 0)
     return rows.withColumns(
@@ -35,16 +36,26 @@ def conversations(enriched: DataFrame) -> DataFrame:
 def with_moments(convs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """convs with static and dynamic big-moment flags, the gap since the conversation before and its reconnect tier.
 
-    A window holds one contact's conversations. Silence of the timeout parts them, so that a contact has at most six a day
-    of four hours' timeout, however many messages it has.
+    Windows hold one contact's conversations, all in one shuffle. Silence of the timeout parts them, so that a contact has
+    at most six a day of four hours' timeout, however many messages it has: their number is bounded by time.
     """
+    contact = Window.partitionBy("contact_id")
+    gap = F.col("reconnect_gap_ms")
+    rows = convs.withColumn("reconnect_gap_ms", F.col("start_ms") - F.lag("end_ms").over(contact.orderBy("conv_seq")))
+    positive = F.when(gap > 0, gap)
+    ranks = {
+        "_by_count": F.row_number().over(contact.orderBy("total_count")),
+        "_n": F.count("*").over(contact),
+        "_by_gap": F.row_number().over(contact.orderBy(positive.asc_nulls_last())),
+        "_gaps": F.count(positive).over(contact),
+    }
     place = F.least(F.floor(F.col("_n") * cfg.big_moment_percentile / 100), F.col("_n") - 1) + 1
-    cut = exact_ranks(convs, ["contact_id"], "total_count", {"_at": place}).select("contact_id", F.greatest(F.col("_at"), F.lit(cfg.big_moment_floor)).alias("_cut"))
-    w = Window.partitionBy("contact_id").orderBy("conv_seq")
-    gaps = convs.withColumn("reconnect_gap_ms", F.col("start_ms") - F.lag("end_ms").over(w))
-    upper = exact_ranks(gaps.where("reconnect_gap_ms > 0"), ["contact_id"], "reconnect_gap_ms", {"_median": F.floor(F.col("_n") / 2) + 1})
+    cuts = {
+        "_cut": F.greatest(F.max(F.when(F.col("_by_count") == place, F.col("total_count"))).over(contact), F.lit(cfg.big_moment_floor)),
+        "_median": F.max(F.when(F.col("_by_gap") == F.floor(F.col("_gaps") / 2) + 1, positive)).over(contact),
+    }
+    joined = rows.withColumns(ranks).withColumns(cuts)
     t1, t2, t3 = cfg.reconnect_ms
-    gap = F.col("reconnect_gap_ms")
     tier = (
         F.when(gap.isNull(), 0)
         .when((gap >= t3) & (gap >= cfg.reconnect_median_factor * F.col("_median")), 4)
@@ -53,13 +64,12 @@ def with_moments(convs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .when(gap >= t1, 1)
         .otherwise(0)
     )
-    joined = gaps.join(cut, "contact_id").join(upper, "contact_id", "left")
     flags = {
         "is_big_moment_static": F.col("total_count") >= cfg.big_moment_static,
         "is_big_moment_dynamic": F.col("total_count") >= F.col("_cut"),
         "reconnect_tier": tier,
     }
-    return joined.withColumns(flags).drop("_cut", "_median")
+    return joined.withColumns(flags).drop(*ranks, *cuts)
 
 
 def _steps() -> list[F.Column]:
@@ -87,7 +97,7 @@ def flow_links(convs: DataFrame) -> DataFrame:
 def pair_metrics(convs: DataFrame) -> DataFrame:
     """Per contact: started, closed and missed by side, reconnects by tier, lengths, points and who contributes more.
 
-    convs need `points` (operators.points.conversation_points).
+    convs need `points`: conversations of messages that have them.
     """
     count = lambda cond, name: F.sum(cond.cast("long")).alias(name)
     kept = ~F.col("is_missed")

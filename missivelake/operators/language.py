@@ -23,16 +23,23 @@ def recurring_phrases(counts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return ranked.where(F.col("rank") <= cfg.recurring_top)
 
 
-def distinctive_phrases(messages: DataFrame, counts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def text_counts(messages: DataFrame) -> DataFrame:
+    """How many of each contact's messages have a text."""
+    return messages.where(F.col("body") != "").groupBy("contact_id").agg(F.count("*").alias("n"))
+
+
+def distinctive_phrases(counts: DataFrame, texts: DataFrame, all_counts: DataFrame, all_texts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Phrases that a contact uses more than all others: n * ln((N + 1) / (f + 1)).
 
     N and f count the other contacts' non-empty messages and uses of the phrase, exactly: totals less the contact's own.
+    counts and texts (see phrase_counts and text_counts) are those of the contacts that are asked for, all_counts and
+    all_texts those of all contacts, these included; both are additive, so they may come from earlier runs.
     """
-    own = messages.where(F.col("body") != "").groupBy("contact_id").agg(F.count("*").alias("_own"))
-    total = own.agg(F.sum("_own").alias("_all"))
-    background = own.join(F.broadcast(total), F.lit(True)).select("contact_id", F.greatest(F.col("_all") - F.col("_own"), F.lit(1)).alias("_messages"))
-    uses = counts.groupBy("phrase").agg(F.sum("n").alias("_uses"))
-    rows = counts.where(F.col("n") >= cfg.phrase_min_count).join(uses, "phrase").join(background, "contact_id")
+    total = all_texts.agg(F.sum("n").alias("_all"))
+    background = texts.join(F.broadcast(total), F.lit(True)).select("contact_id", F.greatest(F.col("_all") - F.col("n"), F.lit(1)).alias("_messages"))
+    often = counts.where(F.col("n") >= cfg.phrase_min_count)
+    uses = all_counts.groupBy("phrase").agg(F.sum("n").alias("_uses"))
+    rows = often.join(uses, "phrase").join(background, "contact_id")
     score = F.col("n") * F.log((F.col("_messages") + 1) / (F.col("_uses") - F.col("n") + F.lit(1.0)))
     w = Window.partitionBy("contact_id").orderBy(F.desc("score"), "phrase")
     ranked = rows.select("contact_id", "phrase", "n", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w))

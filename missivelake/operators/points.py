@@ -37,10 +37,6 @@ def _equals(value: str):
     return lambda k: k == value
 
 
-def conversation_points(points: DataFrame) -> DataFrame:
-    return points.groupBy("contact_id", "conv_seq").agg(F.sum("points").alias("points"))
-
-
 def daily_points(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     side = lambda who: F.sum(F.when(F.col("sender") == who, F.col("points")).otherwise(0.0))
     return points.groupBy("contact_id", local_day(F.col("timestamp_ms"), cfg).alias("day")).agg(side(ME).alias("my_points"), side(THEM).alias("their_points"))

@@ -33,6 +33,9 @@ def _mean_evenness(pairs: list[tuple[Column, Column]], least: int) -> Column:
     return F.when(n == 0, 50).otherwise(_whole(100 * total / n))
 
 
+# The bands, bounds and factors of the parts below, and the weights in Config.
+
+
 def responsiveness(mine: Column, theirs: Column) -> Column:
     n = mine.isNotNull().cast("int") + theirs.isNotNull().cast("int")
     avg = F.floor((F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))) / F.greatest(n, F.lit(1)))

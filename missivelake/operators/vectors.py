@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missivelake.operators.search import dot, l2_normalized, norm
@@ -25,14 +25,68 @@ def embed_backlog(messages: DataFrame, embeddings: DataFrame, model_id: str, sin
     return rows if limit is None else rows.orderBy("timestamp_ms", "id").limit(limit)
 
 
-def embed(messages: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model_id: str) -> DataFrame:
-    """message_id, model_id and vector of every message, by an embedder of lists of texts."""
+Embedder = Callable[[list[str]], list[list[float]]]
+_LOADED: dict[str, Embedder] = {}  # of this worker process
+
+
+def embed(messages: DataFrame, load: Callable[[], Embedder], model_id: str, batch_bytes: int = 1 << 20) -> DataFrame:
+    """message_id, model_id and vector of every message. A worker process loads the model once, and gives it texts of about
+    equal length, batch_bytes of them at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"message_id": batch["id"], "model_id": model_id, "vector": embedder(batch["body_searchable"].tolist())})
+        model = _LOADED.get(model_id) or _LOADED.setdefault(model_id, load())
+        ids: list[str] = []
+        texts: list[str] = []
+        size = 0
 
-    return messages.select("id", "body_searchable").mapInPandas(run, "message_id string, model_id string, vector array<float>")
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"message_id": ids, "model_id": model_id, "vector": model(texts)})
+
+        for batch in batches:
+            for i, text in zip(batch["id"], batch["body_searchable"], strict=True):
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+                if size >= batch_bytes:
+                    yield out()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield out()
+
+    return messages.select("id", "body_searchable").mapInPandas(run, EMBEDDED)
+
+
+EMBEDDED = "message_id string, model_id string, vector array<float>"
+
+
+def run_embeddings(
+    messages: DataFrame, folder: str, load: Callable[[], Embedder], model_id: str, *, since: int | None = None, until: int | None = None, limit: int | None = None, dry_run: bool = False, slice_bytes: int = 1 << 30
+) -> int:
+    """Embed the messages that the model has not embedded yet into folder (see embeddings_of); returns how many there were.
+
+    The backlog is cut into slices of about slice_bytes of text by a hash of the ids, and each is committed by itself, so a run
+    that is stopped loses a slice at most: the next one takes up what is missing. A dry run only counts.
+    """
+    spark = messages.sparkSession
+    backlog = embed_backlog(messages, embeddings_of(spark, folder), model_id, since, until, limit)
+    n, size = backlog.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body_searchable")), F.lit(0))).first()
+    if dry_run or not n:
+        return n
+    slices = max(1, -(-size // slice_bytes))
+    if limit is not None:  # which messages these are must not change while slices are written
+        backlog = messages.join(F.broadcast(spark.createDataFrame([(r.id,) for r in backlog.select("id").collect()], "id string")), "id", "left_semi")
+    for k in range(slices):
+        part = backlog.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
+        dealt = part.repartition(F.xxhash64("id")).sortWithinPartitions(F.octet_length("body_searchable"))
+        embed(dealt, load, model_id).write.mode("append").parquet(folder)
+    return n
+
+
+def embeddings_of(spark: SparkSession, folder: str) -> DataFrame:
+    """What run_embeddings has written to a folder; no rows if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.read.schema(EMBEDDED).parquet(folder)
 
 
 def hash_vector(text: Column, dims: int = 384) -> Column:

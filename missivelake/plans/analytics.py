@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,28 +11,38 @@ from pyspark.sql import functions as F
 
 from missivelake.config import DEFAULT, Config
 from missivelake.operators import activity, conversations, insights, language, messages, points, rating, responses
+from missivelake.sources.commits import Commits
 
-
-#: Contacts are dealt into so many folders of every table, by a hash; a refresh rewrites those of its contacts.
-FOLDERS = 64
+#: Contacts are dealt into folders of every table, by a hash: one for so many contacts, within these bounds. A refresh rewrites
+#: the folders of its contacts.
+CONTACTS_A_FOLDER, FEWEST, MOST = 200, 64, 10_000
 FOLDER = "_folder"
 
 
+@dataclass
+class Background:
+    """Additive counts of all contacts, planned when they are asked for: uses of each phrase (contact_id, phrase, n) and messages
+    with text (contact_id, n)."""
+
+    phrases: Callable[[], DataFrame]
+    texts: Callable[[], DataFrame]
+
+
 class Analysis:
     """Lazy tables over one set of contact messages; each is planned when it is first asked for.
 
-    background: the messages that a contact's phrases are held against, all contacts' ones; by default the same set.
+    background: what a contact's phrases are held against; by default the same set. See refresh.
     stale: for a refresh, the contacts (contact_id) whose rows it replaces.
     """
 
-    def __init__(self, contact_messages: DataFrame, contacts: DataFrame, cfg: Config = DEFAULT, background: DataFrame | None = None, stale: DataFrame | None = None):
+    def __init__(self, contact_messages: DataFrame, contacts: DataFrame, cfg: Config = DEFAULT, background: Background | None = None, stale: DataFrame | None = None):
         self.contact_messages, self.contacts, self.cfg = contact_messages, contacts, cfg
         self.background, self.stale = background, stale
 
     def materialised(self, folder: str) -> Analysis:
         """The same analysis over its messages with flags and points written to a folder, which all tables then share."""
         out = Analysis(self.contact_messages, self.contacts, self.cfg, self.background, self.stale)
-        out.points = out.enriched = _written(self.points, f"{folder}/messages")
+        out.points = out.enriched = out.contact_messages = _written(self.points, f"{folder}/messages")
         return out
 
     @cached_property
@@ -44,8 +55,7 @@ class Analysis:
 
     @cached_property
     def conversations(self) -> DataFrame:
-        convs = conversations.with_moments(conversations.conversations(self.enriched), self.cfg)
-        return convs.join(points.conversation_points(self.points), ["contact_id", "conv_seq"])
+        return conversations.with_moments(conversations.conversations(self.points), self.cfg)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -81,11 +91,17 @@ class Analysis:
     def insights(self) -> DataFrame:
         return insights.insights(self.counts, self.pairs, responses.wide(self.response_stats), self.cfg)
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return language.text_counts(self.contact_messages)
+
     def distinctive_phrases(self) -> DataFrame:
         if self.background is None:
-            return language.distinctive_phrases(self.contact_messages, self.phrases, self.cfg)
-        rows = language.distinctive_phrases(self.background, language.phrase_counts(self.background, self.cfg), self.cfg)
-        return rows.join(self.stale, "contact_id", "left_semi")
+            return language.distinctive_phrases(self.phrases, self.texts, self.phrases, self.texts, self.cfg)
+        # The other contacts' counts are as they were; those of the contacts of this run are taken anew.
+        others = lambda old, new: old.join(self.stale, "contact_id", "left_anti").unionByName(new)
+        uses, texts = others(self.background.phrases(), self.phrases), others(self.background.texts(), self.texts)
+        return language.distinctive_phrases(self.phrases, self.texts, uses, texts, self.cfg)
 
     def headline(self) -> DataFrame:
         """A contact's messages, words and conversations at a glance."""
@@ -111,6 +127,8 @@ class Analysis:
             "growth": lambda: points.growth(self.daily_points),
             "top_emojis": lambda: activity.top_emojis(m, cfg),
             "recurring_phrases": lambda: language.recurring_phrases(self.phrases, cfg),
+            "phrase_counts": lambda: self.phrases,
+            "text_counts": lambda: self.texts,
             "distinctive_phrases": self.distinctive_phrases,
             "sentiment_daily": lambda: language.sentiment_daily(m, cfg),
             "focus": lambda: language.focus(m, self.contacts),
@@ -120,7 +138,7 @@ class Analysis:
 
 
 #: Tables that others are made of, by the attribute that holds them.
-SHARED = {"conversations": "conversations", "contact_counts": "counts", "daily_activity": "daily", "response_stats": "response_stats", "pair_metrics": "pairs", "daily_points": "daily_points"}
+SHARED = {"conversations": "conversations", "contact_counts": "counts", "daily_activity": "daily", "response_stats": "response_stats", "pair_metrics": "pairs", "daily_points": "daily_points", "phrase_counts": "phrases", "text_counts": "texts"}
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -128,8 +146,17 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.withColumn(FOLDER, F.pmod(F.xxhash64("contact_id"), F.lit(FOLDERS)).cast("int"))
+def _dealt(df: DataFrame, folders: int) -> DataFrame:
+    return df.withColumn(FOLDER, F.pmod(F.xxhash64("contact_id"), F.lit(folders)).cast("int"))
+
+
+def _folders(analysis: Analysis, files: Commits) -> int:
+    """How many folders the stored tables have; a whole analysis settles it, by the number of contacts."""
+    if analysis.stale is None:
+        n = max(FEWEST, min(MOST, -(-analysis.contacts.count() // CONTACTS_A_FOLDER)))
+        files.mark(f"_folders/{len(files.names('_folders')) + 1:06d}-{n}")
+        return n
+    return int(max(files.names("_folders")).split("-")[1])
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -145,7 +172,7 @@ def persist(analysis: Analysis, folder: str, names: list[str] | None = None) ->
     that is stopped loses nothing and can be done again.
     """
     spark = analysis.contact_messages.sparkSession
-    work = f"{folder}/_work"
+    work, folders = f"{folder}/_work", _folders(analysis, Commits(spark, folder))
     shared = analysis.materialised(work)
     shared.replies = _written(shared.replies, f"{work}/replies")
     tables = shared.tables()
@@ -155,11 +182,11 @@ def persist(analysis: Analysis, folder: str, names: list[str] | None = None) ->
         if name in SHARED:
             setattr(shared, SHARED[name], rows)
         if analysis.stale is None:
-            _dealt(rows).write.mode("overwrite").partitionBy(FOLDER).parquet(target)
+            _dealt(rows, folders).write.mode("overwrite").partitionBy(FOLDER).parquet(target)
             continue
-        touched = _dealt(analysis.stale).select(FOLDER).distinct()
+        touched = _dealt(analysis.stale, folders).select(FOLDER).distinct()
         old = spark.read.parquet(target).join(F.broadcast(touched), FOLDER, "left_semi").join(analysis.stale, "contact_id", "left_anti")
-        merged = _written(old.unionByName(_dealt(rows)), f"{work}/{name}-merged")
+        merged = _written(old.unionByName(_dealt(rows, folders)), f"{work}/{name}-merged")
         emptied = touched.join(merged.select(FOLDER).distinct(), FOLDER, "left_anti")
         if emptied.limit(1).count():  # a folder without rows is not replaced by itself: write the whole table anew
             rest = spark.read.parquet(target).join(F.broadcast(touched), FOLDER, "left_anti")
@@ -172,7 +199,16 @@ def persist(analysis: Analysis, folder: str, names: list[str] | None = None) ->
     return contacts.select("contact_id").join(seen, "contact_id", "left").select("contact_id", F.coalesce("had_data", F.lit(False)).alias("had_data"))
 
 
-def refresh(contact_messages: DataFrame, contacts: DataFrame, status: DataFrame, cfg: Config = DEFAULT) -> Analysis:
-    """The analysis of the stale contacts only, against the background of all messages."""
+def refresh(contact_messages: DataFrame, contacts: DataFrame, status: DataFrame, cfg: Config = DEFAULT, folder: str | None = None) -> Analysis:
+    """The analysis of the stale contacts only, against the background of all.
+
+    With the folder of a persisted analysis, the other contacts' phrases and messages are taken from its stored counts,
+    so that none of their bodies is read; without one they are counted again.
+    """
     stale = status.where("is_stale = 1").select("contact_id").distinct()
-    return Analysis(contact_messages.join(stale, "contact_id", "left_semi"), contacts, cfg, contact_messages, stale)
+    spark = contact_messages.sparkSession
+    if folder is None:
+        background = Background(lambda: language.phrase_counts(contact_messages, cfg), lambda: language.text_counts(contact_messages))
+    else:
+        background = Background(lambda: read_table(spark, folder, "phrase_counts"), lambda: read_table(spark, folder, "text_counts"))
+    return Analysis(contact_messages.join(stale, "contact_id", "left_semi"), contacts, cfg, background, stale)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from missivelake.functions import lexicon
 from missivelake.functions import text as T
 from missivelake.operators import activity, archive, conversations, language, messages, points, responses, search, vectors
+from missivelake.operators.postings import Postings
 from missivelake.plans.analytics import Analysis
 from missivelake.sources import adapters as A
+from missivelake.sources.commits import shared_folder
+from missivelake.streaming.importing import Imported, import_backup
+from missivelake.streaming.merge import Archive
 
 AS_OF = "2024-02-15"
 KEYWORDS = "the and"
@@ -36,19 +41,31 @@ def _analysis(spark: SparkSession, d: str) -> Analysis:
     return Analysis(_dense(spark, d), A.contacts(spark, d))
 
 
+#: Tables that are made of several others; for these, messages with their flags and points are written once and read again.
+STORED = ("rating", "insights", "headline")
+
+
+def _table(analysis: Analysis, name: str) -> DataFrame:
+    if name in STORED:
+        analysis = analysis.materialised(f"{shared_folder(analysis.contact_messages.sparkSession)}/analysis-{uuid.uuid4().hex}")
+    return analysis.headline() if name == "headline" else rounded(analysis.tables()[name]())
+
+
 def _of(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: rounded(_analysis(spark, d).tables()[name]())
+    return lambda spark, d: _table(_analysis(spark, d), name)
 
 
 #: Tables that are also made with a contact for every user, as user_<name>.
-BY_USER = ("conversations", "contact_counts", "response_stats", "flow_links", "pair_metrics", "daily_points", "sentiment_daily", "rating")
+BY_USER = (
+    "conversations", "contact_counts", "response_stats", "flow_links", "pair_metrics", "daily_points", "sentiment_daily", "rating", "insights", "recurring_phrases", "distinctive_phrases", "top_emojis",
+)
 
 
 def _of_users(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = A.user_messages(_raw(spark, d))
         names = rows.select("contact_id", F.col("contact_id").alias("display_name")).distinct()
-        return rounded(Analysis(rows, names).tables()[name]())
+        return _table(Analysis(rows, names), name)
 
     return run
 
@@ -87,6 +104,44 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return search.keyword_search(A.table(spark, d, "documents"), KEYWORDS, "doc_id", limit=None)
 
 
+def stored_search(spark: SparkSession, d: str) -> DataFrame:
+    """keyword_search by an index that is built of the documents first."""
+    index = Postings(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    index.add(A.table(spark, d, "documents"), 0, "doc_id")
+    return index.search(KEYWORDS, None).withColumnRenamed("key", "doc_id")
+
+
+def _imported(spark: SparkSession, d: str) -> tuple[Archive, Imported]:
+    """An archive with a damaged backup that is written of the events, and what its import met."""
+    folder = f"{shared_folder(spark)}/import-{uuid.uuid4().hex}"
+    A.write_backup(_raw(spark, d), f"{folder}/backup")
+    archive = Archive(spark, f"{folder}/archive")
+    return archive, import_backup(spark, f"{folder}/backup", archive, 0)
+
+
+def import_summary(spark: SparkSession, d: str) -> DataFrame:
+    _, done = _imported(spark, d)
+    row = (done.seen, done.inserted, done.skipped, done.media - done.undecodable, done.broken, done.undecodable)
+    return spark.createDataFrame([row], "seen long, inserted long, skipped long, attachments long, errors long, undecodable long")
+
+
+def imported_messages(spark: SparkSession, d: str) -> DataFrame:
+    archive, _ = _imported(spark, d)
+    return archive.messages().select("message_id", "timestamp_ms", "address", "body", "message_type", "direction", "thread_id", "contact_name", F.array_join("mime_types", ",").alias("mimes"))
+
+
+def imported_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts made by the import, all of them stale until they are analysed."""
+    archive, _ = _imported(spark, d)
+    return archive.contacts().join(archive.stale(), "contact_id").select("contact_id", "address", "display_name")
+
+
+def talk_distinctive(spark: SparkSession, d: str) -> DataFrame:
+    m = A.talk_messages(spark, d)
+    counts, texts = language.phrase_counts(m), language.text_counts(m)
+    return rounded(language.distinctive_phrases(counts, texts, counts, texts))
+
+
 def exact_copies(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
     return docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
@@ -182,9 +237,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orphan_attachments": lambda s, d: archive.orphan_attachments(_files(s, d), _raw(s, d).where("rowid % 5 <> 0")).select("id", "message_id"),
     "unprocessed_media": lambda s, d: archive.unprocessed_media(_files(s, d), _files(s, d).where("mime_type = 'image/jpeg'").select(F.col("id").alias("attachment_id"))).select("id"),
     "quality_checks": lambda s, d: archive.quality_checks(_raw(s, d), _files(s, d), _keyed(s, d)),
-    "import_summary": lambda s, d: archive.import_summary(_raw(s, d), archive.dedupe_messages(_keyed(s, d)), _files(s, d), _raw(s, d).where("direction = 0")),
+    "import_summary": import_summary,
+    "imported_messages": imported_messages,
+    "imported_contacts": imported_contacts,
+    "stored_search": stored_search,
+    "talk_distinctive": talk_distinctive,
+    "talk_sentiment": lambda s, d: rounded(language.sentiment_overall(A.talk_messages(s, d))),
     "exact_copies": exact_copies,
-    "headline": lambda s, d: _analysis(s, d).headline(),
+    "headline": _of("headline"),
     "message_mimes": message_mimes,
     "semantic_messages": lambda s, d: search.semantic_search(_raw(s, d), _vectors(s, d), "m1", _query(s, d), 20),
     "frame_topk": frame_topk,
@@ -209,13 +269,19 @@ def _list(values) -> str:
     return "[" + ", ".join(_lit(v) for v in values) + "]"
 
 
+def _valence(tokens: str) -> str:
+    """Sum of the valences of a list of words, turned after a negator."""
+    lex = "MAP {" + ", ".join(f"{_lit(k)}: {v}" for k, v in lexicon.SENTIMENT.items()) + "}"
+    neg = _list(lexicon.NEGATORS)
+    return f"coalesce(list_sum(list_transform(range(1, len({tokens}) + 1), lambda i: coalesce(({lex})[{tokens}[i]], 0) * CASE WHEN i > 1 AND list_has_any({tokens}[greatest(1, i - 3):i - 1], {neg}) THEN -1 ELSE 1 END)), 0)::DOUBLE"
+
+
 def _prefix(contact: str = "'c' || n") -> str:
     mime = " ".join(f"WHEN event_id % 11 = {k} THEN {_list(v)}" for k, v in A.MIMES.items())
     e = T.emoji_class()
     cluster = rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[{e}]\x{{FE0F}}?[\x{{1F3FB}}-\x{{1F3FF}}]?(?:\x{{200D}}[{e}]\x{{FE0F}}?)*"
     match = lambda pattern: f"regexp_matches(body, {_lit(pattern)})"
-    lex = "MAP {" + ", ".join(f"{_lit(k)}: {v}" for k, v in lexicon.SENTIMENT.items()) + "}"
-    stop, neg = _list(lexicon.STOPWORDS), _list(lexicon.NEGATORS)
+    stop = _list(lexicon.STOPWORDS)
     grams = lambda n: f"list_transform(list_filter(range(1, len(t) - {n} + 2), lambda i: NOT list_has_any(t[i:i + {n - 1}], {stop})), lambda i: array_to_string(t[i:i + {n - 1}], ' '))"
     cat = lambda x: f"CASE WHEN {x} = 'image/gif' THEN 'gif' WHEN {x} = 'application/ogg' THEN 'audio' WHEN {x} LIKE 'image/%' THEN 'image' WHEN {x} LIKE 'video/%' THEN 'video' WHEN {x} LIKE 'audio/%' THEN 'audio' ELSE 'other' END"
     return f"""
@@ -292,7 +358,7 @@ tok2 AS (SELECT src, contact_id, list_filter(list_transform(list_filter(regexp_s
 phr AS (SELECT src, contact_id, phrase, count(*) AS n FROM (SELECT src, contact_id, unnest(list_concat({grams(2)}, {grams(3)})) AS phrase FROM tok2) GROUP BY 1, 2, 3),
 bare AS (SELECT contact_id, sender, day, list_filter(list_transform(w, lambda x: lower(regexp_replace(x, '[^\\pL'']', '', 'g'))), lambda x: x <> '') AS t FROM feat),
 sent AS (
-  SELECT contact_id, sender, day, coalesce(list_sum(list_transform(range(1, len(t) + 1), lambda i: coalesce(({lex})[t[i]], 0) * CASE WHEN i > 1 AND list_has_any(t[greatest(1, i - 3):i - 1], {neg}) THEN -1 ELSE 1 END)), 0)::DOUBLE AS s FROM bare)
+  SELECT contact_id, sender, day, {_valence('t')} AS s FROM bare)
 """
 
 
@@ -479,7 +545,6 @@ found AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM tf, st WHERE
         "orphan_attachments": "SELECT id, message_id FROM file WHERE rowid % 5 = 0",
         "unprocessed_media": "SELECT id FROM file WHERE (mime_type LIKE 'image/%' OR mime_type LIKE 'video/%') AND (mime_type <> 'image/jpeg' OR rowid % 2 <> 0)",
         "quality_checks": ", q AS (SELECT count(*) AS n, count(DISTINCT id) AS i, count(DISTINCT key) AS k, count(*) FILTER (timestamp_ms > 0) AS d, count(*) FILTER (address <> '') AS a FROM keyed) SELECT *, expected = actual AS ok FROM (SELECT 'unique_ids' AS \"check\", n AS expected, i AS actual FROM q UNION ALL SELECT 'unique_keys', n, k FROM q UNION ALL SELECT 'dated', n, d FROM q UNION ALL SELECT 'addressed', n, a FROM q UNION ALL SELECT 'orphan_attachments', 0, 0)",
-        "import_summary": "SELECT (SELECT count(*) FROM raw) AS seen, (SELECT count(*) FROM kept) AS inserted, (SELECT count(*) FROM raw) - (SELECT count(*) FROM kept) AS skipped, (SELECT count(*) FROM file) AS attachments, (SELECT count(*) FROM raw WHERE direction = 0) AS errors",
         "headline": "SELECT contact_id, display_name, my_messages, their_messages, my_words, their_words, n_conversations, started_by_me, started_by_them FROM person JOIN counts USING (contact_id) JOIN pair USING (contact_id)",
         "message_mimes": "SELECT id, array_to_string(list_sort(mime), ',') AS mimes FROM raw",
         "semantic_messages": f"{near} SELECT id, timestamp_ms, address, body, score FROM best JOIN raw ON id = 'e' || vec_id",
@@ -491,12 +556,21 @@ found AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM tf, st WHERE
         "summary_checks": ", s AS (SELECT (SELECT count(*) FROM kept) AS k, (SELECT count(*) FROM file) AS f, (SELECT count(*) FROM (SELECT DISTINCT message_id, hash FROM file)) AS d) SELECT 'messages' AS \"check\", k AS expected, k AS actual, true AS ok FROM s UNION ALL SELECT 'attachments', f, d, f = d FROM s",
         "purged_vectors": ", pv AS (SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 3) SELECT 'e' || vec_id AS message_id, 'm1' AS model_id FROM pv",
     }
+    imp = f""", fine AS (SELECT *, coalesce(message_id, id) AS k FROM raw WHERE rowid % {A.BROKEN} <> 0),
+digits AS (SELECT *, regexp_replace(address, '[^0-9+]', '', 'g') AS bare FROM fine),
+once AS (SELECT *, CASE WHEN regexp_full_match(bare, '\\+1[0-9]{{10}}') THEN bare[3:] ELSE bare END AS number FROM digits QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp_ms, rowid) = 1)"""
+    on_p["import_summary"] = f"{imp} SELECT (SELECT count(*) FROM fine) AS seen, (SELECT count(*) FROM once) AS inserted, (SELECT count(*) FROM fine) - (SELECT count(*) FROM once) AS skipped, (SELECT sum(len(mime)) FROM fine WHERE rowid % {A.UNDECODABLE} <> 0)::BIGINT AS attachments, (SELECT count(*) FROM raw WHERE rowid % {A.BROKEN} = 0) AS errors, (SELECT sum(len(mime)) FROM fine WHERE rowid % {A.UNDECODABLE} = 0)::BIGINT AS undecodable"
+    on_p["imported_messages"] = f"{imp} SELECT message_id, timestamp_ms, number AS address, body, (CASE WHEN len(mime) > 0 THEN 2 ELSE 1 END)::INT AS message_type, direction, thread_id, contact_name, CASE WHEN rowid % {A.UNDECODABLE} = 0 THEN '' ELSE array_to_string(mime, ',') END AS mimes FROM once"
+    on_p["imported_contacts"] = f"{imp} SELECT sha256(number) AS contact_id, number AS address, coalesce(arg_max(contact_name, (timestamp_ms, rowid)) FILTER (contact_name IS NOT NULL), number) AS display_name FROM once GROUP BY number"
+    on_p["talk_distinctive"] = on_p["distinctive_phrases"].replace("src = 'e'", "src = 't'").replace("FROM msg", "FROM talk")
+    on_p["talk_sentiment"] = f", tb AS (SELECT contact_id, sender, list_filter(list_transform(regexp_split_to_array(body, '\\s+'), lambda x: lower(regexp_replace(x, '[^\\pL'']', '', 'g'))), lambda x: x <> '') AS t FROM talk), ts AS (SELECT contact_id, sender, {_valence('t')} AS s FROM tb) SELECT contact_id, round(avg(s) FILTER (sender = 1), 6) AS my_sentiment, round(avg(s) FILTER (sender = 2), 6) AS their_sentiment, round(avg(s), 6) AS sentiment FROM ts GROUP BY 1"
     number = "(('0x' || substr(sha256(body || '#' || (k // 8)), (k % 8) * 8 + 1, 8))::BIGINT / 4294967295.0 * 2 - 1)"
     on_p["hash_embed"] = f", hv AS (SELECT id, list_transform(range(0, 16), lambda k: {number}) AS v FROM raw) SELECT id, array_to_string(list_transform(v, lambda x: printf('%.5f', round(x / sqrt(list_dot_product(v, v)), 5))), ',') AS vector FROM hv"
     stats = "list_transform(embedding, lambda x: x::DOUBLE)"
     by_user = _prefix("'u' || user_id")
     return {name: p + sql for name, sql in on_p.items()} | {f"user_{name}": by_user + on_p[name] for name in BY_USER} | {
         "keyword_search": _keyword_sql(),
+        "stored_search": _keyword_sql(),
         "probe_labels": _probe_sql() + "SELECT * FROM probe",
         "attachment_labels": _probe_sql() + "SELECT vec_id // 4 AS attachment_id, arg_max(label, score) AS label, max(score) AS score FROM probe GROUP BY 1",
         "vector_topk": f"WITH v AS (SELECT vec_id, {stats} AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) AS score FROM v, q ORDER BY score DESC, vec_id LIMIT 20",

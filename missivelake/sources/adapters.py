@@ -94,6 +94,25 @@ def event_attachments(messages: DataFrame) -> DataFrame:
     )
 
 
+#: Of the backup that is written from events, every so-manieth element is broken, and every so-manieth's payloads are no base64.
+BROKEN, UNDECODABLE = 97, 13
+
+
+def write_backup(messages: DataFrame, folder: str) -> None:
+    """The events' messages as an XML backup with damage: short messages, and multimedia ones where there are attachments."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    given = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), c, F.lit('"')), F.lit(""))
+    common = [given("address", escaped("address")), given("date", F.col("timestamp_ms").cast("string")), given("body", escaped("body")), given("msg_id", escaped("message_id")), given("thread_id", escaped("thread_id")), given("contact_name", escaped("contact_name"))]
+    direction = F.col("direction").cast("string")
+    content = lambda m: F.concat(m, F.lit("/"), (F.col("rowid") % 500).cast("string")).cast("binary")
+    data = lambda m: F.when(F.col("rowid") % UNDECODABLE == 0, "@@@").otherwise(F.base64(content(m)))
+    parts = F.array_join(F.transform("mime_types", lambda m: F.concat(F.lit('<part ct="'), m, F.lit('" data="'), data(m), F.lit('"/>'))), "")
+    fine = F.col("rowid") % BROKEN != 0
+    sms = F.concat(F.lit("<sms"), given("type", direction), *common, F.when(fine, " />").otherwise(""))
+    mms = F.concat(F.lit("<mms"), given("msg_box", direction), *common, F.when(fine, ">").otherwise(""), F.lit("<parts>"), parts, F.lit("</parts></mms>"))
+    messages.select(F.when(F.size("mime_types") > 0, mms).otherwise(sms).alias("value")).write.mode("overwrite").text(folder)
+
+
 def talk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contact_messages of the conversations table: users are me, assistants are them, ten conversations a contact."""
     c = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))

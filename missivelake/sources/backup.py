@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from missivelake.functions import text as T
@@ -72,7 +72,7 @@ def attribute(names: tuple[str, ...], nulls: tuple[str, ...] = ()) -> Column:
     return _referenced(bare(F.try_element_at(F.filter("attributes", fits), F.lit(-1))["value"]), _REFERENCES)
 
 
-def _messages(rows: DataFrame, kind: int, parts: Column, text: Column | None = None) -> DataFrame:
+def _messages(rows: DataFrame, kind: int | Column, parts: Column, text: Column | None = None) -> DataFrame:
     """Messages out of `attributes`. Ids and the direction are the last given ones; text stands in for an empty body."""
     given = rows.select(
         attribute(("msg_id", "m_id", "id"), ("", "null")).alias("message_id"),
@@ -84,6 +84,7 @@ def _messages(rows: DataFrame, kind: int, parts: Column, text: Column | None = N
         F.regexp_replace(attribute(("contact_name",)), r"^\s+|\s+$", "").alias("_name"),
         parts.alias("parts"),
         (F.lit(None).cast("string") if text is None else text).alias("_text"),
+        (F.lit(kind) if isinstance(kind, int) else kind).alias("message_type"),
     )
     body = F.coalesce(F.nullif("_body", F.lit("")), "_text", F.lit(""))
     return given.select(
@@ -92,7 +93,7 @@ def _messages(rows: DataFrame, kind: int, parts: Column, text: Column | None = N
         T.normalize_address(F.coalesce("_address", F.lit(""))).alias("address"),
         T.normal_form(body, "NFC").alias("body"),
         T.normal_form(body, "NFKD").alias("body_searchable"),
-        F.lit(kind).alias("message_type"),
+        "message_type",
         T.direction_code(F.coalesce("_box", F.lit(""))).alias("direction"),
         "thread_id",
         F.when(~F.col("_name").isin("", "null", "(Unknown)"), F.col("_name")).alias("contact_name"),
@@ -105,6 +106,16 @@ def read_sms(spark: SparkSession, path: str) -> DataFrame:
     return read_sms_tolerant(spark, path)[0]
 
 
+def _sms_elements(spark: SparkSession, path: str) -> DataFrame:
+    """value, attributes and whole of every short message's element."""
+    lines = spark.read.option("lineSep", "<").text(path).where(F.col("value").rlike(r"\Asms[\s/>]"))
+    return scanned(lines, F.substr("value", F.lit(4)), "value")
+
+
+def _sms(elements: DataFrame) -> DataFrame:
+    return _messages(elements.where("whole"), 1, F.array().cast(f"array<{PART}>"))
+
+
 def read_sms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Short messages and the elements that can't be read: a broken element doesn't take the rest of the file with it.
 
@@ -112,9 +123,8 @@ def read_sms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     its start tag, whether that ends itself or an end tag follows. Of attributes that are repeated the last counts; elements
     with an unclosed quote, an unknown reference or no end of the tag are broken.
     """
-    lines = spark.read.option("lineSep", "<").text(path).where(F.col("value").rlike(r"\Asms[\s/>]"))
-    rows = scanned(lines, F.substr("value", F.lit(4)), "value")
-    return _messages(rows.where("whole"), 1, F.array().cast(f"array<{PART}>")), rows.where(~F.col("whole")).select(F.substring("value", 1, 200).alias("element"))
+    rows = _sms_elements(spark, path)
+    return _sms(rows), rows.where(~F.col("whole")).select(F.substring("value", 1, 200).alias("element"))
 
 
 def read_mms(spark: SparkSession, path: str) -> DataFrame:
@@ -122,13 +132,8 @@ def read_mms(spark: SparkSession, path: str) -> DataFrame:
     return read_mms_tolerant(spark, path)[0]
 
 
-def read_mms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Multimedia messages and the elements that can't be read.
-
-    The text part is the body where the message has none; parts may stand in <parts> or alone. The file is split at
-    the end tag, so files of any size are read in parallel; what lies before the last start tag of a record is an element
-    without children, or a broken one.
-    """
+def _mms_elements(spark: SparkSession, path: str) -> DataFrame:
+    """piece, attributes, parts (null if they can't be read) and whole of every multimedia message's element."""
     records = spark.read.option("lineSep", "</mms>").text(path).where(F.contains("value", F.lit("<mms")))
     pieces = F.filter(F.split("value", r"(?=<mms[\s/>])"), lambda x: x.rlike(r"^<mms[\s/>]"))
     rows = records.select(F.posexplode(pieces).alias("k", "piece"), F.size(pieces).alias("n"))
@@ -137,11 +142,61 @@ def read_mms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = F.from_xml(_referenced(element, _PAIRS), f"{PARTS}, _corrupt string", options)
     rows = scanned(rows.select("piece", read.alias("m")), F.substr("piece", F.lit(5)), "piece", "m")
-    broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | ~F.col("whole")
     none = F.array().cast(f"array<{PART}>")
-    fine = rows.where(~broken).select("attributes", F.concat(F.coalesce(F.col("m.parts.part"), none), F.coalesce(F.col("m.part"), none)).alias("_parts"))
+    parts = F.concat(F.coalesce(F.col("m.parts.part"), none), F.coalesce(F.col("m.part"), none))
+    whole = F.col("m").isNotNull() & F.col("m._corrupt").isNull() & F.col("whole")
+    return rows.select("piece", "attributes", whole.alias("whole"), F.when(whole, parts).alias("_parts"))
+
+
+def _mms(elements: DataFrame) -> DataFrame:
     text = F.get(F.filter("_parts", lambda p: (p["_ct"] == "text/plain") & p["_text"].isNotNull()), 0)["_text"]
-    return _messages(fine, 2, F.col("_parts"), text), rows.where(broken).select(F.substring("piece", 1, 200).alias("element"))
+    return _messages(elements.where("whole"), 2, F.col("_parts"), text)
+
+
+def read_mms_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Multimedia messages and the elements that can't be read.
+
+    The text part is the body where the message has none; parts may stand in <parts> or alone. The file is split at
+    the end tag, so files of any size are read in parallel; what lies before the last start tag of a record is an element
+    without children, or a broken one.
+    """
+    rows = _mms_elements(spark, path)
+    return _mms(rows), rows.where(~F.col("whole")).select(F.substring("piece", 1, 200).alias("element"))
+
+
+def _is_media(p: Column) -> Column:
+    return ~F.coalesce(p["_ct"], F.lit("")).isin("application/smil", "text/plain") & (F.coalesce(F.trim(p["_data"]), F.lit("")) != "")
+
+
+def _content(p: Column) -> Column:
+    return F.try_to_binary(F.regexp_replace(p["_data"], r"\s", ""), F.lit("base64"))
+
+
+def read_backup(spark: SparkSession, path: str, seen: Observation) -> DataFrame:
+    """All messages of a backup with `key` (see archive.with_dedupe_key), `rowid` and `mime_types`, each file's elements in one
+    pass of each kind. Once an action has run, seen has what that pass met: messages, broken elements, media parts, and
+    those of them whose payload can't be decoded.
+    """
+    empty = F.array().cast(f"array<{PART}>")
+    both = _sms_elements(spark, path).select("attributes", "whole", empty.alias("_parts"), F.lit(1).alias("_kind"))
+    both = both.unionByName(_mms_elements(spark, path).select("attributes", "whole", F.coalesce("_parts", empty).alias("_parts"), F.lit(2).alias("_kind")))
+    media = F.filter("_parts", _is_media)
+    digests = F.transform(media, lambda p: F.struct(p["_ct"].alias("type"), F.sha2(_content(p), 256).alias("hash")))
+    # Digests are made once: what follows goes by these columns.
+    both = both.select("attributes", "whole", "_parts", "_kind", F.inline(F.array(F.struct(digests.alias("_media")))))
+    fine = F.filter("_media", lambda x: x["hash"].isNotNull())
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    both = both.observe(
+        seen, count(F.col("whole")).alias("messages"), count(~F.col("whole")).alias("broken"), count(F.size("_media")).alias("media"), count(F.size("_media") - F.size(fine)).alias("undecodable")
+    )
+    text = F.when(F.col("_kind") == 2, F.get(F.filter("_parts", lambda p: (p["_ct"] == "text/plain") & p["_text"].isNotNull()), 0)["_text"])
+    hashes = F.array_sort(F.transform(fine, lambda x: x["hash"]))
+    types = F.transform(fine, lambda x: F.coalesce(x["type"], F.lit("application/octet-stream")))
+    rows = _messages(both.where("whole"), F.col("_kind"), F.struct(types.alias("types"), hashes.alias("hashes")), text)
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parts = [*map(given, ("address", "timestamp_ms", "body", "thread_id")), F.size("parts.hashes").cast("string"), F.array_join("parts.hashes", ",")]
+    key = F.coalesce("message_id", F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256))
+    return rows.select(key.alias("key"), F.monotonically_increasing_id().alias("rowid"), *[c for c in rows.columns if c != "parts"], F.col("parts.types").alias("mime_types"))
 
 
 def attachments(messages: DataFrame, key: str = "key", files: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from missivelake.functions import lexicon
 from missivelake.functions import text as T
 
 
@@ -29,11 +32,20 @@ def test_sentiment(spark):
     assert values(spark, rows, T.sentiment) == [3.0, -2.0, -2.0, 2.0, 0.0, 0.0, -3.0]
 
 
+def test_words_of_every_valence_and_negator(spark):
+    assert len(lexicon.SENTIMENT) == 116 and Counter(lexicon.SENTIMENT.values()) == {3: 13, 2: 28, 1: 16, -1: 11, -2: 30, -3: 18}
+    rows = ["thanks", "whatever", "yeah right", "grief", "hardly happy", "nowhere good", "kind", "Not sad, glad"]
+    assert values(spark, rows, T.sentiment) == [2.0, -1.0, 2.0, -3.0, 2.0, -2.0, 0.0, 0.0]
+    assert values(spark, ["up up", "no up"], lambda x: T.sentiment(x, {"up": 5}, ("no",))) == [10.0, -5.0]
+    assert len(lexicon.STOPWORDS) == 197
+
+
 def test_phrases(spark):
     tokens = lambda x: T.phrase_tokens(x)
     assert one(spark, "Pizza, at 123 the Movie-night", tokens) == ["pizza", "the", "movienight"]
-    assert one(spark, "pizza movie night", lambda x: T.phrases(T.phrase_tokens(x))) == ["pizza movie", "movie night", "pizza movie night"]
-    assert one(spark, "pizza the night", lambda x: T.phrases(T.phrase_tokens(x))) == []
+    assert one(spark, "pizza movie snack", lambda x: T.phrases(T.phrase_tokens(x))) == ["pizza movie", "movie snack", "pizza movie snack"]
+    assert one(spark, "pizza movie night", lambda x: T.phrases(T.phrase_tokens(x))) == ["pizza movie"]
+    assert one(spark, "pizza the snack", lambda x: T.phrases(T.phrase_tokens(x))) == []
 
 
 def test_addresses(spark):
