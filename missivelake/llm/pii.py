@@ -250,7 +250,7 @@ def _is(kind: str):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts, digest and places of the spans of every document."""
+    """Counts, digest and places of the spans of every document, and the number of all its spans."""
     found = find(docs)
     base = F.concat(*[_named(k, k) for k in BASE])
     extra = [_named(F.filter("extra", _is(k)), k) for k in EXTRA]
@@ -259,4 +259,5 @@ def report(docs: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(base, *extra), ",").alias("spans"),
+        (reduce(lambda a, b: a + b, [F.size(k) for k in BASE]) + F.size("extra")).cast("long").alias("n_spans"),
     )

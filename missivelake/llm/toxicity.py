@@ -5,17 +5,16 @@ A text is scored by a logistic model over the words it holds and over word begin
 at MIN_CHI2 or more. A word counts once, in any length of text. A beginning counts by how densely its distinct words
 stand in the text, at most once, since in long texts a few such words come by chance.
 
-Identity terms come from a table (IDENTITY, rows of interchangeable names) and from the labelled texts themselves: a
-word is taken for one if its texts are toxic more often than others (TERM_CHI2) though half of them or more are not;
-this is how neutral names of groups that abuse is aimed at show up. Its counterpart is a word that is about as frequent
-and says nothing about the label. Identity terms are always among the model's words.
+Identity terms are the rows of interchangeable names in ``identity`` (by default IDENTITY), which are always among the model's
+words. They are given, not learnt: what a corpus itself says of a word is how its texts are labelled, and a word that leans
+to toxic texts may be a group's name or a mild insult.
 
 In training, every labelled text that names an identity term has a counterfactual twin: in each of its sentences the
 terms are swapped for their counterparts. The loss holds, besides the log loss, ``penalty`` times the squared change of
 the score between twins, taken before the logistic function so that it counts alike for low and high scores; so naming
 a group does not by itself raise a score.
 
-The model is fitted on at most ``max_train`` labelled documents (smallest id hash), a parameter. Defined results: a null
+The model is fitted on at most ``max_train`` labelled documents (smallest hashes of ids, then of texts), a parameter. Defined results: a null
 or empty text scores as a text without chosen words; texts are scored whole, whatever their length; repeated rows score
 alike and are each returned; other columns are ignored, whatever their names; labels that are null or belong to no
 document are ignored; with labels of fewer than two kinds every score is 0.
@@ -24,7 +23,6 @@ document are ignored; with labels of fewer than two kinds every score is 0.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +36,7 @@ from missivelake.llm.common import chunks, fold, stored, texts, words_of
 from missivelake.llm.quality import sample
 
 MAX_TRAIN = 8000
-MIN_CHI2, TERM_CHI2 = 25.0, 10.83
+MIN_CHI2 = 25.0
 PENALTY = 0.25
 #: Lengths in bytes of word beginnings, how many distinct words make one count, and the words of text for each of them
 #: up to which it counts in full.
@@ -179,20 +177,14 @@ def vocabulary(labelled: DataFrame, identity: tuple[tuple[str, ...], ...]) -> tu
     counts = cells.groupBy("word").agg(F.sum(value).cast("double").alias("n"), F.sum(value * F.col("y")).cast("double").alias("a"))
     counts = stored(counts.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2), "toxicity-counts")
     chosen = {r.word.encode("latin-1") for r in counts.where(F.col("chi2") >= MIN_CHI2).select("word").collect()}
-    whole = counts.where(~F.col("word").startswith("<"))
-    named = whole.where((F.col("chi2") >= TERM_CHI2) & (b >= a) & (a * (n - pos) > b * pos)).select("word", "n").collect()
-    plain = sorted((r.n, r.word) for r in whole.where(F.col("chi2") < 1).groupBy("n").agg(F.min("word").alias("word")).collect())
     terms = swaps(identity)
-    for r in sorted(named):
-        if plain:
-            at = bisect_left(plain, (r.n, ""))
-            near = min(plain[max(0, at - 1) : at + 1], key=lambda x: (abs(x[0] - r.n), x))
-            terms.setdefault(r.word.encode("latin-1"), near[1].encode("latin-1"))
     return chosen | terms.keys(), terms
 
 
 def train(docs: DataFrame, labels: DataFrame, *, identity: tuple[tuple[str, ...], ...] = IDENTITY, max_train: int = MAX_TRAIN, penalty: float = PENALTY) -> WordModel | None:
     labelled = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_train), "toxicity")
+    if labelled.count() > max_train:  # ids with several rows
+        labelled = stored(labelled.orderBy(F.xxhash64("text"), "y").limit(max_train), "toxicity")
     found = vocabulary(labelled, identity)
     if found is None:
         return None

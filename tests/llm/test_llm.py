@@ -202,25 +202,42 @@ def test_naming_a_group_is_not_toxic():
     assert fair.scores(toxic)[0] > 0.5
 
 
-def test_penalty_lowers_what_neutral_mentions_do(spark):
-    """On whole tables: words that toxic texts name more often than others, but most of whose texts are clean."""
-    d = "/root/testdata/sf0.01"
-    frame, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    labelled = toxicity.sample(frame, labels, "toxic", F.lit(True), 100_000)
-    _, terms = toxicity.vocabulary(labelled, toxicity.IDENTITY)
-    found = terms.keys() - toxicity.swaps(toxicity.IDENTITY).keys()
-    assert found
-    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
-    texts = [(r.text or "").encode() for r in frame.collect() if r.doc_id in clean]
-    pairs = [(x, b" ".join(other)) for x in texts if (other := toxicity.twin(x, terms))]
-    assert len(pairs) >= 3
-    raised = {}
+def test_penalty_lowers_false_positives_of_neutral_mentions(spark):
+    """A planted table: abuse names two groups often, clean texts name others of their rows; held-out clean texts name those two."""
+    rng = random.Random(9)
+    frame, labels, mentions = [], [], set()
+    for i in range(3000):
+        held, toxic = zlib.crc32(str(i).encode()) % 5 == 0, i % 4 == 0
+        words = [f"w{rng.randint(0, 60)}" for _ in range(12)]
+        if toxic and rng.random() < 0.7:
+            words.insert(rng.randint(0, 12), rng.choice(["idiot", "scum", "vermin"]))
+        if rng.random() < (0.7 if toxic else 0.5 if held else 0.04):
+            words.insert(rng.randint(0, 12), rng.choice(["Muslims", "women"]))
+            if held and not toxic:
+                mentions.add(i)
+        elif not toxic and rng.random() < 0.5:
+            words.insert(rng.randint(0, 12), rng.choice(["Christians", "men"]))
+        frame.append((i, " ".join(words) + "."))
+        labels.append((i, None, int(toxic)))
+    frame, labels = docs(spark, frame), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    wrong, caught = {}, {}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
     for penalty in (0.0, toxicity.PENALTY):
         model = toxicity.train(frame, labels, penalty=penalty)
-        own, swapped = model.scores([x for x, _ in pairs]), model.scores([x for _, x in pairs])
-        assert own != swapped
-        raised[penalty] = sum(abs(a - b) for a, b in zip(own, swapped, strict=True)) / len(pairs)
-    assert raised[toxicity.PENALTY] < 0.8 * raised[0.0]
+        rows = toxicity.score_documents(frame, model).where("held_out").collect()
+        wrong[penalty] = sum(r.predicted for r in rows if r.doc_id in mentions)
+        caught[penalty] = sum(r.predicted for r in rows if truth[r.doc_id] == 1)
+    assert len(mentions) > 150 and wrong[0.0] > 0.9 * len(mentions) and wrong[toxicity.PENALTY] < 0.1 * wrong[0.0]
+    assert caught[toxicity.PENALTY] > 0.6 * sum(truth[r.doc_id] for r in rows)
+
+
+def test_training_rows_are_bounded_by_the_parameter(spark, monkeypatch):
+    """Also where one doc_id has many rows."""
+    frame = docs(spark, [(1, f"text {i % 9}") for i in range(500)] + [(2, "other")])
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "vocabulary", lambda labelled, identity: seen.append(labelled.count()))
+    assert toxicity.train(frame, labels, max_train=60) is None and seen == [60]
 
 
 def test_fitted_models_on_odd_tables(spark):
