@@ -14,7 +14,9 @@ from missivelake.operators import activity, archive, conversations, language, me
 from missivelake.operators.postings import Postings
 from missivelake.plans.analytics import Analysis
 from missivelake.sources import adapters as A
+from missivelake.sources import backup, media_sink
 from missivelake.sources.commits import shared_folder
+from missivelake.streaming import sessions
 from missivelake.streaming.importing import Imported, import_backup
 from missivelake.streaming.merge import Archive
 
@@ -22,6 +24,7 @@ AS_OF = "2024-02-15"
 KEYWORDS = "the and"
 SINCE = 1_705_000_000_000
 LATE = 1_706_658_000_000
+DELAY_MS = 3_600_000
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -136,6 +139,46 @@ def imported_contacts(spark: SparkSession, d: str) -> DataFrame:
     return archive.contacts().join(archive.stale(), "contact_id").select("contact_id", "address", "display_name")
 
 
+def live_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations that a stream of the events has put out by its end: those over by the watermark."""
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    stream = messages.contact_messages(A.event_stream(spark, d), A.contact_addresses(spark, d))
+    rows = sessions.live_conversations(stream, f"{DELAY_MS} milliseconds")
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(sessions.OUT).parquet(f"{folder}/rows")
+
+
+def merged_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of an archive that three batches were merged into, one of them twice."""
+    keyed = _keyed(spark, d)
+    archive = Archive(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}")
+    most = keyed.agg(F.max("rowid")).first()[0] or 0
+    for k in (0, 1, 1, 2):
+        archive.merge(keyed.where(F.floor(F.col("rowid") * 3 / (most + 1)) == k), k)
+    return archive.messages().select("key", "id", "timestamp_ms")
+
+
+def media_files(spark: SparkSession, d: str) -> DataFrame:
+    """Attachments of a backup as files, by their paths and lengths; none is missing, and none is there that isn't listed."""
+    folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    A.write_backup(_raw(spark, d).where(F.size("mime_types") > 0), f"{folder}/backup")
+    parts = backup.attachments(backup.read_mms(spark, f"{folder}/backup"), "timestamp_ms")
+    media_sink.write_media(parts, f"{folder}/files")
+    files = media_sink.media_files(spark, f"{folder}/files")
+    problems = backup.media_audit(parts, files)
+    return files.join(problems.select("path", "problem"), "path", "full_outer")
+
+
+def embedded_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of texts' lengths and numbers of spaces, by an embedding run in two parts."""
+    folder = f"{shared_folder(spark)}/embedded-{uuid.uuid4().hex}"
+    load = lambda: lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+    vectors.run_embeddings(_raw(spark, d), folder, load, "lengths", until=SINCE)
+    vectors.run_embeddings(_raw(spark, d), folder, load, "lengths")
+    return vectors.embeddings_of(spark, folder).select("message_id", F.col("vector")[0].cast("int").alias("length"), F.col("vector")[1].cast("int").alias("spaces"))
+
+
 def talk_distinctive(spark: SparkSession, d: str) -> DataFrame:
     m = A.talk_messages(spark, d)
     counts, texts = language.phrase_counts(m), language.text_counts(m)
@@ -241,6 +284,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "imported_messages": imported_messages,
     "imported_contacts": imported_contacts,
     "stored_search": stored_search,
+    "live_conversations": live_conversations,
+    "merged_messages": merged_messages,
+    "media_files": media_files,
+    "embedded_messages": embedded_messages,
     "talk_distinctive": talk_distinctive,
     "talk_sentiment": lambda s, d: rounded(language.sentiment_overall(A.talk_messages(s, d))),
     "exact_copies": exact_copies,
@@ -562,6 +609,11 @@ once AS (SELECT *, CASE WHEN regexp_full_match(bare, '\\+1[0-9]{{10}}') THEN bar
     on_p["import_summary"] = f"{imp} SELECT (SELECT count(*) FROM fine) AS seen, (SELECT count(*) FROM once) AS inserted, (SELECT count(*) FROM fine) - (SELECT count(*) FROM once) AS skipped, (SELECT sum(len(mime)) FROM fine WHERE rowid % {A.UNDECODABLE} <> 0)::BIGINT AS attachments, (SELECT count(*) FROM raw WHERE rowid % {A.BROKEN} = 0) AS errors, (SELECT sum(len(mime)) FROM fine WHERE rowid % {A.UNDECODABLE} = 0)::BIGINT AS undecodable"
     on_p["imported_messages"] = f"{imp} SELECT message_id, timestamp_ms, number AS address, body, (CASE WHEN len(mime) > 0 THEN 2 ELSE 1 END)::INT AS message_type, direction, thread_id, contact_name, CASE WHEN rowid % {A.UNDECODABLE} = 0 THEN '' ELSE array_to_string(mime, ',') END AS mimes FROM once"
     on_p["imported_contacts"] = f"{imp} SELECT sha256(number) AS contact_id, number AS address, coalesce(arg_max(contact_name, (timestamp_ms, rowid)) FILTER (contact_name IS NOT NULL), number) AS display_name FROM once GROUP BY number"
+    on_p["live_conversations"] = f", over AS (SELECT max(timestamp_ms) - {DELAY_MS} AS watermark FROM msg) SELECT contact_id, start_ms, end_ms, started_by, final_reply_by, my_count, their_count, total_count FROM conv0, over WHERE end_ms + 14400000 < watermark"
+    on_p["merged_messages"] = "SELECT key, id, timestamp_ms FROM kept"
+    extension = " ".join(f"WHEN '{m}' THEN '{x}'" for m, x in backup.EXTENSIONS.items())
+    on_p["media_files"] = f"SELECT DISTINCT hash[:2] || '/' || hash || CASE mime_type {extension} END AS path, strlen(mime_type || '/' || (rowid % 500)) AS length, NULL::VARCHAR AS problem FROM file WHERE rowid % {A.BROKEN} <> 0 AND rowid % {A.UNDECODABLE} <> 0"
+    on_p["embedded_messages"] = "SELECT id AS message_id, length(body)::INT AS length, (length(body) - length(replace(body, ' ', '')))::INT AS spaces FROM raw WHERE body <> ''"
     on_p["talk_distinctive"] = on_p["distinctive_phrases"].replace("src = 'e'", "src = 't'").replace("FROM msg", "FROM talk")
     on_p["talk_sentiment"] = f", tb AS (SELECT contact_id, sender, list_filter(list_transform(regexp_split_to_array(body, '\\s+'), lambda x: lower(regexp_replace(x, '[^\\pL'']', '', 'g'))), lambda x: x <> '') AS t FROM talk), ts AS (SELECT contact_id, sender, {_valence('t')} AS s FROM tb) SELECT contact_id, round(avg(s) FILTER (sender = 1), 6) AS my_sentiment, round(avg(s) FILTER (sender = 2), 6) AS their_sentiment, round(avg(s), 6) AS sentiment FROM ts GROUP BY 1"
     number = "(('0x' || substr(sha256(body || '#' || (k // 8)), (k % 8) * 8 + 1, 8))::BIGINT / 4294967295.0 * 2 - 1)"

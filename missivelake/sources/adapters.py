@@ -35,7 +35,17 @@ def _pick(values: tuple[str, ...], index) -> F.Column:
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message for each event: users fold into ten contacts; every third contact is written to more than it writes."""
-    e = table(spark, sf_dir, "events")
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_messages as a stream of the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return messages_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))  # a pattern may name one file
+
+
+def messages_of(e: DataFrame) -> DataFrame:
+    """A message for each row of events."""
     n = F.col("user_id") % CONTACTS
     kind = F.col("event_type")
     direction = F.when(kind.isin("purchase", "signup"), 2).when(kind == "error", 0).when((kind == "click") & (n % 3 == 0), 2).otherwise(1)

@@ -12,17 +12,17 @@ from missivelake.config import DEFAULT, Config
 from missivelake.operators.messages import ME
 
 
-def deduplicated(messages: DataFrame, delay: str | None = None) -> DataFrame:
-    """The first message of each key of a stream; with a delay, keys are forgotten once the watermark has passed them."""
-    if delay is None:
-        return messages.dropDuplicates(["key"])
+def deduplicated(messages: DataFrame, delay: str) -> DataFrame:
+    """The first message of each key of a stream; keys are forgotten once the watermark has passed them by the delay, so that
+    the state is bounded. What must be new against all that ever came is merged into an archive (see merge.Archive)."""
     return messages.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
 def live_sessions(messages: DataFrame, delay: str = "1 hour", cfg: Config = DEFAULT) -> DataFrame:
     """Conversations of a stream of contact messages: one row once the watermark has passed a conversation's end.
 
-    Windows that touch are merged, so a gap of exactly the timeout stays in the conversation as in the batch job.
+    Windows that touch are merged, so a gap of exactly the timeout stays in the conversation as in the batch job. See
+    sessions.live_conversations for who started and ended one.
     Messages later than the delay are dropped here and repaired by the batch job over stale contacts.
     """
     gap = f"{cfg.conversation_timeout_ms} milliseconds"

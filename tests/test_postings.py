@@ -8,7 +8,8 @@ from missivelake.operators import postings, search
 from missivelake.operators.postings import Postings
 
 DOC = "doc_id long, text string, address string"
-QUERIES = ["a", "b-a", "a-a-a", "Ähre c", "a-b-a c", "a zz", " ", "555"]
+QUERIES = ["b-a", "a-a-a", "Ähre c", "a-b-a 555", "a zz", " "]
+FEW = ["a-b c", "Ähre"]
 
 
 def documents(spark, n, seed=1, start=0):
@@ -19,8 +20,8 @@ def documents(spark, n, seed=1, start=0):
     return spark.createDataFrame([*rows, (start + n, None, None), (start + n + 1, "", "a"), (start + n + 2, "a " * 3000, "c")], DOC)
 
 
-def same(index, docs, columns, limits=(None, 5, 1)):
-    for q in QUERIES:
+def same(index, docs, columns, limits=(None, 5), queries=QUERIES):
+    for q in queries:
         for limit in limits:
             want = [tuple(r) for r in search.keyword_search(docs, q, "doc_id", columns, limit).collect()]
             assert [tuple(r) for r in index.search(q, limit).collect()] == want, (q, limit)
@@ -32,7 +33,7 @@ def test_stored_search_equals_the_scan(spark, tmp_path, columns):
     index = Postings(spark, str(tmp_path / "i"), buckets=4)
     assert index.search("a").count() == 0
     index.add(docs, 0, "doc_id", columns, block=40)
-    same(index, docs, columns, (None, 5))
+    same(index, docs, columns, (None,) if columns == "text" else (5,))
 
 
 def test_early_stop_leaves_blocks_closed_and_changes_nothing(spark, tmp_path, monkeypatch):
@@ -56,12 +57,12 @@ def test_appending_and_compacting_equal_rebuilding(spark, tmp_path):
     for k, part in enumerate(parts):
         index.add(part, k, "doc_id", block=16)
         index.add(part, k, "doc_id", block=16)  # a batch that is there already
-    same(index, docs, "text", (4,))
+    same(index, docs, "text", (4,), FEW)
     index.compact()
     assert index.files.generation() == 1
-    same(Postings(spark, str(tmp_path / "i"), buckets=4), docs, "text", (None,))
+    same(Postings(spark, str(tmp_path / "i"), buckets=4), docs, "text", (None,), FEW)
     index.add(documents(spark, 10, 9, 9000), 3, "doc_id")
-    same(index, docs.unionByName(documents(spark, 10, 9, 9000)), "text", (4,))
+    same(index, docs.unionByName(documents(spark, 10, 9, 9000)), "text", (4,), FEW)
 
 
 def test_a_batch_that_died_is_not_seen_and_is_written_anew(spark, tmp_path, monkeypatch):
@@ -74,9 +75,9 @@ def test_a_batch_that_died_is_not_seen_and_is_written_anew(spark, tmp_path, monk
             index.add(more, 1, "doc_id")
     text = lambda df: df.selectExpr("cast(doc_id as string) as doc_id", "text", "address")
     again = Postings(spark, str(tmp_path / "i"), "string", buckets=4)
-    same(again, text(docs), "text", (4,))
+    same(again, text(docs), "text", (4,), FEW)
     again.add(more, 1, "doc_id")
-    same(again, text(docs.unionByName(more)), "text", (4,))
+    same(again, text(docs.unionByName(more)), "text", (4,), FEW)
 
 
 def test_the_plan_opens_the_query_s_buckets_only(spark, tmp_path):

@@ -15,7 +15,7 @@ def rows(spark, data):
 def test_stream_deduplication_equals_batch(spark, tmp_path):
     data = rows(spark, [("a", 0, 1, "k1"), ("a", 1, 2, "k2"), ("a", 2, 1, "k1"), ("b", 3, 1, "k3")])
     data.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = incremental.deduplicated(incremental.read_folder_stream(spark, str(tmp_path / "in"), SCHEMA, 1))
+    stream = incremental.deduplicated(incremental.read_folder_stream(spark, str(tmp_path / "in"), SCHEMA, 1), "1 hour")
     seen = []
     query = incremental.import_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda df, i: seen.append(i))
     query.awaitTermination(120)
