@@ -45,6 +45,11 @@ def confidence(sample: Column, cfg: Config = DEFAULT) -> Column:
     return F.when(sample < low, None).when(sample < medium, 0).when(sample < high, 1).otherwise(2)
 
 
+def _places(x: Column, n: int) -> Column:
+    """x with n decimals, rounded as the double that it is, halves to even; format_string rounds its shortest digits, so 1.005 goes up."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * n))
+
+
 def _word(words: tuple[str, ...], tier: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), tier)
 
@@ -61,8 +66,8 @@ def _compare(name: str, cfg: Config) -> Column:
     tier, more = count_tier(mine, theirs, cfg), mine > theirs
     text = F.concat(F.when(more, "You").otherwise("They"), F.lit(f" {verb} "), _word(MORE, tier), F.lit(" than "), F.when(more, "they do").otherwise("you do"))
     counts = F.concat(mine.cast("string"), F.lit(" vs "), theirs.cast("string"))
-    growth = F.round((high - low) / F.greatest(low, F.lit(1)) * 100).cast("long").cast("string")
-    ratio = F.format_string("%.2f", (high / F.greatest(low, F.lit(1))).cast("double"))
+    growth = F.round((high - low) * 100 / F.greatest(low, F.lit(1))).cast("long").cast("string")
+    ratio = _places(high / F.greatest(low, F.lit(1)), 2)
     detail = F.when(low == 0, F.concat(counts, F.lit(" (entirely one-sided)"))).otherwise(F.concat(ratio, F.lit("× as often ("), counts, F.lit(", +"), growth, F.lit("%)")))
     return _insight(name, F.lit(True), F.when(more, 0).otherwise(1), confidence(mine + theirs, cfg), tier, text, detail)
 
@@ -75,7 +80,7 @@ def _speed(name: str, measure: str, sample: Column, tail: Column | None, label:
     tier = _tier(ratio, cfg)
     end = tail if tail is not None else F.concat(F.lit(" than "), F.when(faster, "they do").otherwise("you do"))
     text = F.concat(F.when(faster, "You").otherwise("They"), F.lit(" respond "), _word(FASTER, tier), end)
-    detail = F.concat(F.format_string("%.2f", ratio), F.lit(f"× faster ({label} "), duration_label(mine), F.lit(" vs "), duration_label(theirs), F.lit(")"))
+    detail = F.concat(_places(ratio, 2), F.lit(f"× faster ({label} "), duration_label(mine), F.lit(" vs "), duration_label(theirs), F.lit(")"))
     return _insight(name, F.coalesce(there, F.lit(False)), F.when(faster, 0).otherwise(1), confidence(sample, cfg), tier, text, detail)
 
 
@@ -89,7 +94,7 @@ def _rarely(cfg: Config) -> Column:
     n = F.col("n_conversations")
     back = sum((F.col(f"reconnects_{k}") for k in (1, 2, 3, 4)), F.lit(0))
     share = back / F.greatest(n, F.lit(1))
-    detail = F.concat(back.cast("string"), F.when(back == 1, " reconnect").otherwise(" reconnects"), F.lit(" out of "), n.cast("string"), F.lit(" conversations ("), F.format_string("%.1f", share * 100), F.lit("%)"))
+    detail = F.concat(back.cast("string"), F.when(back == 1, " reconnect").otherwise(" reconnects"), F.lit(" out of "), n.cast("string"), F.lit(" conversations ("), _places(back * 100 / F.greatest(n, F.lit(1)), 1), F.lit("%)"))
     return _insight("rarely_reconnect", share < 0.05, F.lit(2), confidence(n, cfg), F.lit(2), F.lit("You rarely reconnect after long silences"), detail)
 
 

@@ -118,3 +118,16 @@ def test_consistency_counts_silent_weeks(spark):
     steady = spark.createDataFrame([("c", f"2024-01-{d:02d}", 1, 1) for d in range(1, 32)], "contact_id string, day string, my_messages long, their_messages long")
     assert rating.consistency(daily).first().consistency < 60
     assert rating.consistency(steady).first().consistency == 100
+
+
+def test_ratios_of_insights_are_rounded_as_sql_rounds_them(spark):
+    pairs = [(66, 16), (74, 16), (82, 16), (201, 200), (203, 200), (207, 200), (1001, 1000), (314, 200), (1257, 800), (3, 2), (10**9 + 5, 8)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", insights._places(F.col("a") / F.col("b"), 2).alias("x"), insights._places(F.col("b") * 100 / F.col("a"), 1).alias("y"))
+    assert [(r.x, r.y) for r in df.orderBy("a", "b").collect()] == [(f"{a / b:.2f}", f"{b * 100 / a:.1f}") for a, b in sorted(pairs)]
+    none = [F.lit(0).cast("long").alias(f"{s}_{c}") for s in ("my", "their") for c in ("laugh", "apology", "encouragement", "question")]
+    counts = spark.createDataFrame([("u", 66, 16), ("v", 257, 200)], "contact_id string, my_messages long, their_messages long").select("*", *none)
+    pairs = counts.select("contact_id", *[F.lit(n).cast("long").alias(c) for c, n in (("started_by_me", 1), ("started_by_them", 1), ("closed_by_me", 0), ("closed_by_them", 0), ("missed_by_me", 0), ("missed_by_them", 0), ("n_conversations", 2), ("reconnects_1", 0), ("reconnects_2", 0), ("reconnects_3", 0), ("reconnects_4", 0))])
+    replies = counts.select("contact_id", *[F.lit(None).cast("long").alias(f"{s}_median{m}_ms") for s in ("my", "their") for m in ("", "_first")])
+    said = {r.contact_id: r.detail for r in insights.insights(counts, pairs, replies).where("id = 'messages_volume'").collect()}
+    # 57 / 200 * 100 is 28.499999999999996, 57 * 100 / 200 is 28.5
+    assert said == {"u": "4.12× as often (66 vs 16, +313%)", "v": "1.28× as often (257 vs 200, +29%)"}
