@@ -603,9 +603,13 @@ found AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM tf, st WHERE
         "summary_checks": ", s AS (SELECT (SELECT count(*) FROM kept) AS k, (SELECT count(*) FROM file) AS f, (SELECT count(*) FROM (SELECT DISTINCT message_id, hash FROM file)) AS d) SELECT 'messages' AS \"check\", k AS expected, k AS actual, true AS ok FROM s UNION ALL SELECT 'attachments', f, d, f = d FROM s",
         "purged_vectors": ", pv AS (SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 3) SELECT 'e' || vec_id AS message_id, 'm1' AS model_id FROM pv",
     }
-    imp = f""", fine AS (SELECT *, coalesce(message_id, id) AS k FROM raw WHERE rowid % {A.BROKEN} <> 0),
+    # A message without an id is known by what it holds, as in archive.with_dedupe_key; a backup has no numbers of rows.
+    holds = f"CASE WHEN rowid % {A.UNDECODABLE} = 0 THEN '' ELSE array_to_string(list_transform(list_sort(mime), lambda x: x || '/' || (rowid % 500)), ',') END"
+    imp = f""", fine AS (SELECT * FROM raw WHERE rowid % {A.BROKEN} <> 0),
 digits AS (SELECT *, regexp_replace(address, '[^0-9+]', '', 'g') AS bare FROM fine),
-once AS (SELECT *, CASE WHEN regexp_full_match(bare, '\\+1[0-9]{{10}}') THEN bare[3:] ELSE bare END AS number FROM digits QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp_ms, rowid) = 1)"""
+numbered AS (SELECT *, CASE WHEN regexp_full_match(bare, '\\+1[0-9]{{10}}') THEN bare[3:] ELSE bare END AS number FROM digits),
+known AS (SELECT *, coalesce(message_id, concat_ws(chr(31), number, timestamp_ms::VARCHAR, body, thread_id, {holds})) AS k FROM numbered),
+once AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp_ms, rowid) = 1)"""
     on_p["import_summary"] = f"{imp} SELECT (SELECT count(*) FROM fine) AS seen, (SELECT count(*) FROM once) AS inserted, (SELECT count(*) FROM fine) - (SELECT count(*) FROM once) AS skipped, (SELECT sum(len(mime)) FROM fine WHERE rowid % {A.UNDECODABLE} <> 0)::BIGINT AS attachments, (SELECT count(*) FROM raw WHERE rowid % {A.BROKEN} = 0) AS errors, (SELECT sum(len(mime)) FROM fine WHERE rowid % {A.UNDECODABLE} = 0)::BIGINT AS undecodable"
     on_p["imported_messages"] = f"{imp} SELECT message_id, timestamp_ms, number AS address, body, (CASE WHEN len(mime) > 0 THEN 2 ELSE 1 END)::INT AS message_type, direction, thread_id, contact_name, CASE WHEN rowid % {A.UNDECODABLE} = 0 THEN '' ELSE array_to_string(mime, ',') END AS mimes FROM once"
     on_p["imported_contacts"] = f"{imp} SELECT sha256(number) AS contact_id, number AS address, coalesce(arg_max(contact_name, (timestamp_ms, rowid)) FILTER (contact_name IS NOT NULL), number) AS display_name FROM once GROUP BY number"

@@ -109,7 +109,8 @@ BROKEN, UNDECODABLE = 97, 13
 
 
 def write_backup(messages: DataFrame, folder: str) -> None:
-    """The events' messages as an XML backup with damage: short messages, and multimedia ones where there are attachments."""
+    """The events' messages as an XML backup with damage, in the events' order: short messages, and multimedia ones where there are
+    attachments."""
     escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     given = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), c, F.lit('"')), F.lit(""))
     common = [given("address", escaped("address")), given("date", F.col("timestamp_ms").cast("string")), given("body", escaped("body")), given("msg_id", escaped("message_id")), given("thread_id", escaped("thread_id")), given("contact_name", escaped("contact_name"))]
@@ -120,7 +121,7 @@ def write_backup(messages: DataFrame, folder: str) -> None:
     fine = F.col("rowid") % BROKEN != 0
     sms = F.concat(F.lit("<sms"), given("type", direction), *common, F.when(fine, " />").otherwise(""))
     mms = F.concat(F.lit("<mms"), given("msg_box", direction), *common, F.when(fine, ">").otherwise(""), F.lit("<parts>"), parts, F.lit("</parts></mms>"))
-    messages.select(F.when(F.size("mime_types") > 0, mms).otherwise(sms).alias("value")).write.mode("overwrite").text(folder)
+    messages.orderBy("rowid").select(F.when(F.size("mime_types") > 0, mms).otherwise(sms).alias("value")).write.mode("overwrite").text(folder)
 
 
 def talk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missivelake.functions import text as T
@@ -137,15 +139,88 @@ def _mms_elements(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", "</mms>").text(path).where(F.contains("value", F.lit("<mms")))
     pieces = F.filter(F.split("value", r"(?=<mms[\s/>])"), lambda x: x.rlike(r"^<mms[\s/>]"))
     rows = records.select(F.posexplode(pieces).alias("k", "piece"), F.size(pieces).alias("n"))
+    return _with_parts(rows.select("piece", (F.col("k") == F.col("n") - 1).alias("ended"), F.lit(2).alias("kind")))
+
+
+def _with_parts(rows: DataFrame, *kept: str) -> DataFrame:
+    """piece, kind, attributes, parts (null if they can't be read) and whole of elements: start tags of short messages (kind 1),
+    multimedia messages (2) from their start tag on; ended: whether an end tag follows."""
+    mms = F.col("kind") == 2
     alone = F.regexp_extract("piece", r"^<mms(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*/>", 0)
-    element = F.when(alone != "", alone).when(F.col("k") == F.col("n") - 1, F.concat("piece", F.lit("</mms>")))
+    element = F.when(mms, F.when(alone != "", alone).when(F.col("ended"), F.concat("piece", F.lit("</mms>"))))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = F.from_xml(_referenced(element, _PAIRS), f"{PARTS}, _corrupt string", options)
-    rows = scanned(rows.select("piece", read.alias("m")), F.substr("piece", F.lit(5)), "piece", "m")
+    kept = ("piece", "kind", *kept)
+    rows = scanned(rows.select(*kept, read.alias("m")), F.substr("piece", F.lit(5)), *kept, "m")
     none = F.array().cast(f"array<{PART}>")
     parts = F.concat(F.coalesce(F.col("m.parts.part"), none), F.coalesce(F.col("m.part"), none))
-    whole = F.col("m").isNotNull() & F.col("m._corrupt").isNull() & F.col("whole")
-    return rows.select("piece", "attributes", whole.alias("whole"), F.when(whole, parts).alias("_parts"))
+    whole = F.col("whole") & (~mms | (F.col("m").isNotNull() & F.col("m._corrupt").isNull()))
+    return rows.select(*kept, "attributes", whole.alias("whole"), F.when(whole & mms, parts).alias("_parts"))
+
+
+#: Bytes of a file that one row of a plan of reads stands for, and bytes that are read at once.
+RANGE, STEP = 16 << 20, 1 << 20
+#: Bits of a message's number that are its byte in its file; those above are the file's place among the names.
+FILE_BITS = 40
+_COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
+_STARTS, _SMS_END, _MMS_END = re.compile(rb"<[sm]ms[\s/>]"), re.compile(rb"<"), re.compile(rb"</mms>|<mms[\s/>]")
+
+
+def elements_from(file, start: int, end: int) -> Iterator[tuple[int, int, bytes, bool]]:
+    """Place, kind, bytes and whether an end tag follows, of each element that starts in these bytes of an open file.
+
+    A short message ends at the next '<'; a multimedia one at its end tag (or the file's end), or at the next one's start.
+    """
+    data, base, pos = b"", start, 0
+    while base + pos < end:
+        found = _STARTS.search(data, pos)
+        if found is None:
+            more = file.read(STEP)
+            if not more:
+                return
+            keep = max(pos, len(data) - 4)  # a start may stand across what was read
+            data, base, pos = data[keep:] + more, base + keep, 0
+            continue
+        first = found.start()
+        if base + first >= end:
+            return
+        mark, look = _MMS_END if data[first + 1 :].startswith(b"m") else _SMS_END, first + 1
+        while (stop := mark.search(data, look)) is None and (more := file.read(max(STEP, len(data)))):
+            look = max(first + 1, len(data) - 5)
+            data += more
+        yield base + first, 2 if mark is _MMS_END else 1, data[first : stop.start() if stop else len(data)], stop is None or stop[0] == b"</mms>"
+        pos = first + 1
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("piece", pa.string()), ("ended", pa.bool_()), ("kind", pa.int32()), ("rowid", pa.int64())])
+    for batch in batches:
+        for path, number, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "number", "start", "end")), strict=True):
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(place) if place.endswith(_COMPRESSED) else store.open_input_file(place) as file:
+                if start:
+                    file.seek(start)
+                rows, size = [], 0
+                for at, kind, piece, ended in elements_from(file, start, end):
+                    rows.append((piece.decode("utf-8", "replace"), ended, kind, (number << FILE_BITS) + at))
+                    size += len(piece)
+                    if size >= STEP or len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def backup_elements(spark: SparkSession, path: str) -> DataFrame:
+    """piece, ended and kind (see _with_parts) of every message's element, and rowid, its place in the backup: files by their
+    paths, then bytes. It is the same however the files are split among tasks; each range of a file is read once."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    numbered = files.select("path", "length", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("number"))  # names only
+    whole = reduce(lambda a, b: a | b, [F.endswith("path", F.lit(x)) for x in _COMPRESSED])
+    starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE).cast("long")))
+    ranges = numbered.select("path", "number", F.explode(starts).alias("start"), whole.alias("_whole"))
+    ranges = ranges.select("path", "number", "start", F.when(F.col("_whole"), F.lit(1 << FILE_BITS)).otherwise(F.col("start") + RANGE).alias("end"))
+    return ranges.repartition(max(1, min(ranges.count(), 10_000))).mapInArrow(_read_ranges, "piece string, ended boolean, kind int, rowid long")
 
 
 def _mms(elements: DataFrame) -> DataFrame:
@@ -173,17 +248,16 @@ def _content(p: Column) -> Column:
 
 
 def read_backup(spark: SparkSession, path: str, seen: Observation) -> DataFrame:
-    """All messages of a backup with `key` (see archive.with_dedupe_key), `rowid` and `mime_types`, each file's elements in one
-    pass of each kind. Once an action has run, seen has what that pass met: messages, broken elements, media parts, and
+    """All messages of a backup with `key` (see archive.with_dedupe_key), `rowid` (see backup_elements) and `mime_types`, in one
+    pass. Once an action has run, seen has what that pass met: messages, broken elements, media parts, and
     those of them whose payload can't be decoded.
     """
     empty = F.array().cast(f"array<{PART}>")
-    both = _sms_elements(spark, path).select("attributes", "whole", empty.alias("_parts"), F.lit(1).alias("_kind"))
-    both = both.unionByName(_mms_elements(spark, path).select("attributes", "whole", F.coalesce("_parts", empty).alias("_parts"), F.lit(2).alias("_kind")))
+    both = _with_parts(backup_elements(spark, path), "rowid").select("attributes", "whole", F.coalesce("_parts", empty).alias("_parts"), F.col("kind").alias("_kind"), "rowid")
     media = F.filter("_parts", _is_media)
     digests = F.transform(media, lambda p: F.struct(p["_ct"].alias("type"), F.sha2(_content(p), 256).alias("hash")))
     # Digests are made once: what follows goes by these columns.
-    both = both.select("attributes", "whole", "_parts", "_kind", F.inline(F.array(F.struct(digests.alias("_media")))))
+    both = both.select("attributes", "whole", "_parts", "_kind", "rowid", F.inline(F.array(F.struct(digests.alias("_media")))))
     fine = F.filter("_media", lambda x: x["hash"].isNotNull())
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
     both = both.observe(
@@ -192,11 +266,11 @@ def read_backup(spark: SparkSession, path: str, seen: Observation) -> DataFrame:
     text = F.when(F.col("_kind") == 2, F.get(F.filter("_parts", lambda p: (p["_ct"] == "text/plain") & p["_text"].isNotNull()), 0)["_text"])
     hashes = F.array_sort(F.transform(fine, lambda x: x["hash"]))
     types = F.transform(fine, lambda x: F.coalesce(x["type"], F.lit("application/octet-stream")))
-    rows = _messages(both.where("whole"), F.col("_kind"), F.struct(types.alias("types"), hashes.alias("hashes")), text)
+    rows = _messages(both.where("whole"), F.col("_kind"), F.struct(types.alias("types"), hashes.alias("hashes"), "rowid"), text)
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     parts = [*map(given, ("address", "timestamp_ms", "body", "thread_id")), F.size("parts.hashes").cast("string"), F.array_join("parts.hashes", ",")]
     key = F.coalesce("message_id", F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256))
-    return rows.select(key.alias("key"), F.monotonically_increasing_id().alias("rowid"), *[c for c in rows.columns if c != "parts"], F.col("parts.types").alias("mime_types"))
+    return rows.select(key.alias("key"), F.col("parts.rowid").alias("rowid"), *[c for c in rows.columns if c != "parts"], F.col("parts.types").alias("mime_types"))
 
 
 def attachments(messages: DataFrame, key: str = "key", files: DataFrame | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ class Imported:
 def import_backup(spark: SparkSession, path: str, archive: Archive, number: int, source: str = "backup", order: tuple[str, ...] = ("timestamp_ms", "rowid")) -> Imported:
     """Merge a backup into an archive under a number of its own.
 
-    Of messages with one key the first in order is kept. All counts are observed in the pass that writes the messages, so that nothing is read for them.
+    Of messages with one key the first in order is kept: by default the earliest, and of those of one time the first in the backup. All counts are observed in the pass that writes the messages, so that nothing is read for them.
     """
     seen = Observation()
     done = archive.merge(backup.read_backup(spark, path, seen), number, source, order=order)

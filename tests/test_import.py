@@ -104,3 +104,44 @@ def test_whose_message_it_is(spark):
 def test_settings_make_every_contact_stale(spark):
     status = spark.createDataFrame([("c1", 5, 0), ("c2", None, 1)], "contact_id string, computed_at long, is_stale int")
     assert sorted(map(tuple, archive.all_stale(status).collect())) == [("c1", 5, 1), ("c2", None, 1)]
+
+
+class Few:
+    """A file that gives at most a few bytes for each read."""
+
+    def __init__(self, data, n):
+        self.data, self.n, self.at = data, n, 0
+
+    def read(self, size):
+        out = self.data[self.at : self.at + min(size, self.n)]
+        self.at += len(out)
+        return out
+
+
+def test_elements_are_whole_however_the_file_is_cut():
+    text = ('<smses>' + BACKUP + '<mms a="1"/><mms b><sms x="é"/><mms c><parts></parts></mms><smsx/><mmsx/><sms y').encode()
+    want = list(backup.elements_from(Few(text, 1 << 20), 0, len(text)))
+    assert [(k, p[:4], text[at : at + len(p)] == p) for at, k, p, _ in want] == [(k, b"<mms" if k == 2 else b"<sms", True) for _, k, _, _ in want] and len(want) == 13
+    assert [e for _, k, p, e in want if k == 2] == [True, True, True, False, False, True]
+    for size in (1, 2, 3, 7, 50):
+        got = []
+        for start in range(0, len(text), 13 * size):
+            file = Few(text, size)
+            file.at = start
+            got += backup.elements_from(file, start, start + 13 * size)
+        assert got == want
+
+
+def test_of_one_time_and_key_the_first_in_the_backup_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(backup, "RANGE", 300)
+    mms = lambda key, body: f'<mms msg_id="{key}" address="8" date="20" msg_box="1" body="{body}"><parts><part ct="image/png" data="{PNG}"/></parts></mms>'
+    sms = lambda key, body: f'<sms msg_id="{key}" address="7" date="20" type="1" body="{body}"/>'
+    pairs = [(k, mms, sms) if k % 3 else (k, sms, mms) for k in range(60)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text("".join(a(k, f"first {k}") + b(k, f"second {k}") for k, a, b in pairs[:30]))
+    (tmp_path / "in" / "b.xml").write_text("".join(a(k, f"first {k}") for k, a, _ in pairs[30:]))
+    (tmp_path / "in" / "c.xml").write_text("".join(b(k, f"second {k}") for k, _, b in pairs[30:]))
+    a = Archive(spark, str(tmp_path / "a"), 4)
+    done = import_backup(spark, str(tmp_path / "in"), a, 0)
+    assert (done.seen, done.inserted, done.media) == (120, 60, 60)
+    assert {r.key: r.body for r in a.messages().collect()} == {str(k): f"first {k}" for k in range(60)}
