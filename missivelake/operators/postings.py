@@ -2,8 +2,9 @@
 
 Layout of the folder, Parquet in any storage that Spark reaches: ``gen=G/postings/batch=N/bucket=B`` holds, for each term and
 block of documents, the documents with their lengths and the term's positions, sorted by key, beside their number, the highest
-frequency and the least length. Documents are dealt into blocks of about BLOCK by a hash of their keys, so a row's size
-is bounded however common its term is, and terms into buckets, so a query opens the folders of its own terms only;
+frequency and the least length. A task makes blocks of BLOCK documents at most as it meets them, so a row's size is bounded
+however common its term is, and what is shuffled are a block's lists, each term once. (So a task that is run again must meet
+its rows in the same order, as those of files are.) Terms are dealt into buckets, so a query opens the folders of its own terms only;
 within a file, rows are sorted by term, so most row groups are passed over too. A batch counts once its file in
 ``commits`` is there, which also says how many documents and tokens it has; a batch that died is written anew, and one
 that is committed is not added again. Appending batches gives the results of an index built at once.
@@ -18,8 +19,13 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,12 @@ from missivelake.sources.commits import Commits
 BUCKETS = 32
 #: Documents of a block, and blocks that are scored before others are held against their scores.
 BLOCK, FIRST = 4096, 16
-_SHIFT = 1 << 24  # blocks of a batch
+#: Tokens at which a block is full, whatever its documents.
+BLOCK_TOKENS = 4 << 20
+#: A block's number: its batch, the task that made it and its place there.
+BATCH_BITS, TASK_BITS = 40, 20
+#: A term's documents in a block, as they are shuffled: ends are those of the documents' runs in positions.
+FLAT = "term string, block long, n_docs int, max_tf int, min_length int, lengths array<int>, ends array<int>, positions array<int>"
 
 
 def tokens(columns: list[str]) -> Column:
@@ -43,6 +54,67 @@ def _bucket(term: Column, buckets: int) -> Column:
     return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
+def _flat_lists(first: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that makes blocks of key, length and tokens as they come, and puts out each block's lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = first + (TaskContext.get().partitionId() << TASK_BITS)
+        held: list[pa.RecordBatch] = []
+        n = size = 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, block - n)
+                at, n, size = at + part.num_rows, n + part.num_rows, size + len(part.column("tokens").flatten())
+                held.append(part)
+                if n >= block or size >= BLOCK_TOKENS:
+                    yield from _block_lists(held, number)
+                    number, held, n, size = number + 1, [], 0, 0
+        yield from _block_lists(held, number)
+
+    return run
+
+
+def _block_lists(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a block's documents, these in the order of their keys."""
+    if not held:
+        return
+    docs = pa.Table.from_batches(held).combine_chunks()
+    docs = docs.take(pc.sort_indices(docs["key"])).combine_chunks()
+    keys, lists = (docs[c].combine_chunks() for c in ("key", "tokens"))
+    length = docs["length"].to_numpy()
+    said = lists.flatten().dictionary_encode()
+    codes = said.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    position = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    order = np.argsort(codes, kind="stable")  # documents and positions stay in order
+    order = order[np.searchsorted(codes[order], 0) :]  # gaps are no terms
+    if not len(order):
+        return
+    codes, doc, position = codes[order], doc[order], position[order]
+    new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])])
+    tf = np.diff(np.r_[new, len(codes)])
+    term, own = codes[new], doc[new]
+    top = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    n_docs = np.diff(np.r_[top, len(term)])
+    ends = np.cumsum(tf) - np.repeat(new[top], n_docs)
+    ints = lambda x: pa.array(x.astype(np.int32))
+    each = lambda values: pa.ListArray.from_arrays(ints(np.r_[top, len(term)]), values)
+    columns = {
+        "term": said.dictionary.take(pa.array(term[top])),
+        "block": pa.array(np.full(len(top), number, dtype=np.int64)),
+        "n_docs": ints(n_docs),
+        "max_tf": ints(np.maximum.reduceat(tf, top)),
+        "min_length": ints(np.minimum.reduceat(length[own], top)),
+        "lengths": each(ints(length[own])),
+        "ends": each(ints(ends)),
+        "positions": pa.ListArray.from_arrays(ints(np.r_[new[top], len(codes)]), ints(position)),
+        "keys": each(keys.take(pa.array(own))),
+    }
+    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 class Postings:
     def __init__(self, spark: SparkSession, folder: str, key_type: str = "long", buckets: int = BUCKETS):
         self.spark, self.buckets, self.key_type = spark, buckets, key_type
@@ -65,24 +137,19 @@ class Postings:
         rows = docs.select(F.col(key).cast(self.key_type).alias("key"), tokens(columns).alias("tokens"))
         length = (F.size("tokens") - (len(columns) - 1)).cast("int")
         n, total = rows.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
-        blocks = max(1, -(-n // block))
-        own = F.lit(batch_id * _SHIFT) + F.pmod(F.xxhash64("key"), F.lit(blocks))
-        said = rows.select("key", length.alias("length"), own.alias("block"), F.posexplode("tokens").alias("position", "term")).where("term is not null")
-        # One shuffle: both aggregations are of what a term and block has, which is bounded.
-        dealt = said.repartition("term", "block")
-        each = dealt.groupBy("term", "block", "key", "length").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        document = F.struct("key", "length", "positions")
-        lists = each.groupBy("term", "block").agg(
-            F.count("*").cast("int").alias("n_docs"), F.max(F.size("positions")).cast("int").alias("max_tf"), F.min("length").alias("min_length"), F.sort_array(F.collect_list(document)).alias("docs")
-        )
-        self._write(lists, f"gen={self.files.generation()}/postings/batch={batch_id}")
+        flat = rows.select("key", length.alias("length"), "tokens").mapInArrow(_flat_lists(batch_id << BATCH_BITS, block), f"{FLAT}, keys array<{self.key_type}>")
+        start = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+        document = lambda k, i: F.struct(k.alias("key"), F.get("lengths", i).alias("length"), F.slice("positions", start(i) + 1, F.get("ends", i) - start(i)).alias("positions"))
+        self._write(flat, f"gen={self.files.generation()}/postings/batch={batch_id}", F.transform("keys", document))
         self.files.mark(f"commits/{batch_id}-{n}-{total}")
         self._opened = None
 
-    def _write(self, lists: DataFrame, folder: str) -> None:
+    def _write(self, lists: DataFrame, folder: str, docs: str | Column = "docs") -> None:
+        """Deal lists out by bucket, the one shuffle that an index takes, and put their documents together after it."""
         placed = lists.withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        dealt = placed.repartition("bucket", F.pmod("block", F.lit(4)))  # a bucket with a third of all postings is four tasks' work
-        dealt.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{self.files.folder}/{folder}")
+        dealt = placed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4)))  # a bucket with a third of all postings is four tasks' work
+        whole = dealt.sortWithinPartitions("bucket", "term", "block").select("term", "block", "n_docs", "max_tf", "min_length", F.col(docs).alias("docs") if isinstance(docs, str) else docs.alias("docs"), "bucket")
+        whole.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{self.files.folder}/{folder}")
 
     def _open(self) -> tuple[DataFrame, int, int]:
         """The rows of all batches that count, the number of documents, and of tokens."""
@@ -136,10 +203,15 @@ class Postings:
     def _promising(self, rows: DataFrame, phrases: list[list[str]], terms: list[str], df: list[int], n: int, mean: float, limit: int) -> DataFrame:
         """rows without the blocks that cannot hold one of the best documents."""
         most = [F.max(F.when(F.col("term") == t, F.struct("max_tf", "min_length"))).alias(f"m{k}") for k, t in enumerate(terms)]
-        best = rows.groupBy("block").agg(*most).where(reduce(lambda a, b: a & b, [F.col(f"m{k}").isNotNull() for k in range(len(terms))]))
+        best = rows.groupBy("block").agg(F.min("n_docs").alias("held"), *most).where(reduce(lambda a, b: a & b, [F.col(f"m{k}").isNotNull() for k in range(len(terms))]))
         bound = [_score(F.col(f"m{terms.index(p[0])}.max_tf"), F.col(f"m{terms.index(p[0])}.min_length"), d, n, mean) for p, d in zip(phrases, df, strict=True)]
-        best = best.select("block", reduce(lambda a, b: a + b, bound).alias("bound"))
-        first = [r.block for r in best.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+        best = best.select("block", "held", reduce(lambda a, b: a + b, bound).alias("bound"))
+        first, held = [], 0
+        for r in best.orderBy(F.desc("bound"), "block").limit(max(FIRST, limit)).collect():
+            if len(first) >= FIRST and held >= limit:
+                break
+            first.append(r.block)
+            held += r.held  # blocks may be small
         there = self._scored(self._frequencies(rows.where(F.col("block").isin(*first)), phrases, terms), df, n, mean).limit(limit).collect()
         if len(there) < limit:
             return rows

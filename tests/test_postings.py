@@ -85,3 +85,19 @@ def test_the_plan_opens_the_query_s_buckets_only(spark, tmp_path):
     index.add(documents(spark, 30), 0, "doc_id")
     plan = index.search("a", None)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0] and "EqualTo(term,a)" in plan.split("PushedFilters: [", 1)[1]
+
+
+def test_an_index_shuffles_a_block_s_lists_once_and_no_single_words(spark, tmp_path, monkeypatch):
+    docs = documents(spark, 200, 3).coalesce(1)
+    index, written = Postings(spark, str(tmp_path / "i"), buckets=2), []
+    write = Postings._write
+    monkeypatch.setattr(Postings, "_write", lambda self, lists, *rest: written.append(lists) or write(self, lists, *rest))
+    index.add(docs, 0, "doc_id", block=64)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate explode" not in plan and "posexplode" not in plan
+    rows = spark.read.parquet(f"{tmp_path}/i/gen=0/postings").collect()
+    assert len({r.block for r in rows}) == 4 and len(rows) == len({(r.term, r.block) for r in rows})
+    for r in rows:
+        assert r.docs == sorted(r.docs) and r.n_docs == len(r.docs) <= 64
+        assert r.max_tf == max(len(d.positions) for d in r.docs) and r.min_length == min(d.length for d in r.docs)
+    same(index, docs, "text", (None,), FEW)
